@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 # ``ROWS_ONLY`` tuple, is registered.
 _MODULES = [
     ("basketry.plans.baskets", "basketry.plans.oracle_baskets"),
+    ("basketry.plans.sales", "basketry.plans.oracle_sales"),
 ]
 
 
