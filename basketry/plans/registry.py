@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = [
     ("basketry.plans.baskets", "basketry.plans.oracle_baskets"),
     ("basketry.plans.sales", "basketry.plans.oracle_sales"),
+    ("basketry.plans.stats", "basketry.plans.oracle_stats"),
 ]
 
 
