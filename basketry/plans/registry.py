@@ -14,6 +14,7 @@ _MODULES = [
     ("basketry.plans.baskets", "basketry.plans.oracle_baskets"),
     ("basketry.plans.sales", "basketry.plans.oracle_sales"),
     ("basketry.plans.stats", "basketry.plans.oracle_stats"),
+    ("basketry.plans.text_jobs", "basketry.plans.oracle_text"),
 ]
 
 
