@@ -51,9 +51,12 @@ def join_tolerance(a: DataFrame, b: DataFrame, on: list[str], qa: str, qb: str,
 
 
 def join_scalar(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two one-row aggregates side by side. Both sides are single rows by
-    construction (global aggregates), so the product is one row."""
-    return a.crossJoin(b)
+    """Two one-row aggregates side by side (no join condition in the
+    reference). Done without a join: the two rows are stacked and folded
+    into one by a global aggregate over exactly two rows."""
+    cols = list(dict.fromkeys(a.columns + b.columns))
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
 def before_after(facts: DataFrame, changes: DataFrame, item: str, day: str, qty: str,

@@ -15,6 +15,7 @@ _MODULES = [
     ("basketry.plans.sales", "basketry.plans.oracle_sales"),
     ("basketry.plans.stats", "basketry.plans.oracle_stats"),
     ("basketry.plans.text_jobs", "basketry.plans.oracle_text"),
+    ("basketry.plans.ml_jobs", "basketry.plans.oracle_ml"),
 ]
 
 
