@@ -49,7 +49,8 @@ SQL = {
                    sum(money) AS amount FROM x WHERE ch = 'O' GROUP BY cust),
     u AS (SELECT * FROM store UNION ALL SELECT * FROM web)
     SELECT cust AS cid,
-           CASE WHEN datediff('day', max(most_recent_date), DATE '2001-08-01') < 60 THEN 1.0 ELSE 0.0 END
+           CASE WHEN datediff('day', max(most_recent_date), DATE '2001-08-01') < 60
+                THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END
              AS recency,
            CAST(sum(frequency) AS DOUBLE) AS frequency, CAST(sum(amount) AS DOUBLE) AS totalspend
     FROM u GROUP BY cust""",

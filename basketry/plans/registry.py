@@ -7,15 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-# (plan module, oracle module) pairs; every public function of a plan module
-# whose name is a key of its oracle module's SQL, or listed in its
-# ``ROWS_ONLY`` tuple, is registered.
+# (plan module, oracle module) pairs. A key of the oracle module's ``SQL`` or
+# of the plan module's ``ROWS_ONLY`` is registered with the plan function of
+# that name (or ``KEYS[key]`` where the plan module maps names).
 _MODULES = [
     ("basketry.plans.baskets", "basketry.plans.oracle_baskets"),
     ("basketry.plans.sales", "basketry.plans.oracle_sales"),
     ("basketry.plans.stats", "basketry.plans.oracle_stats"),
     ("basketry.plans.text_jobs", "basketry.plans.oracle_text"),
     ("basketry.plans.ml_jobs", "basketry.plans.oracle_ml"),
+    ("basketry.plans.operator_keys", "basketry.plans.oracle_operator_keys"),
 ]
 
 
@@ -27,8 +28,9 @@ def _load():
         sm = importlib.import_module(sql_mod)
         sql = getattr(sm, "SQL", {})
         rows_only = getattr(pm, "ROWS_ONLY", ())
+        named = getattr(pm, "KEYS", {})
         for key in list(sql) + list(rows_only):
-            fn = getattr(pm, key)
+            fn = named.get(key) or getattr(pm, key)
             queries[key] = (lambda f: (lambda spark, sf_dir: f(spark, sf_dir)))(fn)
         for key, text in sql.items():
             oracle[key] = " ".join(text.split())
