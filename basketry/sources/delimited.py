@@ -19,17 +19,21 @@ HIVE_NULL = "\\N"
 
 def load_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|",
                    mode: str = "PERMISSIVE") -> DataFrame:
-    """Read ``sep``-separated text with a declared schema (no inference)."""
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = (spark.read.schema(as_text).option("sep", sep).option("mode", mode)
-           .option("nullValue", HIVE_NULL).option("emptyValue", "")
-           .option("quote", "\u0000").csv(path))
+    """Read ``sep``-separated text with a declared schema (no inference).
+
+    Lines are split on the literal separator (no quoting, as in Hive text
+    tables); ``mode`` is accepted for signature compatibility, every line is
+    kept (PERMISSIVE).
+    """
+    del mode
+    parts = F.split(F.col("value"), "\\Q" + sep + "\\E", -1)
     cols = []
-    for f in schema.fields:
-        c = F.col(f.name)
-        cols.append(c.alias(f.name) if isinstance(f.dataType, T.StringType)
-                    else c.try_cast(f.dataType).alias(f.name))
-    return raw.select(*cols)
+    for i, f in enumerate(schema.fields):
+        raw = F.get(parts, i)
+        v = F.when(raw != F.lit(HIVE_NULL), raw)
+        cols.append(v.alias(f.name) if isinstance(f.dataType, T.StringType)
+                    else v.try_cast(f.dataType).alias(f.name))
+    return spark.read.text(path).select(*cols)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "|", header: bool = False) -> str:
