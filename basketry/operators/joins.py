@@ -31,6 +31,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work (regex, text scans) at least one task per
+    core. A large input (at least as many files as cores) is left alone, so
+    at scale this adds no shuffle; input from fewer files than cores (one
+    Parquet row group is one task) is dealt round-robin over the cores.
+    Only file metadata is consulted; nothing is executed."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def join_nonequi_residual(a: DataFrame, b: DataFrame, on: list[str], condition: Column,
                           how: str = "inner") -> DataFrame:
     """Equi join on ``on`` plus a residual predicate (evaluated in the join)."""
@@ -91,54 +101,74 @@ def before_after(facts: DataFrame, changes: DataFrame, item: str, day: str, qty:
         0, subset=[c for c in g.columns if c.startswith(("after", "before"))])
 
 
-def _ac_scan(names: list[str], text_col: str, out_col: str, schema: T.StructType):
+def _ac_scan(entries: dict, text_col: str, out_col: str, carry: list[str],
+             schema: T.StructType):
+    """Arrow-batch scan: for each text, every dictionary name occurring in it
+    (one automaton pass per text), emitted once per payload of that name."""
     def scan(batches):
         import ahocorasick
         import pandas as pd
         auto = ahocorasick.Automaton()
-        for n in names:
+        for n in entries:
             auto.add_word(n, n)
         auto.make_automaton()
+        names = [f.name for f in schema.fields]
         for pdf in batches:
-            idx, found = [], []
+            idx, found, payload = [], [], []
             for i, t in enumerate(pdf[text_col].tolist()):
                 if t is None:
                     continue
-                hits = {v for _, v in auto.iter(t)}
-                for h in sorted(hits):
-                    idx.append(i)
-                    found.append(h)
-            out = pdf.iloc[idx].reset_index(drop=True) if idx else pdf.iloc[0:0]
-            out = out.assign(**{out_col: pd.Series(found, dtype=object)})
-            yield out[[f.name for f in schema.fields]]
+                for h in sorted({v for _, v in auto.iter(t)}):
+                    for p in entries[h]:
+                        idx.append(i)
+                        found.append(h)
+                        payload.append(p)
+            out = pdf.iloc[idx].reset_index(drop=True)
+            out[out_col] = pd.Series(found, dtype=object)
+            for j, c in enumerate(carry):
+                out[c] = pd.Series([p[j] for p in payload], dtype=object)
+            yield out[names]
     return scan
 
 
 def join_contains(text_df: DataFrame, text: str, names_df: DataFrame, name: str,
-                  max_names: int = 20_000, out: str = "matched_name") -> DataFrame:
+                  carry: list[str] | tuple = (), max_names: int = 20_000,
+                  out: str = "matched_name") -> DataFrame:
     """Rows of ``text_df`` x names such that lower(name) occurs in lower(text).
 
-    Output: all columns of ``text_df`` plus ``out`` (the lower-cased name),
-    one row per (text row, distinct name). Empty names never match.
+    Output: all columns of ``text_df``, ``out`` (the lower-cased name) and
+    the ``carry`` columns of the name row; one row per (text row, distinct
+    name row). Empty names never match. The dictionary is read once when it
+    has at most ``max_names`` rows; a larger one is counted and shipped in
+    hash chunks of about ``max_names``, one text scan per chunk.
     """
-    names = (names_df.select(F.lower(F.col(name)).alias("_n"))
+    carry = list(carry)
+    names = (names_df.select(F.lower(F.col(name)).alias("_n"), *carry)
                      .where(F.col("_n").isNotNull() & (F.length("_n") > 0)).distinct())
-    n_names = names.count()
-    schema = T.StructType(text_df.schema.fields + [T.StructField(out, T.StringType())])
-    if n_names == 0:
-        return text_df.sparkSession.createDataFrame([], schema)
-    lowered = text_df.withColumn("_lt", F.lower(F.col(text)))
-    scan_schema = T.StructType(lowered.schema.fields + [T.StructField(out, T.StringType())])
-    chunks = max(1, math.ceil(n_names / max_names))
+    first = names.limit(max_names + 1).collect()
+    if len(first) <= max_names:
+        chunk_rows = [first]
+    else:
+        chunks = math.ceil(names.count() / max_names)
+        chunk_rows = [names.where(F.pmod(F.xxhash64("_n"), F.lit(chunks)) == c).collect()
+                      for c in range(chunks)]
+    carry_fields = [names.schema[c] for c in carry]
+    schema = T.StructType(text_df.schema.fields + [T.StructField(out, T.StringType())]
+                          + carry_fields)
+    lowered = spread(text_df).withColumn("_lt", F.lower(F.col(text)))
+    scan_schema = T.StructType(lowered.schema.fields + [T.StructField(out, T.StringType())]
+                               + carry_fields)
     parts = []
-    for c in range(chunks):
-        chunk = names if chunks == 1 else names.where(
-            F.pmod(F.xxhash64("_n"), F.lit(chunks)) == c)
-        vals = [r[0] for r in chunk.collect()]
-        if not vals:
-            continue
-        parts.append(lowered.mapInPandas(_ac_scan(vals, "_lt", out, scan_schema), scan_schema))
+    for rows in chunk_rows:
+        entries: dict = {}
+        for r in rows:
+            entries.setdefault(r["_n"], []).append(tuple(r[c] for c in carry))
+        if entries:
+            parts.append(lowered.mapInPandas(_ac_scan(entries, "_lt", out, carry, scan_schema),
+                                             scan_schema).drop("_lt"))
+    if not parts:
+        return text_df.sparkSession.createDataFrame([], schema)
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
-    return res.drop("_lt")
+    return res

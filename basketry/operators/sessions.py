@@ -33,40 +33,39 @@ def bucketed_prefix_sum(df: DataFrame, part: list[str], ts: str, value: Column,
     """Inclusive running sum of ``value`` per ``part`` in (ts, tiebreak) order.
 
     Computed per (part, bucket) and offset by the totals of earlier buckets,
-    so no task sees more than one bucket of one key.
+    so no task sees more than one bucket of one key. The bucket totals come
+    from a plain (map-side combined) aggregate of the input, not from the
+    windowed rows, so the input is shuffled for the window only once.
     """
     x = (df.withColumn("_bk", F.floor(F.col(ts) / F.lit(bucket_width)))
            .withColumn("_v", value.cast("long")))
     w = (Window.partitionBy(*part, "_bk").orderBy(*_order(ts, tiebreak))
                .rowsBetween(_UNB, _CUR))
-    x = x.withColumn("_local", F.sum("_v").over(w))
+    windowed = x.withColumn("_local", F.sum("_v").over(w))
     summ = x.groupBy(*part, "_bk").agg(F.sum("_v").alias("_tot"))
     ws = Window.partitionBy(*part).orderBy("_bk").rowsBetween(_UNB, -1)
     summ = summ.select(*part, "_bk",
                        F.coalesce(F.sum("_tot").over(ws), F.lit(0)).alias("_off"))
-    return (x.join(summ, [*part, "_bk"], "inner")
-             .withColumn(out, F.col("_off") + F.col("_local"))
-             .drop("_bk", "_v", "_local", "_off"))
+    return (windowed.join(summ, [*part, "_bk"], "inner")
+                    .withColumn(out, F.col("_off") + F.col("_local"))
+                    .drop("_bk", "_v", "_local", "_off"))
 
 
-def sessionize(df: DataFrame, user: str, ts: str, timeout: int, tiebreak=None,
-               out: str = "session_id", bucket_width: int | None = None) -> DataFrame:
-    """Add ``out`` = ``<user>_<n>``: per user in time order, a gap greater
-    than ``timeout`` (same unit as ``ts``) starts session n+1; n starts at 1.
+def _interval_sessions(cells: DataFrame, user: str, lo: str, hi: str, timeout,
+                       width: int) -> DataFrame:
+    """Session number per row of ``cells`` (disjoint time intervals [lo, hi]
+    per user): a new session starts where lo - (previous hi) > timeout.
 
-    Rows with a NULL user or time are dropped (they belong to no session).
-    An equal gap stays in the same session. ``tiebreak`` orders equal times.
+    Stitched over buckets of ``width``: a window per (user, bucket) finds the
+    starts inside a bucket; a one-row-per-bucket summary, windowed per user,
+    gives each bucket its first-start flag and the number of earlier starts.
     """
-    width = int(bucket_width or max(int(timeout) * 24, 1))
-    t = F.col(ts)
-    x = (df.where(F.col(user).isNotNull() & t.isNotNull())
-           .withColumn("_bk", F.floor(t / F.lit(width))))
-    w = Window.partitionBy(user, "_bk").orderBy(*_order(ts, tiebreak))
-    x = (x.withColumn("_new", F.when(t - F.lag(t).over(w) > F.lit(timeout), 1).otherwise(0))
+    x = cells.withColumn("_bk", F.floor(F.col(lo) / F.lit(width)))
+    w = Window.partitionBy(user, "_bk").orderBy(lo)
+    x = (x.withColumn("_new", F.when(F.col(lo) - F.lag(hi).over(w) > F.lit(timeout), 1)
+                               .otherwise(0))
           .withColumn("_run", F.sum("_new").over(w.rowsBetween(_UNB, _CUR))))
-    # One row per (user, bucket): does its first click open a session, and how
-    # many sessions start before it.
-    summ = x.groupBy(user, "_bk").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"),
+    summ = x.groupBy(user, "_bk").agg(F.min(lo).alias("_first"), F.max(hi).alias("_last"),
                                       F.sum("_new").alias("_inner"))
     ws = Window.partitionBy(user).orderBy("_bk")
     prev_last = F.lag("_last").over(ws)
@@ -77,12 +76,45 @@ def sessionize(df: DataFrame, user: str, ts: str, timeout: int, tiebreak=None,
     summ = summ.select(
         user, "_bk", "_first_new",
         (F.sum("_starts").over(ws.rowsBetween(_UNB, _CUR)) - F.col("_starts")).alias("_off"))
-    n = F.col("_off") + F.col("_first_new") + F.col("_run")
     return (x.join(summ, [user, "_bk"], "inner")
-             .withColumn(out, F.concat(F.col(user).cast("string"), F.lit("_"), n.cast("string")))
+             .withColumn("_session_no", F.col("_off") + F.col("_first_new") + F.col("_run"))
              .drop("_bk", "_new", "_run", "_first_new", "_off"))
 
 
+def sessionize(df: DataFrame, user: str, ts: str, timeout: int, tiebreak=None,
+               out: str = "session_id", bucket_width: int | None = None) -> DataFrame:
+    """Add ``out`` = ``<user>_<n>``: per user in time order, a gap greater
+    than ``timeout`` (same unit as ``ts``; integral times) starts session
+    n+1; n starts at 1.
+
+    Rows with a NULL user or time are dropped (they belong to no session).
+    An equal gap stays in the same session; equal times never split.
+
+    Plan: time is cut into cells ``timeout`` wide. Two clicks of one cell
+    are less than ``timeout`` apart, so a cell never splits and only the
+    per-(user, cell) first/last times matter: a map-side combined aggregate.
+    Sessions are found on that cell table (bucket-stitched, see
+    ``_interval_sessions``) and joined back to the clicks on (user, cell):
+    the clicks are shuffled once and never sorted per user, and a user with
+    a large share of all clicks is spread over its cells. ``tiebreak`` is
+    accepted for API symmetry; ties cannot change a session.
+    """
+    del tiebreak
+    cell_w = max(int(timeout), 1)
+    width = int(bucket_width or cell_w * 24)
+    width = max(width, cell_w)
+    t = F.col(ts)
+    rows = (df.where(F.col(user).isNotNull() & t.isNotNull())
+              .withColumn("_cell", F.floor(t / F.lit(cell_w))))
+    cells = rows.groupBy(user, "_cell").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    numbered = _interval_sessions(cells, user, "_lo", "_hi", timeout, width).select(
+        user, "_cell", "_session_no")
+    return (rows.join(numbered, [user, "_cell"], "inner")
+                .withColumn(out, F.concat(F.col(user).cast("string"), F.lit("_"),
+                                          F.col("_session_no").cast("string")))
+                .drop("_cell", "_session_no"))
+
+
 def last_n_before(df: DataFrame, user: str, ts: str, item: str, is_view: Column,
                   is_buy: Column, targets=None, n: int = 5, range_s: int = 864000,
                   tiebreak=None, bucket_width: int = 864000) -> DataFrame:

@@ -17,7 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.operators.joins import broadcast_if_small, spread
+
 SENTENCE_RE = "[^.!?]+"
+# Dictionaries (lexicon, company names) up to this many rows are broadcast;
+# larger ones are joined by shuffle on the word.
+MAX_BROADCAST_WORDS = 2_000_000
 WORD_RE = "\\p{L}+"
 
 # Fixed test lexicon: words that occur in the generated review text (the
@@ -37,7 +42,7 @@ def lexicon_df(spark: SparkSession, lexicon: dict | None = None) -> DataFrame:
 
 def sentences(df: DataFrame, text: str, keep: list[str], out: str = "review_sentence") -> DataFrame:
     """One row per sentence of the lower-cased ``text``; ``keep`` columns carried."""
-    return df.select(*keep, F.explode(
+    return spread(df).select(*keep, F.explode(
         F.regexp_extract_all(F.lower(F.col(text)), F.lit(SENTENCE_RE), 0)).alias(out))
 
 
@@ -52,6 +57,7 @@ def extract_sentiment(df: DataFrame, id_cols: list[str], text: str, lexicon: Dat
     """(ids..., review_sentence, sentiment, sentiment_word): one row per
     sentence and distinct polar word in it."""
     lex = lexicon if only is None else lexicon.where(F.col("sentiment") == only)
+    lex = broadcast_if_small(lex, MAX_BROADCAST_WORDS)
     s = sentences(df, text, id_cols)
     w = sentence_words(s, "review_sentence", id_cols)
     return (w.join(lex, "word")
@@ -65,6 +71,7 @@ def find_company(df: DataFrame, id_cols: list[str], text: str, names: DataFrame,
     """(ids..., company_name, review_sentence) for each sentence naming a
     company of the dictionary (whole-word, case-insensitive)."""
     n = names.select(F.lower(F.col(name)).alias("word")).where(F.col("word").isNotNull()).distinct()
+    n = broadcast_if_small(n, MAX_BROADCAST_WORDS)
     s = sentences(df, text, id_cols)
     w = sentence_words(s, "review_sentence", id_cols)
     return (w.join(n, "word")

@@ -375,8 +375,8 @@ def join_contains(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text")
     names = table(spark, d, "benchmark", "item_id", "text").select(
         "item_id", F.lower("text").alias("matched_name"))
-    hits = J.join_contains(docs, "text", names, "matched_name")
-    return hits.join(names, "matched_name").select("doc_id", "item_id")
+    hits = J.join_contains(docs, "text", names, "matched_name", carry=["item_id"])
+    return hits.select("doc_id", "item_id")
 
 
 def join_interval_before_after(spark, d):

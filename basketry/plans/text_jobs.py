@@ -57,8 +57,8 @@ def q18_declining_store_reviews(spark: SparkSession, sf_dir: str, start: str = "
              .join(stores, F.col("item_id") == F.col("store"), "left_semi")
              .select(F.col("item_id").alias("store"), F.lower("text").alias("matched_name")))
     docs = _reviews(spark, sf_dir).select("doc_id", "text")
-    hits = join_contains(docs, "text", names, "matched_name")
-    hits = hits.join(names, "matched_name").select("store", "doc_id", "text").distinct()
+    hits = join_contains(docs, "text", names, "matched_name", carry=["store"])
+    hits = hits.select("store", "doc_id", "text").distinct()
     out = extract_sentiment(hits, ["store", "doc_id"], "text", lexicon_df(spark, lexicon), only="NEG")
     return out.orderBy("store", "doc_id", "review_sentence", "sentiment_word")
 
