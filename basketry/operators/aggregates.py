@@ -74,3 +74,15 @@ def agg_ratio_of_totals(df: DataFrame, predicate: Column, x, by: list | None = N
     g = g.agg(F.sum(F.when(predicate, xv)).alias("part"), F.sum(xv).alias("whole"))
     return g.withColumn("percent", F.try_divide(F.col("part").cast("double"),
                                                 F.col("whole").cast("double")) * F.lit(100.0))
+
+
+def agg_collect_set(df: DataFrame, by: list, item: str, out: str = "items") -> DataFrame:
+    """Sorted distinct non-NULL items per group (``array_sort(collect_set)``).
+
+    Use it where the item domain is bounded (categories, page types): the
+    set is combined map-side, so no task ever holds more than the domain per
+    group, whatever the group's row count. For unbounded members (items of a
+    basket, clicks of a session) the jobs use row forms instead: pairs by
+    self join, membership by semi join.
+    """
+    return df.groupBy(*by).agg(F.array_sort(F.collect_set(item)).alias(out))

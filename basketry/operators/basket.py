@@ -71,7 +71,8 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_count: int | None = N
 
 
 def pairs_in_row(df: DataFrame, items: str) -> DataFrame:
-    """In-row pairing of a small sorted array column (for bounded baskets)."""
+    """Explode (item_1, item_2), item_1 < item_2, from an array column of
+    distinct items (in-row pairing, for sets from a bounded domain)."""
     arr = F.array_sort(F.array_distinct(F.col(items)))
     n = F.size(arr)
     pairs = F.flatten(F.transform(
@@ -79,8 +80,25 @@ def pairs_in_row(df: DataFrame, items: str) -> DataFrame:
         lambda i: F.transform(F.slice(arr, i + 1, n),
                               lambda y: F.struct(F.element_at(arr, i).alias("item_1"),
                                                  y.alias("item_2")))))
-    return df.select("*", F.explode(F.when(n > 1, pairs)).alias("_p")).select(
-        "*", "_p.item_1", "_p.item_2").drop("_p")
+    return (df.select("*", F.explode(F.when(n > 1, pairs)).alias("_p"))
+              .select("*", "_p.item_1", "_p.item_2").drop("_p", items))
+
+
+def pair_counts_bounded(df: DataFrame, basket: str, item: str, min_count: int | None = None,
+                        names: tuple[str, str] = ("item_1", "item_2")) -> DataFrame:
+    """``pair_counts`` for items from a bounded domain (categories, page
+    types, classes): the distinct items of a basket are collected map-side
+    (never more than the domain per basket and task, however large the
+    basket), paired inside the row and counted. One grouped shuffle and no
+    join, against distinct + self join + count for unbounded items."""
+    sets = (df.where(F.col(basket).isNotNull() & F.col(item).isNotNull())
+              .groupBy(F.col(basket).alias("basket"))
+              .agg(F.collect_set(item).alias("_items")))
+    out = pairs_in_row(sets, "_items").groupBy("item_1", "item_2").agg(
+        F.count(F.lit(1)).alias("cnt"))
+    if min_count is not None:
+        out = out.where(F.col("cnt") > F.lit(min_count))
+    return out.select(F.col("item_1").alias(names[0]), F.col("item_2").alias(names[1]), "cnt")
 
 
 def viewed_with_item(df: DataFrame, session: str, item: str, target) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.basket import pair_counts, top_k, viewed_with_item
+from basketry.operators.basket import pair_counts_bounded, top_k, viewed_with_item
 from basketry.operators.sessions import (abandoned_sessions, last_n_before,
                                          purchase_after_page, sessionize)
 from basketry.plans.common import DAY_S, lit_date, s_to_us
@@ -23,8 +23,9 @@ def q01_sold_together(spark: SparkSession, sf_dir: str, categories=None, stores=
         p = p.where(F.col("p_type").isin(list(categories)))
     sold = li.join(p, li.l_partkey == p.p_partkey).select(
         "l_orderkey", F.concat_ws("/", "p_brand", "p_type").alias("item_class"))
-    pairs = pair_counts(sold, "l_orderkey", "item_class", min_count=min_count,
-                        names=("item_1", "item_2"))
+    # item classes are brand x type: a bounded domain, paired in-row
+    pairs = pair_counts_bounded(sold, "l_orderkey", "item_class", min_count=min_count,
+                                names=("item_1", "item_2"))
     return top_k(pairs, [F.col("cnt").desc(), "item_1", "item_2"], limit)
 
 
@@ -85,8 +86,9 @@ def q08_review_effect(spark: SparkSession, sf_dir: str, start: str = "2024-01-01
                        (F.sum("amount") - review_amt).cast("double").alias("no_review_sales_amount"))
 
 
-def q12_view_then_buy(spark: SparkSession, sf_dir: str, start: str = "2024-01-01",
-                      view_days: int = 10, buy_days: int = 30, categories=(1, 2)) -> DataFrame:
+def q12_view_then_store(spark: SparkSession, sf_dir: str, start: str = "2024-01-01",
+                        view_days: int = 10, buy_days: int = 30,
+                        categories=(1, 2)) -> DataFrame:
     """Users who viewed an item of the categories in the first ``view_days``
     and bought one (later) within ``buy_days``.
 
@@ -110,7 +112,7 @@ def q29_bought_together_cat(spark: SparkSession, sf_dir: str, limit: int = 100)
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
     p = table(spark, sf_dir, "part", "p_partkey", "p_type")
     sold = li.join(p, li.l_partkey == p.p_partkey).select("l_orderkey", "p_type")
-    pairs = pair_counts(sold, "l_orderkey", "p_type", names=("category_1", "category_2"))
+    pairs = pair_counts_bounded(sold, "l_orderkey", "p_type", names=("category_1", "category_2"))
     return top_k(pairs, [F.col("cnt").desc(), "category_1", "category_2"], limit)
 
 
@@ -119,5 +121,6 @@ def q30_viewed_together_cat(spark: SparkSession, sf_dir: str, timeout_s: int = 3
     """Page-type pairs seen in one session."""
     c = clicks(spark, sf_dir).where(F.col("event_type").isNotNull())
     s = sessionize(c, "user_id", "ts_us", s_to_us(timeout_s), tiebreak="event_id")
-    pairs = pair_counts(s, "session_id", "event_type", names=("category_1", "category_2"))
+    pairs = pair_counts_bounded(s, "session_id", "event_type",
+                                names=("category_1", "category_2"))
     return top_k(pairs, [F.col("cnt").desc(), "category_1", "category_2"], limit)

@@ -494,6 +494,15 @@ def agg_two_level(spark, d):
         F.max("day_net").cast("double").alias("max_day_net"))
 
 
+def agg_collect_set(spark, d):
+    li = table(spark, d, "lineitem", "l_orderkey", "l_partkey")
+    p = table(spark, d, "part", "p_partkey", "p_type")
+    x = li.join(p, li.l_partkey == p.p_partkey)
+    g = A.agg_collect_set(x, ["l_orderkey"], "p_type", "types")
+    return g.select("l_orderkey", F.size("types").alias("n_types"),
+                    F.array_join("types", ",").alias("types"))
+
+
 def distinct_rows(spark, d):
     return table(spark, d, "events", "user_id", "event_type").distinct()
 
@@ -697,6 +706,7 @@ KEYS = {
     "agg_count_distinct": agg_count_distinct, "agg_having": agg_having,
     "agg_stddev_cov": agg_stddev_cov, "agg_corr": agg_corr, "agg_linreg": agg_linreg,
     "agg_ratio_of_totals": agg_ratio_of_totals, "agg_two_level": agg_two_level,
+    "agg_collect_set": agg_collect_set,
     "distinct_rows": distinct_rows,
     "distribute_sort": distribute_sort, "sessionize": sessionize, "last_n_before": last_n_before,
     "purchase_after_page": purchase_after_page, "abandoned_sessions": abandoned_sessions,

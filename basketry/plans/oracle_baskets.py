@@ -85,7 +85,7 @@ SQL = {
              AS no_review_sales_amount
     FROM sales""",
 
-    "q12_view_then_buy": f"""
+    "q12_view_then_store": f"""
     WITH {_clicks_cte("floor(item / 10) IN (1, 2)")},
     w AS (SELECT u, t FROM cf WHERE event_type = 'view'
             AND t >= epoch_us(TIMESTAMP '2024-01-01') AND t < epoch_us(TIMESTAMP '2024-01-01') + {10 * 86400 * 10**6}),

@@ -252,6 +252,10 @@ SQL = {
     SELECT l_suppkey, count(*) AS days, CAST(sum(day_net) AS DOUBLE) / count(*) AS avg_day_net,
            CAST(max(day_net) AS DOUBLE) AS max_day_net
     FROM daily GROUP BY l_suppkey""",
+    "agg_collect_set": """
+    SELECT l.l_orderkey, CAST(count(DISTINCT p.p_type) AS INTEGER) AS n_types,
+           array_to_string(list_sort(list(DISTINCT p.p_type)), ',') AS types
+    FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey""",
     "distinct_rows": "SELECT DISTINCT user_id, event_type FROM events",
 
     # 2.5
