@@ -14,6 +14,15 @@ from pyspark.ml.feature import HashingTF, RegexTokenizer, StandardScaler, Vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.sources.delimited import ctas_temp
+
+
+def _materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a model's input table once to the shared checkpoint folder:
+    scaler fit, iterative fit and scoring then read it instead of
+    recomputing its lineage, and a lost executor re-reads files."""
+    return ctas_temp(df.sparkSession, df, name)
+
 
 def kmeans_segments(features: DataFrame, id_col: str, columns: list[str], k: int = 8,
                     seed: int = 1234, max_iter: int = 20) -> DataFrame:
@@ -27,7 +36,7 @@ def kmeans_segments(features: DataFrame, id_col: str, columns: list[str], k: int
         StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
         KMeans(featuresCol="_features", predictionCol="cluster", k=k, seed=seed, maxIter=max_iter),
     ])
-    clean = features.fillna(0.0, subset=columns)
+    clean = _materialise(features.fillna(0.0, subset=columns), "kmeans-input")
     model = pipe.fit(clean)
     return model.transform(clean).select(id_col, "cluster")
 
@@ -39,7 +48,8 @@ def logreg_interest(features: DataFrame, label: str, columns: list[str],
     assembler = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep")
     lr = LogisticRegression(featuresCol="_features", labelCol=label, predictionCol="_pred",
                             maxIter=50, regParam=0.01)
-    data = features.select(F.col(label).cast("double").alias(label), *columns)
+    data = _materialise(features.select(F.col(label).cast("double").alias(label), *columns),
+                        "logreg-input")
     model = Pipeline(stages=[assembler, lr]).fit(data)
     p = model.transform(data)
     y, yhat = F.col(label), F.col("_pred")
@@ -63,7 +73,7 @@ def nb_text_classifier(train: DataFrame, test: DataFrame, text: str, label: str,
         NaiveBayes(featuresCol="_tf", labelCol=label, predictionCol="prediction",
                    modelType="multinomial"),
     ])
-    tr = train.withColumn(label, F.col(label).cast("double"))
+    tr = _materialise(train.withColumn(label, F.col(label).cast("double")), "nb-train")
     te = test.withColumn(label, F.col(label).cast("double"))
     return pipe.fit(tr).transform(te).select(id_col, label, "prediction")
 
