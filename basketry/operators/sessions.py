@@ -1,13 +1,17 @@
 """Time-ordered per-user operators: sessions, last-N views, page-before-sale.
 
 The reference pipes each user's clicks, sorted by time, through external
-reducer scripts. Here they are window expressions. A plain window
-partitioned by user puts every click of a user into one task, so a user with
-a third of all clicks would be one giant sort. All operators below therefore
-partition by ``(user, time bucket)`` and stitch buckets together with a small
-per-bucket summary (one row per user and bucket), whose own window per user
-is tiny. Results are exact for any bucket width; the width only tunes task
-size.
+reducer scripts. A plain window partitioned by user would put every click of
+a user into one task, so a user with a third of all clicks would be one giant
+sort. The operators below avoid that:
+
+* sessions and page-before-sale work on time cells as wide as the timeout
+  or limit, where per-(user, cell) aggregates (map-side combined) decide the
+  answer and only the small cell table is ordered;
+* running counts are computed per (user, time bucket) and offset by prefix
+  sums over one summary row per bucket.
+
+Results are exact for any bucket width; the width only tunes task size.
 """
 
 from __future__ import annotations
@@ -153,29 +157,30 @@ def purchase_after_page(df: DataFrame, user: str, ts: str, page_type: str, sale:
     """Distinct sale ids whose user saw a ``wanted`` page at most ``within_s``
     earlier (at or before the sale in (ts, tiebreak) order).
 
-    Buckets are ``within_s`` wide and each wanted-page row is also copied into
-    the next bucket, so the latest qualifying page of any sale is always in
-    the sale's own partition; the copy costs one extra row per wanted page.
+    Time is cut into cells ``within_s`` wide. A qualifying page is either in
+    the sale's own cell and ordered before the sale (then the cell's
+    earliest wanted page qualifies) or in the previous cell and at most
+    ``within_s`` older (then that cell's latest wanted page qualifies). So
+    two per-(user, cell) aggregates decide every sale: map-side combined,
+    no sort and no per-user window, and a hot user is spread over cells.
     """
-    width = int(within_s) if within_s > 0 else 1
-    base = (df.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
-              .select(F.col(user).alias("_u"), F.col(ts).alias("_t"),
-                      (F.col(page_type) == F.lit(wanted)).alias("_w"),
-                      F.col(sale).alias("_sale"),
-                      *[F.col(c).alias(f"_tb{i}") for i, c in enumerate(
-                          [tiebreak] if isinstance(tiebreak, str) else list(tiebreak or []))])
-              .withColumn("_bk", F.floor(F.col("_t") / F.lit(width))))
-    tb = [c for c in base.columns if c.startswith("_tb")]
-    pages = base.where("_w")
-    carried = pages.withColumn("_bk", F.col("_bk") + 1).withColumn("_sale", F.lit(None).cast(base.schema["_sale"].dataType))
-    rows = base.where(F.col("_w") | F.col("_sale").isNotNull()).unionByName(carried)
-    w = (Window.partitionBy("_u", "_bk").orderBy("_t", *tb, F.col("_sale").asc_nulls_first())
-               .rowsBetween(_UNB, _CUR))
-    last_page = F.last(F.when(F.col("_w"), F.col("_t")), ignorenulls=True).over(w)
-    return (rows.withColumn("_lp", last_page)
-                .where(F.col("_sale").isNotNull() & F.col("_lp").isNotNull()
-                       & (F.col("_t") - F.col("_lp") <= F.lit(within_s)))
-                .select(F.col("_sale").alias(sale)).distinct())
+    width = max(int(within_s), 1)
+    tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak or [])
+    key = F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(tb)])
+    rows = (df.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
+              .withColumn("_cell", F.floor(F.col(ts) / F.lit(width))))
+    pages = (rows.where(F.col(page_type) == F.lit(wanted))
+                 .groupBy(user, "_cell")
+                 .agg(F.min(key).alias("_first_page"), F.max(ts).alias("_last_page_ts")))
+    sales = rows.where(F.col(sale).isNotNull()).select(
+        user, "_cell", F.col(ts).alias("_t"), key.alias("_key"), sale)
+    same = pages.select(user, "_cell", "_first_page")
+    prev = pages.select(user, (F.col("_cell") + 1).alias("_cell"), "_last_page_ts")
+    j = sales.join(same, [user, "_cell"], "left").join(prev, [user, "_cell"], "left")
+    hit = ((F.col("_first_page").isNotNull() & (F.col("_first_page") <= F.col("_key")))
+           | (F.col("_last_page_ts").isNotNull()
+              & (F.col("_t") - F.col("_last_page_ts") <= F.lit(within_s))))
+    return j.where(hit).select(sale).distinct()
 
 
 def abandoned_sessions(df: DataFrame, session: str, ts: str, page_type: str,

@@ -53,7 +53,7 @@ def q03_views_before_buy(spark: SparkSession, sf_dir: str, targets=None, n: int
                        is_view=F.col("event_type") == "view",
                        is_buy=F.col("event_type") == "purchase",
                        targets=targets, n=n, range_s=s_to_us(range_s),
-                       tiebreak="event_id", bucket_width=s_to_us(range_s))
+                       tiebreak="event_id", bucket_width=s_to_us(DAY_S))
     g = pv.groupBy("purchased_item", "lastviewed_item").agg(F.count(F.lit(1)).alias("cnt"))
     return top_k(g, [F.col("cnt").desc(), "purchased_item", "lastviewed_item"], limit)
 

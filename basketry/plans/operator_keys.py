@@ -524,7 +524,7 @@ def last_n_before(spark, d):
     c = clicks(spark, d)
     return S.last_n_before(c, "user_id", "ts_us", "item", F.col("event_type") == "view",
                            F.col("event_type") == "purchase", n=5, range_s=s_to_us(10 * DAY_S),
-                           tiebreak="event_id", bucket_width=s_to_us(10 * DAY_S))
+                           tiebreak="event_id", bucket_width=s_to_us(DAY_S))
 
 
 def purchase_after_page(spark, d):

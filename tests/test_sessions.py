@@ -105,3 +105,47 @@ def test_abandoned_sessions(spark):
     df = spark.createDataFrame(rows, "s string, t long, kind string")
     out = abandoned_sessions(df, "s", "t", "kind", "cart", "checkout")
     assert sorted((r.s, r.pagecount) for r in out.collect()) == [("a", 2), ("c", 2)]
+
+
+def _random_clicks(seed, users=4, n=150):
+    rnd = random.Random(seed)
+    rows, i = [], 0
+    for u in range(users):
+        t = 0
+        for _ in range(n):
+            t += rnd.choice([0, 1, 2, 5, 9, 10, 11, 25, 60])
+            i += 1
+            kind = rnd.choice(["view", "view", "buy", "other"])
+            rows.append((i, u, t, kind, rnd.randrange(6)))
+    return rows
+
+
+def test_purchase_after_page_matches_brute_force(spark):
+    for seed, lim in ((1, 10), (2, 25), (3, 0)):
+        rows = _random_clicks(seed)
+        df = spark.createDataFrame(rows, "id long, u long, t long, kind string, item long") \
+            .withColumn("sale", F.when(F.col("kind") == "buy", F.col("id")))
+        got = sorted(r.sale for r in purchase_after_page(
+            df, "u", "t", "kind", "sale", wanted="view", within_s=lim, tiebreak="id").collect())
+        want = sorted(
+            s[0] for s in rows if s[3] == "buy"
+            and any(p[1] == s[1] and p[3] == "view" and (p[2], p[0]) <= (s[2], s[0])
+                    and s[2] - p[2] <= lim for p in rows))
+        assert got == want, (seed, lim)
+
+
+def test_last_n_before_matches_brute_force(spark):
+    for seed, n, rng, width in ((4, 3, 30, 7), (5, 5, 100, 1000), (6, 1, 0, 3)):
+        rows = _random_clicks(seed)
+        out = last_n_before(_clicks(spark, rows), "u", "t", "item", F.col("kind") == "view",
+                            F.col("kind") == "buy", n=n, range_s=rng, tiebreak="id",
+                            bucket_width=width)
+        got = sorted((r.purchased_item, r.lastviewed_item) for r in out.collect())
+        want = []
+        for b in rows:
+            if b[3] != "buy":
+                continue
+            views = sorted((v for v in rows if v[1] == b[1] and v[3] == "view"
+                            and (v[2], v[0]) < (b[2], b[0])), key=lambda v: (v[2], v[0]))
+            want += [(b[4], v[4]) for v in views[-n:] if b[2] - v[2] <= rng]
+        assert got == sorted(want), (seed, n, rng)
