@@ -101,13 +101,15 @@ def before_after(facts: DataFrame, changes: DataFrame, item: str, day: str, qty:
         0, subset=[c for c in g.columns if c.startswith(("after", "before"))])
 
 
-def _ac_scan(entries: dict, text_col: str, out_col: str, carry: list[str],
+def _ac_scan(bc_entries, text_col: str, out_col: str, carry: list[str],
              schema: T.StructType):
     """Arrow-batch scan: for each text, every dictionary name occurring in it
-    (one automaton pass per text), emitted once per payload of that name."""
+    (one automaton pass per text), emitted once per payload of that name.
+    The dictionary arrives as a broadcast variable (once per executor)."""
     def scan(batches):
         import ahocorasick
         import pandas as pd
+        entries = bc_entries.value
         auto = ahocorasick.Automaton()
         for n in entries:
             auto.add_word(n, n)
@@ -164,7 +166,8 @@ def join_contains(text_df: DataFrame, text: str, names_df: DataFrame, name: str,
         for r in rows:
             entries.setdefault(r["_n"], []).append(tuple(r[c] for c in carry))
         if entries:
-            parts.append(lowered.mapInPandas(_ac_scan(entries, "_lt", out, carry, scan_schema),
+            bc = text_df.sparkSession.sparkContext.broadcast(entries)
+            parts.append(lowered.mapInPandas(_ac_scan(bc, "_lt", out, carry, scan_schema),
                                              scan_schema).drop("_lt"))
     if not parts:
         return text_df.sparkSession.createDataFrame([], schema)

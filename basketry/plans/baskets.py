@@ -9,7 +9,7 @@ from basketry.operators.basket import pair_counts_bounded, top_k, viewed_with_it
 from basketry.operators.sessions import (abandoned_sessions, last_n_before,
                                          purchase_after_page, sessionize)
 from basketry.plans.common import DAY_S, lit_date, s_to_us
-from basketry.sources.tables import clicks, money, table
+from basketry.sources.tables import clicks, epoch_micros, money, table
 
 
 def q01_sold_together(spark: SparkSession, sf_dir: str, categories=None, stores=None,
@@ -75,7 +75,7 @@ def q08_review_effect(spark: SparkSession, sf_dir: str, start: str = "2024-01-01
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     e = e.where(F.col("ts").cast("date").between(lit_date(start), lit_date(end)))
     c = e.select("event_id", "user_id", "event_type", "value",
-                 F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+                 epoch_micros("ts").alias("ts_us"),
                  F.when(F.col("event_type") == sale, F.col("event_id")).alias("sale_id"))
     hits = purchase_after_page(c, "user_id", "ts_us", "event_type", "sale_id",
                                wanted=review, within_s=s_to_us(within_s), tiebreak="event_id")
@@ -98,7 +98,7 @@ def q12_view_then_store(spark: SparkSession, sf_dir: str, start: str = "2024-01-
     """
     c = clicks(spark, sf_dir).where(
         F.col("user_id").isNotNull() & F.floor(F.col("item") / 10).isin(list(categories)))
-    t0 = F.unix_micros(lit_date(start).cast("timestamp"))
+    t0 = epoch_micros(lit_date(start))
     in_days = lambda d: (F.col("ts_us") >= t0) & (F.col("ts_us") < t0 + F.lit(s_to_us(d * DAY_S)))
     per_user = c.groupBy("user_id").agg(
         F.min(F.when((F.col("event_type") == "view") & in_days(view_days), F.col("ts_us"))).alias("_first_view"),

@@ -20,7 +20,8 @@ from basketry.session import scratch_path
 from basketry.sources import delimited as D
 from basketry.sources import logs as L
 from basketry.sources import nested as N
-from basketry.sources.tables import clicks, money, net_paid, scan_columnar, table
+from basketry.sources.tables import (clicks, epoch_seconds, money, net_paid, scan_columnar,
+                                     table)
 
 ROWS_ONLY = ("limit_any", "gen_nested", "logreg_interest", "kmeans_segments",
              "nb_text_classifier")
@@ -606,7 +607,7 @@ def fn_date(spark, d):
     return o.select("o_orderkey", day.alias("day"), F.year(day).alias("yr"),
                     F.month(day).alias("mon"),
                     F.datediff(day, F.lit("1995-01-01").cast("date")).alias("day_no"),
-                    F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("epoch_s"))
+                    epoch_seconds("o_orderdate").alias("epoch_s"))
 
 
 def fn_virtual_ts(spark, d):

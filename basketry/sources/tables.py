@@ -55,15 +55,20 @@ def day(c: str | Column) -> Column:
     return col.cast("date")
 
 
-def epoch_seconds(c: str | Column) -> Column:
-    """Whole seconds since 1970 of a timestamp or timestamp_ntz column."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(1_000_000)).cast("long")
+EPOCH_NTZ = "1970-01-01 00:00:00"
 
 
 def epoch_micros(c: str | Column) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (timestamp_ntz or date)
+    column, independent of the session time zone."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.unix_micros(col.cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"),
+                            col.cast("timestamp_ntz"))
+
+
+def epoch_seconds(c: str | Column) -> Column:
+    """Whole seconds since 1970-01-01 of a wall-clock column (zone-free)."""
+    return F.floor(epoch_micros(c) / F.lit(1_000_000)).cast("long")
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
