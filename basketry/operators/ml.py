@@ -14,6 +14,7 @@ from pyspark.ml.feature import HashingTF, RegexTokenizer, StandardScaler, Vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.joins import spread
 from basketry.sources.delimited import ctas_temp
 
 
@@ -74,7 +75,7 @@ def nb_text_classifier(train: DataFrame, test: DataFrame, text: str, label: str,
                    modelType="multinomial"),
     ])
     tr = _materialise(train.withColumn(label, F.col(label).cast("double")), "nb-train")
-    te = test.withColumn(label, F.col(label).cast("double"))
+    te = spread(test.withColumn(label, F.col(label).cast("double")))
     return pipe.fit(tr).transform(te).select(id_col, label, "prediction")
 
 

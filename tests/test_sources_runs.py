@@ -85,3 +85,16 @@ def test_result_diff(spark):
     assert [tuple(r) for r in result_diff(extra, e).collect()] == [("extra", 3)]
     missing = spark.createDataFrame([(1,), (2,)], "x long")
     assert [tuple(r) for r in result_diff(missing, e).collect()] == [("missing", 2)]
+
+
+def test_review_split_is_disjoint_and_complete(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    sf = "/root/testdata/sf0.001"
+    tagged = q["multi_insert"](spark, sf)
+    per_doc = tagged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    assert per_doc.where("n != 1").count() == 0
+    labelled = spark.read.parquet(f"{sf}/labels.parquet").join(
+        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), "doc_id")
+    assert tagged.count() == labelled.count()
+    assert set(r.target for r in tagged.select("target").distinct().collect()) == {"train", "test"}
