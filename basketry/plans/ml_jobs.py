@@ -49,20 +49,21 @@ def q05_interest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logreg_interest(f, "label", cols)
 
 
-def q20_return_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per customer: returned/ordered ratios of orders, lines and money, and
-    the number of orders with a return. Lines -> orders -> customers: the
-    first level groups on the join key (no extra shuffle), the second level
-    shuffles one row per order."""
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_discount",
-               "l_returnflag")
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+def return_ratios(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per customer: returned/ordered ratios of orders, lines and money
+    (0.0 when undefined) and the number of orders with a return.
+
+    ``lines``: l_orderkey, l_extendedprice, l_discount, l_returnflag;
+    ``orders``: o_orderkey, o_custkey. Lines -> orders -> customers: the
+    first level groups on the join key (no extra shuffle once the join is a
+    shuffle join), the second shuffles one row per order.
+    """
     ret = F.col("l_returnflag") == "R"
-    per_order = (li.join(o, li.l_orderkey == o.o_orderkey)
-                   .groupBy("o_custkey", "l_orderkey")
-                   .agg(F.count(F.lit(1)).alias("lines"), F.sum(net_paid()).alias("money"),
-                        F.count(F.when(ret, 1)).alias("r_lines"),
-                        F.sum(F.when(ret, net_paid())).alias("r_money")))
+    per_order = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+                      .groupBy("o_custkey", "l_orderkey")
+                      .agg(F.count(F.lit(1)).alias("lines"), F.sum(net_paid()).alias("money"),
+                           F.count(F.when(ret, 1)).alias("r_lines"),
+                           F.sum(F.when(ret, net_paid())).alias("r_money")))
     per_cust = per_order.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("orders_count"), F.sum("lines").alias("orders_items"),
         F.sum("money").alias("orders_money"),
@@ -80,6 +81,14 @@ def q20_return_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("returns_count").cast("double").alias("frequency"))
 
 
+def q20_return_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return ratios of every customer (feature table of the segmentation)."""
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_discount",
+               "l_returnflag")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    return return_ratios(li, o)
+
+
 def q20_return_segments(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
     f = q20_return_features(spark, sf_dir)
     return kmeans_segments(f, "user_sk", ["order_ratio", "items_ratio", "monetary_ratio",

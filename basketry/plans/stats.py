@@ -105,24 +105,33 @@ def market_prices(part: DataFrame, windows: int = 2) -> DataFrame:
          .alias("price_change"))
 
 
+def cross_price_elasticity(sales: DataFrame, changes: DataFrame) -> DataFrame:
+    """Per item: mean over its competitor price changes of
+    (quantity after - quantity before) / (quantity before x price change),
+    both channels together; a zero change or no sales before gives NULL.
+
+    ``sales``: item, sold (date), qty, ch ('F'/'O'); ``changes``: item,
+    imp_sk, imp_start_date, no_days_comp_price, price_change.
+    """
+    ba = before_after(sales, changes, "item", "sold", "qty", "imp_start_date",
+                      "no_days_comp_price", keys=["imp_sk", "price_change"], split=F.col("ch"))
+    cur = F.col("after_F") + F.col("after_O")
+    prev = F.col("before_F") + F.col("before_O")
+    e = F.try_divide(cur - prev, prev * F.col("price_change"))
+    return (ba.groupBy(F.col("item").alias("i_item_sk"))
+              .agg(F.avg(e).alias("_e"))
+              .select("i_item_sk", F.col("_e").cast("decimal(15,7)").alias("cross_price_elasticity")))
+
+
 def q24_price_elasticity(spark: SparkSession, sf_dir: str, p_type: str = "ECONOMY") -> DataFrame:
-    """Cross-price elasticity per part of one category: quantity change in
-    the window after each competitor price change vs. the window before it,
-    over both channels, divided by the price change (0 change -> NULL)."""
+    """Cross-price elasticity per part of one category against the derived
+    competitor price windows."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_type").where(F.col("p_type") == p_type)
-    changes = market_prices(p.select("p_partkey"))
+    changes = market_prices(p.select("p_partkey")).withColumnRenamed("p_partkey", "item")
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_linestatus")
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
     sales = (li.join(o, li.l_orderkey == o.o_orderkey)
                .select(F.col("l_partkey").alias("item"),
                        F.col("o_orderdate").cast("date").alias("sold"),
                        F.col("l_quantity").alias("qty"), F.col("l_linestatus").alias("ch")))
-    ba = before_after(sales, changes.withColumnRenamed("p_partkey", "item"), "item", "sold", "qty",
-                      "imp_start_date", "no_days_comp_price", keys=["imp_sk", "price_change"],
-                      split=F.col("ch"))
-    cur = F.col("after_F") + F.col("after_O")
-    prev = F.col("before_F") + F.col("before_O")
-    e = F.try_divide(cur - prev, prev * F.col("price_change"))
-    return (ba.groupBy(F.col("item").alias("i_item_sk"))
-              .agg(F.avg(e).alias("_e"))
-              .select("i_item_sk", F.col("_e").cast("decimal(15,7)").alias("cross_price_elasticity")))
+    return cross_price_elasticity(sales, changes)

@@ -109,3 +109,32 @@ def test_join_contains_chunks(spark):
     many = sorted(tuple(r) for r in join_contains(docs, "text", names, "n", max_names=1)
                   .select("id", "matched_name").collect())
     assert one == many == [(1, "quick"), (1, "the q"), (2, "dog")]
+
+
+def test_return_ratio_cases(spark):
+    from basketry.plans.ml_jobs import return_ratios
+    lines = spark.createDataFrame(
+        [(1, 100.0, 0.0, "N"),                       # customer 10: no returns
+         (2, 100.0, 0.0, "R"), (2, 300.0, 0.0, "N"),  # customer 20: order partly returned
+         (3, 0.0, 0.0, "R")],                         # customer 30: zero paid, returned
+        "l_orderkey long, l_extendedprice double, l_discount double, l_returnflag string")
+    orders = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "o_orderkey long, o_custkey long")
+    got = {r.user_sk: tuple(r)[1:] for r in return_ratios(lines, orders).collect()}
+    assert got[10] == (0.0, 0.0, 0.0, 0.0)
+    assert got[20] == (1.0, 0.5, 0.25, 1.0)
+    assert got[30] == (1.0, 1.0, 0.0, 1.0)           # 0 / 0 money -> 0.0
+
+
+def test_elasticity_zero_change_is_null(spark):
+    from basketry.plans.stats import cross_price_elasticity
+    changes = spark.createDataFrame(
+        [(1, 10, "2020-01-10", 5, 0.10), (1, 11, "2020-02-10", 5, 0.0)],
+        "item long, imp_sk long, imp_start_date string, no_days_comp_price int, price_change double"
+    ).withColumn("imp_start_date", F.col("imp_start_date").cast("date"))
+    sales = spark.createDataFrame(
+        [(1, "2020-01-07", 2.0, "F"), (1, "2020-01-11", 3.0, "O"),
+         (1, "2020-02-07", 2.0, "F"), (1, "2020-02-11", 4.0, "F")],
+        "item long, sold string, qty double, ch string").withColumn("sold", F.col("sold").cast("date"))
+    r = cross_price_elasticity(sales, changes).collect()[0]
+    # window 10: (3 - 2) / (2 * 0.1) = 5; window 11: change 0 -> NULL, ignored by avg
+    assert float(r.cross_price_elasticity) == 5.0
