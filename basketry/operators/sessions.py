@@ -55,65 +55,40 @@ def bucketed_prefix_sum(df: DataFrame, part: list[str], ts: str, value: Column,
                     .drop("_bk", "_v", "_local", "_off"))
 
 
-def _interval_sessions(cells: DataFrame, user: str, lo: str, hi: str, timeout,
-                       width: int) -> DataFrame:
-    """Session number per row of ``cells`` (disjoint time intervals [lo, hi]
-    per user): a new session starts where lo - (previous hi) > timeout.
-
-    Stitched over buckets of ``width``: a window per (user, bucket) finds the
-    starts inside a bucket; a one-row-per-bucket summary, windowed per user,
-    gives each bucket its first-start flag and the number of earlier starts.
-    """
-    x = cells.withColumn("_bk", F.floor(F.col(lo) / F.lit(width)))
-    w = Window.partitionBy(user, "_bk").orderBy(lo)
-    x = (x.withColumn("_new", F.when(F.col(lo) - F.lag(hi).over(w) > F.lit(timeout), 1)
-                               .otherwise(0))
-          .withColumn("_run", F.sum("_new").over(w.rowsBetween(_UNB, _CUR))))
-    summ = x.groupBy(user, "_bk").agg(F.min(lo).alias("_first"), F.max(hi).alias("_last"),
-                                      F.sum("_new").alias("_inner"))
-    ws = Window.partitionBy(user).orderBy("_bk")
-    prev_last = F.lag("_last").over(ws)
-    summ = summ.withColumn(
-        "_first_new",
-        F.when(prev_last.isNull() | (F.col("_first") - prev_last > F.lit(timeout)), 1).otherwise(0))
-    summ = summ.withColumn("_starts", F.col("_first_new") + F.col("_inner"))
-    summ = summ.select(
-        user, "_bk", "_first_new",
-        (F.sum("_starts").over(ws.rowsBetween(_UNB, _CUR)) - F.col("_starts")).alias("_off"))
-    return (x.join(summ, [user, "_bk"], "inner")
-             .withColumn("_session_no", F.col("_off") + F.col("_first_new") + F.col("_run"))
-             .drop("_bk", "_new", "_run", "_first_new", "_off"))
-
-
 def sessionize(df: DataFrame, user: str, ts: str, timeout: int, tiebreak=None,
                out: str = "session_id", bucket_width: int | None = None) -> DataFrame:
     """Add ``out`` = ``<user>_<n>``: per user in time order, a gap greater
-    than ``timeout`` (same unit as ``ts``; integral times) starts session
-    n+1; n starts at 1.
+    than ``timeout`` (same unit as ``ts``) starts session n+1; n starts at 1.
 
     Rows with a NULL user or time are dropped (they belong to no session).
     An equal gap stays in the same session; equal times never split.
 
     Plan: time is cut into cells ``timeout`` wide. Two clicks of one cell
-    are less than ``timeout`` apart, so a cell never splits and only the
-    per-(user, cell) first/last times matter: a map-side combined aggregate.
-    Sessions are found on that cell table (bucket-stitched, see
-    ``_interval_sessions``) and joined back to the clicks on (user, cell):
-    the clicks are shuffled once and never sorted per user, and a user with
-    a large share of all clicks is spread over its cells. ``tiebreak`` is
-    accepted for API symmetry; ties cannot change a session.
+    are less than ``timeout`` apart, so a cell never splits. A cell starts a
+    session exactly when the previous cell is empty (its clicks are then
+    more than ``timeout`` back) or its last click is more than ``timeout``
+    before this cell's first. So: one map-side combined aggregate per
+    (user, cell), an equi join of that table with itself shifted by one
+    cell, a running count of starts (bucketed, see ``bucketed_prefix_sum``),
+    and a join back on (user, cell). The clicks are shuffled once and never
+    sorted; a user with a large share of all clicks is spread over its
+    cells. ``tiebreak`` is accepted for API symmetry; ties cannot split.
     """
     del tiebreak
     cell_w = max(int(timeout), 1)
-    width = int(bucket_width or cell_w * 24)
-    width = max(width, cell_w)
+    cells_per_bucket = max(int(bucket_width or cell_w * 24) // cell_w, 1)
     t = F.col(ts)
     rows = (df.where(F.col(user).isNotNull() & t.isNotNull())
               .withColumn("_cell", F.floor(t / F.lit(cell_w))))
     cells = rows.groupBy(user, "_cell").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    numbered = _interval_sessions(cells, user, "_lo", "_hi", timeout, width).select(
-        user, "_cell", "_session_no")
-    return (rows.join(numbered, [user, "_cell"], "inner")
+    prev = cells.select(user, (F.col("_cell") + 1).alias("_cell"), F.col("_hi").alias("_prev_hi"))
+    starts = (cells.join(prev, [user, "_cell"], "left")
+                   .withColumn("_start", F.when(F.col("_prev_hi").isNull()
+                                                | (F.col("_lo") - F.col("_prev_hi") > F.lit(timeout)),
+                                                1).otherwise(0)))
+    numbered = bucketed_prefix_sum(starts, [user], "_cell", F.col("_start"), "_session_no",
+                                   bucket_width=cells_per_bucket)
+    return (rows.join(numbered.select(user, "_cell", "_session_no"), [user, "_cell"], "inner")
                 .withColumn(out, F.concat(F.col(user).cast("string"), F.lit("_"),
                                           F.col("_session_no").cast("string")))
                 .drop("_cell", "_session_no"))
