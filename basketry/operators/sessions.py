@@ -180,6 +180,13 @@ def recency_flag(df: DataFrame, last_day: str, today, days: int = 60, out: str =
                                      F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def distribute_sort(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Co-locate rows by ``key`` and sort each partition (DISTRIBUTE BY / SORT BY)."""
-    return df.repartition(*key).sortWithinPartitions(*key, *order)
+def distribute_sort(df: DataFrame, key: list[str], order: list[str],
+                    partitions: int | None = None) -> DataFrame:
+    """DISTRIBUTE BY key SORT BY key, order: each key's rows contiguous and
+    in order. Range partitioning on (key, order) is used instead of hashing
+    the key: a key holding a large share of the rows spreads over
+    neighbouring partitions (in order) instead of filling one task."""
+    cols = [*key, *order]
+    r = (df.repartitionByRange(partitions, *cols) if partitions
+         else df.repartitionByRange(*cols))
+    return r.sortWithinPartitions(*cols)
