@@ -23,10 +23,6 @@ _UNB = Window.unboundedPreceding
 _CUR = Window.currentRow
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def _order(ts: str, tiebreak) -> list[Column]:
     tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak or [])
     return [F.col(ts)] + [F.col(t) for t in tb]

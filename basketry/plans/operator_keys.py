@@ -41,9 +41,11 @@ def scan_columnar_key(spark, d):
 
 
 def load_delimited(spark, d):
+    """lineitem as `|` text, loaded with its declared schema into Parquet."""
     li = table(spark, d, "lineitem")
-    path = D.write_delimited(li, scratch_path(spark, "lineitem-text"), sep="|")
-    return D.load_delimited(spark, path, li.schema, sep="|")
+    text = D.write_delimited(li, scratch_path(spark, "lineitem-text"), sep="|")
+    typed = D.load_delimited(spark, text, li.schema, sep="|")
+    return spark.read.parquet(D.to_columnar(typed, scratch_path(spark, "lineitem-columnar")))
 
 
 def sink_result_text(spark, d):

@@ -15,8 +15,3 @@ def spark():
     s = local_session(cpus=4, app="basketry-tests", shuffle_partitions=4)
     yield s
     s.stop()
-
-
-@pytest.fixture(scope="session")
-def sf_small():
-    return SF_SMALL

@@ -138,3 +138,11 @@ def test_elasticity_zero_change_is_null(spark):
     r = cross_price_elasticity(sales, changes).collect()[0]
     # window 10: (3 - 2) / (2 * 0.1) = 5; window 11: change 0 -> NULL, ignored by avg
     assert float(r.cross_price_elasticity) == 5.0
+
+
+def test_classifier_accuracy(spark):
+    from basketry.operators.ml import classifier_accuracy
+    pred = spark.createDataFrame([(1.0, 1.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)],
+                                 "quality double, prediction double")
+    r = classifier_accuracy(pred, "quality").collect()[0]
+    assert (r.accuracy, r.n) == (0.75, 4)
