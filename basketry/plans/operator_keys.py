@@ -182,7 +182,7 @@ def _nested_text_path(spark, d):
     return path
 
 
-NESTED_LEAVES = [1, 4, 9, 14, 18]
+NESTED_LEAVES = [1, 9, 14, 18, 24]
 
 
 def load_nested_text(spark, d):

@@ -62,7 +62,7 @@ SQL = {
                  max(CASE WHEN event_type = 'purchase' THEN t END) AS lp
           FROM s GROUP BY u, sn)
     SELECT count(*) AS abandoned_sessions,
-           CAST(sum(pagecount) / count(*) AS DECIMAL(20,1)) AS average_pages
+           CAST(CAST(sum(pagecount) / count(*) AS DECIMAL(20,1)) AS DOUBLE) AS average_pages
     FROM a WHERE lc IS NOT NULL AND (lp IS NULL OR lp < lc)""",
 
     "q08_review_effect": f"""

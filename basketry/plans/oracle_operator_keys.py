@@ -28,8 +28,8 @@ def _nested_leaf(i: int) -> str:
     return (f"substr(sha256(concat_ws(':', CAST(o_orderkey AS VARCHAR), '0', '{i}', '0')), 1, 20)")
 
 
-NESTED = f"""SELECT {_nested_leaf(1)} AS a1, CAST(NULL AS BIGINT) AS a4,
-             o_orderkey % 2 = 0 AS a9, o_orderkey * 14 AS a14, o_orderkey * 18 AS a18
+NESTED = f"""SELECT {_nested_leaf(1)} AS a1, o_orderkey % 2 = 0 AS a9,
+             o_orderkey * 14 AS a14, o_orderkey * 18 AS a18, o_orderkey * 24 AS a24
       FROM orders"""
 
 MARKET = """ch AS (SELECT p.p_partkey AS item, p.p_partkey * 2 + r.k AS imp_sk,
@@ -47,12 +47,12 @@ GROWTH = f"""x AS (SELECT o.o_custkey AS cust, year(o.o_orderdate) AS yr, l.l_li
 
 SQL = {
     # 2.1
-    "scan_columnar": """SELECT l_orderkey, l_partkey, l_quantity, l_shipdate FROM lineitem
+    "scan_columnar": """SELECT l_orderkey, l_partkey, l_quantity, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS l_shipdate FROM lineitem
                         WHERE l_shipdate >= TIMESTAMP '1998-01-01'""",
-    "load_delimited": "SELECT * FROM lineitem",
+    "load_delimited": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS l_shipdate FROM lineitem",
     "sink_result_text": """SELECT n.n_name, count(*) AS cnt FROM customer c
                            JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name""",
-    "append_refresh": "SELECT * FROM orders",
+    "append_refresh": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, o_orderpriority FROM orders",
     "multi_insert": """SELECT d.doc_id, l.quality,
                               CASE WHEN d.doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS target
                        FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
@@ -67,7 +67,7 @@ SQL = {
     SELECT CAST({K} % 30 + 1 AS VARCHAR) AS query,
            CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
            CASE WHEN event_type = 'error' THEN NULL ELSE value END AS seconds,
-           CASE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id AS BIGINT) END AS rows
+           CASE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id AS DOUBLE) END AS rows
     FROM events""",
     "runs_minutes": f"""WITH {RUNS} SELECT query, phase, duration_ms,
                         ((duration_ms * 1000 + 30000) // 60000) / 1000.0 AS minutes FROM runs""",
@@ -89,7 +89,7 @@ SQL = {
            avg(CASE WHEN engine = 'hot' THEN duration_ms END) AS avg_ms_hot,
            avg(CASE WHEN engine = 'sparksql' THEN duration_ms END) AS avg_ms_sparksql
     FROM runs WHERE NOT failed GROUP BY query""",
-    "result_diff": "SELECT 'extra' AS side, * FROM lineitem WHERE 1 = 0",
+    "result_diff": "SELECT 'extra' AS side, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS l_shipdate FROM lineitem WHERE 1 = 0",
     "load_nested_text": NESTED,
     "nested_to_columnar": f"""SELECT {_nested_leaf(1)} AS a1, 2 AS a5_items, o_orderkey * 30 AS a30
                              FROM orders""",
@@ -98,9 +98,9 @@ SQL = {
     # 2.2
     "project_expr": f"""
     SELECT l.l_orderkey, l.l_linenumber,
-           CAST((({M('l.l_extendedprice')} - {M('l.l_extendedprice')} * {M('l.l_tax')}
+           CAST(CAST((({M('l.l_extendedprice')} - {M('l.l_extendedprice')} * {M('l.l_tax')}
                  - {M('l.l_extendedprice')} * {M('l.l_discount')}) + {NET}) * 0.5 AS DECIMAL(20,5))
-             AS profit
+             AS DOUBLE) AS profit
     FROM lineitem l""",
     "filter_in_list": """SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem
                          WHERE l_suppkey IN (10, 20, 33, 40, 50)""",
@@ -119,9 +119,9 @@ SQL = {
     "filter_not_null": "SELECT event_id FROM events WHERE user_id IS NOT NULL AND props IS NOT NULL",
     "filter_is_null": """SELECT event_id, event_type FROM events
                          WHERE (CASE WHEN event_type = 'purchase' THEN event_id END) IS NULL""",
-    "date_range_filter": """SELECT o_orderkey, o_orderdate FROM orders
+    "date_range_filter": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate FROM orders
                             WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'""",
-    "days_around": """SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem
+    "days_around": """SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS l_shipdate FROM lineitem
                       WHERE datediff('day', DATE '1998-03-16', CAST(l_shipdate AS DATE)) BETWEEN -30 AND 30""",
     "in_subquery": """SELECT l_orderkey, l_linenumber FROM lineitem
                       WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
@@ -150,7 +150,7 @@ SQL = {
     SELECT sold.ticket, sold.item, sold.cust, ss_qty, sr_qty
     FROM sold JOIN ret ON sold.ticket = ret.ticket AND sold.item = ret.item AND sold.cust = ret.cust""",
     "join_self": """
-    SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem
+    SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS l_shipdate FROM lineitem
     WHERE floor(datediff('day', DATE '1900-01-01', CAST(l_shipdate AS DATE)) / 7) IN (
       SELECT floor(datediff('day', DATE '1900-01-01', d) / 7)
       FROM (VALUES (DATE '1997-03-08'), (DATE '1997-08-02'), (DATE '1997-11-15'), (DATE '1997-12-20')) t(d))""",
@@ -158,8 +158,8 @@ SQL = {
     WITH {GROWTH},
     st AS (SELECT cust, CAST(s AS DOUBLE) / CAST(f AS DOUBLE) AS ratio FROM side WHERE ch = 'F'),
     wb AS (SELECT cust, CAST(s AS DOUBLE) / CAST(f AS DOUBLE) AS ratio FROM side WHERE ch = 'O')
-    SELECT st.cust, CAST(st.ratio AS DECIMAL(15,4)) AS store_ratio,
-           CAST(wb.ratio AS DECIMAL(15,4)) AS web_ratio
+    SELECT st.cust, CAST(CAST(st.ratio AS DECIMAL(15,4)) AS DOUBLE) AS store_ratio,
+           CAST(CAST(wb.ratio AS DECIMAL(15,4)) AS DOUBLE) AS web_ratio
     FROM st JOIN wb ON st.cust = wb.cust AND wb.ratio > st.ratio""",
     "join_tolerance": """
     WITH sr AS (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem
@@ -203,7 +203,7 @@ SQL = {
            max(l_discount) AS max_disc
     FROM lineitem GROUP BY l_returnflag, l_linestatus""",
     "agg_global": f"""SELECT count(*) AS lines, CAST(sum({NET}) AS DOUBLE) AS net,
-                             max(l.l_shipdate) AS last_ship FROM lineitem l""",
+                             strftime(max(l.l_shipdate), '%Y-%m-%d %H:%M:%S.%f') AS last_ship FROM lineitem l""",
     "agg_conditional": f"""
     WITH x AS (SELECT s.s_nationkey, year(o.o_orderdate) AS yr, {NET} AS net
                FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
@@ -220,9 +220,9 @@ SQL = {
     WITH g AS (SELECT l_suppkey, CAST(stddev_samp(l_quantity) AS DECIMAL(15,5)) AS stdev,
                       CAST(avg(l_quantity) AS DECIMAL(15,5)) AS mean
                FROM lineitem GROUP BY l_suppkey)
-    SELECT l_suppkey, stdev, mean,
-           CAST(CASE WHEN mean <> 0 THEN CAST(stdev AS DOUBLE) / CAST(mean AS DOUBLE) END
-                AS DECIMAL(15,5)) AS cov
+    SELECT l_suppkey, CAST(stdev AS DOUBLE) AS stdev, CAST(mean AS DOUBLE) AS mean,
+           CAST(CAST(CASE WHEN mean <> 0 THEN CAST(stdev AS DOUBLE) / CAST(mean AS DOUBLE) END
+                AS DECIMAL(15,5)) AS DOUBLE) AS cov
     FROM g""",
     "agg_corr": """SELECT l_linestatus, round(corr(l_quantity, l_extendedprice), 9) AS corr
                    FROM lineitem GROUP BY l_linestatus""",
@@ -294,7 +294,7 @@ SQL = {
     FROM orders GROUP BY o_custkey""",
 
     # 2.6
-    "order_global": """SELECT o_orderkey, o_orderdate, o_totalprice FROM orders
+    "order_global": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, o_totalprice FROM orders
                        ORDER BY o_orderdate, o_orderkey""",
     "top_k": """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
                 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100""",
@@ -320,9 +320,9 @@ SQL = {
                          round(l_extendedprice / l_quantity, 7) AS unit_price,
                          l_orderkey % 10 AS bucket FROM lineitem""",
     "fn_cast": """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS qty,
-                         CAST(l_extendedprice AS DECIMAL(15,2)) AS price,
+                         CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS DOUBLE) AS price,
                          CAST(l_linenumber AS DOUBLE) AS line_d FROM lineitem""",
-    "fn_date": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day,
+    "fn_date": """SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day,
                          CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(month(o_orderdate) AS INTEGER) AS mon,
                          CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS day_no,
                          epoch_us(o_orderdate) // 1000000 AS epoch_s FROM orders""",
@@ -338,7 +338,7 @@ SQL = {
     "build_date_dim": """
     WITH b AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders),
     d AS (SELECT CAST(g AS DATE) AS d_date FROM b, generate_series(CAST(b.lo AS TIMESTAMP), CAST(b.hi AS TIMESTAMP), INTERVAL 1 DAY) t(g))
-    SELECT d_date, CAST(datediff('day', DATE '1970-01-01', d_date) AS INTEGER) AS d_date_sk,
+    SELECT strftime(d_date, '%Y-%m-%d') AS d_date, CAST(datediff('day', DATE '1970-01-01', d_date) AS INTEGER) AS d_date_sk,
            CAST(year(d_date) AS INTEGER) AS d_year, CAST(month(d_date) AS INTEGER) AS d_moy,
            CAST(day(d_date) AS INTEGER) AS d_dom, CAST(quarter(d_date) AS INTEGER) AS d_qoy,
            CAST(floor(datediff('day', DATE '1900-01-01', d_date) / 7) AS INTEGER) AS d_week_seq,

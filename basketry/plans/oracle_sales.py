@@ -34,7 +34,7 @@ def _growth_sql(measure: str, year: int) -> str:
 SQL = {
     "q06_channel_shift": f"""
     WITH {_growth_sql(PROFIT, 1996)}
-    SELECT CAST(CAST(wb.s AS DOUBLE) / CAST(wb.f AS DOUBLE) AS DECIMAL(15,1)) AS web_sales_increase_ratio,
+    SELECT CAST(CAST(CAST(wb.s AS DOUBLE) / CAST(wb.f AS DOUBLE) AS DECIMAL(15,1)) AS DOUBLE) AS web_sales_increase_ratio,
            c.c_custkey, c.c_name, c.c_mktsegment, c.c_nationkey
     FROM st JOIN wb ON st.cust = wb.cust JOIN customer c ON c.c_custkey = wb.cust
     WHERE CAST(wb.s AS DOUBLE) / CAST(wb.f AS DOUBLE) > CAST(st.s AS DOUBLE) / CAST(st.f AS DOUBLE)
@@ -69,8 +69,8 @@ SQL = {
     "q13_yoy_growth": f"""
     WITH {_growth_sql(NET, 1996)}
     SELECT c.c_custkey AS customer_id, c.c_name AS customer_name,
-           CAST(CAST(st.s AS DOUBLE) / CAST(st.f AS DOUBLE) AS DECIMAL(15,2)) AS store_sales_increase_ratio,
-           CAST(CAST(wb.s AS DOUBLE) / CAST(wb.f AS DOUBLE) AS DECIMAL(15,2)) AS web_sales_increase_ratio
+           CAST(CAST(CAST(st.s AS DOUBLE) / CAST(st.f AS DOUBLE) AS DECIMAL(15,2)) AS DOUBLE) AS store_sales_increase_ratio,
+           CAST(CAST(CAST(wb.s AS DOUBLE) / CAST(wb.f AS DOUBLE) AS DECIMAL(15,2)) AS DOUBLE) AS web_sales_increase_ratio
     FROM st JOIN wb ON st.cust = wb.cust JOIN customer c ON c.c_custkey = wb.cust
     WHERE CAST(wb.s AS DOUBLE) / CAST(wb.f AS DOUBLE) > CAST(st.s AS DOUBLE) / CAST(st.f AS DOUBLE)
     ORDER BY CAST(wb.s AS DOUBLE) / CAST(wb.f AS DOUBLE) DESC, c.c_custkey LIMIT 100""",

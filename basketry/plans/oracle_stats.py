@@ -20,7 +20,7 @@ SQL = {
     c AS (SELECT count(CASE WHEN h BETWEEN 7 AND 8 THEN 1 END) AS am_count,
                  count(CASE WHEN h BETWEEN 19 AND 20 THEN 1 END) AS pm_count FROM x)
     SELECT am_count, pm_count,
-           CAST(CAST(am_count AS DOUBLE) / nullif(CAST(pm_count AS DOUBLE), 0) AS DECIMAL(15,4))
+           CAST(CAST(CAST(am_count AS DOUBLE) / nullif(CAST(pm_count AS DOUBLE), 0) AS DECIMAL(15,4)) AS DOUBLE)
              AS am_pm_ratio
     FROM c""",
 
@@ -53,8 +53,8 @@ SQL = {
     c AS (SELECT warehouse, item, d_moy,
                  CAST(CAST(sd AS DOUBLE) / CAST(mu AS DOUBLE) AS DECIMAL(15,5)) AS cov
           FROM g WHERE mu > 0 AND CAST(sd AS DOUBLE) / CAST(mu AS DOUBLE) >= 0.6)
-    SELECT a.warehouse, a.item, a.d_moy, a.cov, b.d_moy AS d_moy_consecutive,
-           b.cov AS cov_consecutive
+    SELECT a.warehouse, a.item, a.d_moy, CAST(a.cov AS DOUBLE) AS cov, b.d_moy AS d_moy_consecutive,
+           CAST(b.cov AS DOUBLE) AS cov_consecutive
     FROM c a JOIN c b ON a.warehouse = b.warehouse AND a.item = b.item
                      AND a.d_moy = 1 AND b.d_moy = 2
     ORDER BY a.warehouse, a.item""",
@@ -78,7 +78,7 @@ SQL = {
                                   AND sales.sold < ch.s + ch.len
           GROUP BY ch.item, ch.imp_sk, ch.price_change)
     SELECT item AS i_item_sk,
-           CAST(avg((af + ao - bf - bo) / nullif((bf + bo) * price_change, 0)) AS DECIMAL(15,7))
+           CAST(CAST(avg((af + ao - bf - bo) / nullif((bf + bo) * price_change, 0)) AS DECIMAL(15,7)) AS DOUBLE)
              AS cross_price_elasticity
     FROM w GROUP BY item""",
 }

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.plans.common import report_types
+
 # (plan module, oracle module) pairs. A key of the oracle module's ``SQL`` or
 # of the plan module's ``ROWS_ONLY`` is registered with the plan function of
 # that name (or ``KEYS[key]`` where the plan module maps names).
@@ -31,7 +33,7 @@ def _load():
         named = getattr(pm, "KEYS", {})
         for key in list(sql) + list(rows_only):
             fn = named.get(key) or getattr(pm, key)
-            queries[key] = (lambda f: (lambda spark, sf_dir: f(spark, sf_dir)))(fn)
+            queries[key] = (lambda f: (lambda spark, sf_dir: report_types(f(spark, sf_dir))))(fn)
         for key, text in sql.items():
             oracle[key] = " ".join(text.split())
     return queries, oracle

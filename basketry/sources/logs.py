@@ -37,7 +37,8 @@ def scan_runlog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_querylog(spark: SparkSession, path: str) -> DataFrame:
-    """(query, status, seconds, rows) per log line that reports an outcome."""
+    """(query, status, seconds, rows) per log line that reports an outcome;
+    seconds and rows are NULL on failures (rows as double, like seconds)."""
     raw = spark.read.text(path)
     ok = F.regexp_extract(F.col("value"), SUCCESS_RE, 1)
     fail = F.col("value").startswith(FAILURE_PREFIX)
@@ -49,4 +50,4 @@ def scan_querylog(spark: SparkSession, path: str) -> DataFrame:
         "query",
         F.when(F.col("_fail"), F.lit("FAILED")).otherwise(F.lit("SUCCESS")).alias("status"),
         F.when(~F.col("_fail"), F.col("_sec").try_cast("double")).alias("seconds"),
-        F.when(~F.col("_fail"), F.col("_rows").try_cast("long")).alias("rows"))
+        F.when(~F.col("_fail"), F.col("_rows").try_cast("double")).alias("rows"))

@@ -75,7 +75,7 @@ def test_querylog(spark):
     with open(d + "/query=q7/log.txt", "w") as f:
         f.write("Query ID = 1\nTime taken: 2.5 seconds, Fetched: 100 row(s)\nFAILED: boom\n")
     got = sorted(tuple(r) for r in scan_querylog(spark, d).collect())
-    assert got == [("q7", "FAILED", None, None), ("q7", "SUCCESS", 2.5, 100)]
+    assert got == [("q7", "FAILED", None, None), ("q7", "SUCCESS", 2.5, 100.0)]
 
 
 def test_result_diff(spark):
