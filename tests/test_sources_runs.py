@@ -98,3 +98,16 @@ def test_review_split_is_disjoint_and_complete(spark):
         spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), "doc_id")
     assert tagged.count() == labelled.count()
     assert set(r.target for r in tagged.select("target").distinct().collect()) == {"train", "test"}
+
+
+def test_orc_round_trip_with_pushdown(spark):
+    from basketry.sources.delimited import to_columnar
+    from basketry.sources.tables import scan_columnar
+    d = tempfile.mkdtemp(prefix="basketry-test-")
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    to_columnar(li, f"{d}/lineitem.orc", fmt="orc")
+    got = (scan_columnar(spark, d, "lineitem", fmt="orc", columns=["l_orderkey", "l_quantity"])
+           .where(F.col("l_quantity") > 40))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,40.0)]" in plan
+    assert got.count() == li.where(F.col("l_quantity") > 40).count()
