@@ -102,7 +102,7 @@ def before_after(facts: DataFrame, changes: DataFrame, item: str, day: str, qty:
 
 
 def _ac_scan(bc_entries, text_col: str, out_col: str, carry: list[str],
-             schema: T.StructType):
+             schema: T.StructType, distinct_payload: bool = False):
     """Arrow-batch scan: for each text, every dictionary name occurring in it
     (one automaton pass per text), emitted once per payload of that name.
     The dictionary arrives as a broadcast variable (once per executor)."""
@@ -120,8 +120,13 @@ def _ac_scan(bc_entries, text_col: str, out_col: str, carry: list[str],
             for i, t in enumerate(pdf[text_col].tolist()):
                 if t is None:
                     continue
+                seen = set()
                 for h in sorted({v for _, v in auto.iter(t)}):
                     for p in entries[h]:
+                        if distinct_payload:
+                            if p in seen:
+                                continue
+                            seen.add(p)
                         idx.append(i)
                         found.append(h)
                         payload.append(p)
@@ -135,12 +140,14 @@ def _ac_scan(bc_entries, text_col: str, out_col: str, carry: list[str],
 
 def join_contains(text_df: DataFrame, text: str, names_df: DataFrame, name: str,
                   carry: list[str] | tuple = (), max_names: int = 20_000,
-                  out: str = "matched_name") -> DataFrame:
+                  out: str = "matched_name", distinct_payload: bool = False) -> DataFrame:
     """Rows of ``text_df`` x names such that lower(name) occurs in lower(text).
 
     Output: all columns of ``text_df``, ``out`` (the lower-cased name) and
     the ``carry`` columns of the name row; one row per (text row, distinct
-    name row). Empty names never match. The dictionary is read once when it
+    name row); with ``distinct_payload`` one row per (text row, distinct
+    payload), ``out`` being the first matching name in sort order (deduped
+    inside the task, no shuffle). Empty names never match. The dictionary is read once when it
     has at most ``max_names`` rows; a larger one is counted and shipped in
     hash chunks of about ``max_names``, one text scan per chunk.
     """
@@ -167,8 +174,9 @@ def join_contains(text_df: DataFrame, text: str, names_df: DataFrame, name: str,
             entries.setdefault(r["_n"], []).append(tuple(r[c] for c in carry))
         if entries:
             bc = text_df.sparkSession.sparkContext.broadcast(entries)
-            parts.append(lowered.mapInPandas(_ac_scan(bc, "_lt", out, carry, scan_schema),
-                                             scan_schema).drop("_lt"))
+            parts.append(lowered.mapInPandas(
+                _ac_scan(bc, "_lt", out, carry, scan_schema, distinct_payload),
+                scan_schema).drop("_lt"))
     if not parts:
         return text_df.sparkSession.createDataFrame([], schema)
     res = parts[0]

@@ -55,25 +55,24 @@ def sentence_words(df: DataFrame, sentence: str, keep: list[str], out: str = "wo
 def extract_sentiment(df: DataFrame, id_cols: list[str], text: str, lexicon: DataFrame,
                       only: str | None = None) -> DataFrame:
     """(ids..., review_sentence, sentiment, sentiment_word): one row per
-    sentence and distinct polar word in it."""
+    sentence occurrence and distinct polar word in it. Map-only: explode,
+    broadcast dictionary join, no shuffle."""
     lex = lexicon if only is None else lexicon.where(F.col("sentiment") == only)
     lex = broadcast_if_small(lex, MAX_BROADCAST_WORDS)
     s = sentences(df, text, id_cols)
     w = sentence_words(s, "review_sentence", id_cols)
-    return (w.join(lex, "word")
-             .select(*id_cols, "review_sentence", "sentiment",
-                     F.col("word").alias("sentiment_word"))
-             .distinct())
+    return w.join(lex, "word").select(*id_cols, "review_sentence", "sentiment",
+                                      F.col("word").alias("sentiment_word"))
 
 
 def find_company(df: DataFrame, id_cols: list[str], text: str, names: DataFrame,
                  name: str = "name") -> DataFrame:
-    """(ids..., company_name, review_sentence) for each sentence naming a
-    company of the dictionary (whole-word, case-insensitive)."""
+    """(ids..., company_name, review_sentence): one row per sentence
+    occurrence and distinct dictionary name in it (whole-word,
+    case-insensitive). Map-only like ``extract_sentiment``."""
     n = names.select(F.lower(F.col(name)).alias("word")).where(F.col("word").isNotNull()).distinct()
     n = broadcast_if_small(n, MAX_BROADCAST_WORDS)
     s = sentences(df, text, id_cols)
     w = sentence_words(s, "review_sentence", id_cols)
-    return (w.join(n, "word")
-             .select(*id_cols, F.col("word").alias("company_name"), "review_sentence")
-             .distinct())
+    return w.join(n, "word").select(*id_cols, F.col("word").alias("company_name"),
+                                    "review_sentence")

@@ -365,8 +365,9 @@ SQL = {
     sent AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^.!?]+', 0)) AS review_sentence
              FROM documents WHERE lang = 'en'),
     words AS (SELECT doc_id, review_sentence,
-                     unnest(regexp_extract_all(review_sentence, '\\p{L}+', 0)) AS word FROM sent)
-    SELECT DISTINCT doc_id, dict.name AS company_name, review_sentence
+                     unnest(list_distinct(regexp_extract_all(review_sentence, '\\p{L}+', 0))) AS word
+              FROM sent)
+    SELECT doc_id, dict.name AS company_name, review_sentence
     FROM words JOIN dict ON words.word = dict.name""",
 }
 

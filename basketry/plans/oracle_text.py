@@ -16,8 +16,9 @@ def _sentiment(src: str, ids: str, only: str | None = None) -> str:
     sent AS (SELECT {ids}, unnest(regexp_extract_all(lower(text), '[^.!?]+', 0)) AS review_sentence
              FROM {src}),
     words AS (SELECT {ids}, review_sentence,
-                     unnest(regexp_extract_all(review_sentence, '\\p{{L}}+', 0)) AS word FROM sent)
-    SELECT DISTINCT {ids}, review_sentence, lex.sentiment AS sentiment, words.word AS sentiment_word
+                     unnest(list_distinct(regexp_extract_all(review_sentence, '\\p{{L}}+', 0))) AS word
+              FROM sent)
+    SELECT {ids}, review_sentence, lex.sentiment AS sentiment, words.word AS sentiment_word
     FROM words JOIN {LEX} ON words.word = lex.word {cond}"""
 
 
@@ -64,7 +65,8 @@ SQL = {
                     unnest(regexp_extract_all(lower(text), '[^.!?]+', 0)) AS review_sentence
              FROM documents),
     words AS (SELECT review_sk, item_sk, review_sentence,
-                     unnest(regexp_extract_all(review_sentence, '\\p{L}+', 0)) AS word FROM sent)
-    SELECT DISTINCT review_sk, item_sk, dict.name AS company_name, review_sentence
+                     unnest(list_distinct(regexp_extract_all(review_sentence, '\\p{L}+', 0))) AS word
+              FROM sent)
+    SELECT review_sk, item_sk, dict.name AS company_name, review_sentence
     FROM words JOIN dict ON words.word = dict.name""",
 }

@@ -57,11 +57,10 @@ def q18_declining_store_reviews(spark: SparkSession, sf_dir: str, start: str = "
              .join(stores, F.col("item_id") == F.col("store"), "left_semi")
              .select(F.col("item_id").alias("store"), F.lower("text").alias("matched_name")))
     docs = _reviews(spark, sf_dir).select("doc_id", "text")
-    # no distinct over whole texts here (it would shuffle them): a review
-    # matched under two names of one store collapses in the final distinct
-    # over (store, doc, sentence, word) rows instead
-    hits = join_contains(docs, "text", names, "matched_name", carry=["store"]).select(
-        "store", "doc_id", "text")
+    # one row per (review, store), deduplicated inside the scan: no shuffle
+    # of whole texts
+    hits = join_contains(docs, "text", names, "matched_name", carry=["store"],
+                         distinct_payload=True).select("store", "doc_id", "text")
     out = extract_sentiment(hits, ["store", "doc_id"], "text", lexicon_df(spark, lexicon), only="NEG")
     return out.orderBy("store", "doc_id", "review_sentence", "sentiment_word")
 
