@@ -3,9 +3,9 @@
 The reference calls Java table functions with trained sentence/entity
 models (not in its tree). Here a review is split into sentences and words
 with built-in regex functions, and words are equi-joined to a dictionary
-(a DataFrame argument). A small dictionary is broadcast by Catalyst; a large
-one becomes a shuffle join on the word, which AQE splits where a common word
-is skewed. Nothing leaves the JVM.
+(a DataFrame argument). A dictionary within a row bound (counted first) is
+broadcast; a larger one becomes a shuffle join on the word, which AQE splits
+where a common word is skewed. Nothing leaves the JVM.
 
 Sentence = maximal run of characters other than . ! ? of the lower-cased
 text; word = maximal run of letters (Unicode ``\\p{L}``). Both regexes mean
@@ -22,7 +22,7 @@ from basketry.operators.joins import broadcast_if_small, spread
 SENTENCE_RE = "[^.!?]+"
 # Dictionaries (lexicon, company names) up to this many rows are broadcast;
 # larger ones are joined by shuffle on the word.
-MAX_BROADCAST_WORDS = 2_000_000
+MAX_BROADCAST_WORDS = 1_000_000
 WORD_RE = "\\p{L}+"
 
 # Fixed test lexicon: words that occur in the generated review text (the
