@@ -101,20 +101,28 @@ def last_n_before(df: DataFrame, user: str, ts: str, item: str, is_view: Column,
     so the work is linear: n rows per purchase, never views x purchases.
     Decision: a purchase does not clear the list of views.
     """
+    # one kind column for both branches: the numbered rows then have the same
+    # columns for views and purchases, so Spark shuffles and sorts them once
+    # (the second branch reuses the exchange)
+    kind = (F.when(F.coalesce(is_view, F.lit(False)), F.lit("v"))
+             .when(F.coalesce(is_buy, F.lit(False)), F.lit("b")))
     rows = (df.where(F.col(user).isNotNull() & F.col(item).isNotNull() & F.col(ts).isNotNull())
-              .withColumn("_is_view", F.coalesce(is_view, F.lit(False)))
-              .withColumn("_is_buy", F.coalesce(is_buy, F.lit(False)))
-              .where(F.col("_is_view") | F.col("_is_buy")))
-    numbered = bucketed_prefix_sum(rows, [user], ts, F.col("_is_view").cast("int"), "_vn",
+              .withColumn("_kind", kind)
+              .where(F.col("_kind").isNotNull())
+              .select(user, ts, item, "_kind", *([tiebreak] if isinstance(tiebreak, str)
+                                                 else list(tiebreak or []))))
+    numbered = bucketed_prefix_sum(rows, [user], ts, (F.col("_kind") == "v").cast("int"), "_vn",
                                    tiebreak=tiebreak, bucket_width=bucket_width)
-    views = numbered.where("_is_view").select(
-        F.col(user).alias("_u"), F.col("_vn").alias("_j"),
-        F.col(ts).alias("_vts"), F.col(item).alias("lastviewed_item"))
-    buys = numbered.where(F.col("_is_buy") & (F.col("_vn") > 0))
+    numbered = numbered.select(F.col(user).alias("_u"), F.col(ts).alias("_t"),
+                               F.col(item).alias("_item"), "_kind", "_vn")
+    views = numbered.where(F.col("_kind") == "v").select(
+        "_u", F.col("_vn").alias("_j"), F.col("_t").alias("_vts"),
+        F.col("_item").alias("lastviewed_item"))
+    buys = numbered.where((F.col("_kind") == "b") & (F.col("_vn") > 0))
     if targets is not None:
-        buys = buys.where(F.col(item).isin(list(targets)))
+        buys = buys.where(F.col("_item").isin(list(targets)))
     buys = buys.select(
-        F.col(user).alias("_u"), F.col(ts).alias("_bts"), F.col(item).alias("purchased_item"),
+        "_u", F.col("_t").alias("_bts"), F.col("_item").alias("purchased_item"),
         F.explode(F.sequence(F.greatest(F.col("_vn") - F.lit(n - 1), F.lit(1)),
                              F.col("_vn"))).alias("_j"))
     return (buys.join(views, ["_u", "_j"], "inner")
