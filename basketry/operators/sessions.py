@@ -64,7 +64,7 @@ def sessionize(df: DataFrame, user: str, ts: str, timeout: int, tiebreak=None,
     session exactly when the previous cell is empty (its clicks are then
     more than ``timeout`` back) or its last click is more than ``timeout``
     before this cell's first. So: one map-side combined aggregate per
-    (user, cell), an equi join of that table with itself shifted by one
+    (user, cell) over the clicks counted for their own and for the next
     cell, a running count of starts (bucketed, see ``bucketed_prefix_sum``),
     and a join back on (user, cell). The clicks are shuffled once and never
     sorted; a user with a large share of all clicks is spread over its
@@ -76,12 +76,19 @@ def sessionize(df: DataFrame, user: str, ts: str, timeout: int, tiebreak=None,
     t = F.col(ts)
     rows = (df.where(F.col(user).isNotNull() & t.isNotNull())
               .withColumn("_cell", F.floor(t / F.lit(cell_w))))
-    cells = rows.groupBy(user, "_cell").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    prev = cells.select(user, (F.col("_cell") + 1).alias("_cell"), F.col("_hi").alias("_prev_hi"))
-    starts = (cells.join(prev, [user, "_cell"], "left")
-                   .withColumn("_start", F.when(F.col("_prev_hi").isNull()
-                                                | (F.col("_lo") - F.col("_prev_hi") > F.lit(timeout)),
-                                                1).otherwise(0)))
+    # each click counts for its own cell and, as "previous", for the next
+    # cell: one map-side combined aggregate gives first, last and the
+    # previous cell's last click of every cell, with no self join
+    own = F.struct(F.col("_cell").alias("c"), F.lit(False).alias("prev"))
+    nxt = F.struct((F.col("_cell") + 1).alias("c"), F.lit(True).alias("prev"))
+    tagged = rows.select(user, ts, F.explode(F.array(own, nxt)).alias("_x"))
+    cells = (tagged.groupBy(user, F.col("_x.c").alias("_cell"))
+                   .agg(F.min(F.when(~F.col("_x.prev"), F.col(ts))).alias("_lo"),
+                        F.max(F.when(F.col("_x.prev"), F.col(ts))).alias("_prev_hi"))
+                   .where(F.col("_lo").isNotNull()))
+    starts = cells.withColumn(
+        "_start", F.when(F.col("_prev_hi").isNull()
+                         | (F.col("_lo") - F.col("_prev_hi") > F.lit(timeout)), 1).otherwise(0))
     numbered = bucketed_prefix_sum(starts, [user], "_cell", F.col("_start"), "_session_no",
                                    bucket_width=cells_per_bucket)
     return (rows.join(numbered.select(user, "_cell", "_session_no"), [user, "_cell"], "inner")
