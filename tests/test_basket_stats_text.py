@@ -146,3 +146,36 @@ def test_classifier_accuracy(spark):
                                  "quality double, prediction double")
     r = classifier_accuracy(pred, "quality").collect()[0]
     assert (r.accuracy, r.n) == (0.75, 4)
+
+
+def test_broadcast_only_within_bound(spark):
+    from basketry.operators.joins import broadcast_if_small
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    probe = spark.range(10).withColumnRenamed("id", "k")
+    over = probe.join(broadcast_if_small(big, 100), "k")
+    under = probe.join(broadcast_if_small(big, 5000), "k")
+    assert "ResolvedHint" not in over._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in under._jdf.queryExecution().analyzed().toString()
+
+
+def test_spread_adds_no_shuffle_for_many_files(spark):
+    import tempfile
+    from basketry.operators.joins import spread
+    d = tempfile.mkdtemp(prefix="basketry-test-")
+    spark.range(1000).repartition(16).write.parquet(d + "/many")
+    many = spark.read.parquet(d + "/many")
+    assert len(many.inputFiles()) >= spark.sparkContext.defaultParallelism
+    assert "Exchange" not in spread(many)._jdf.queryExecution().executedPlan().toString()
+    one = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert "Exchange" in spread(one)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_join_contains_distinct_payload(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "id long, text string")
+    names = spark.createDataFrame([("alpha", 7), ("beta", 7), ("gamma", 8), ("beta", 9)],
+                                  "n string, store long")
+    every = join_contains(docs, "text", names, "n", carry=["store"])
+    once = join_contains(docs, "text", names, "n", carry=["store"], distinct_payload=True)
+    assert sorted((r.id, r.store) for r in every.collect()) == [(1, 7), (1, 7), (1, 9), (2, 8)]
+    assert sorted((r.id, r.store, r.matched_name) for r in once.collect()) == [
+        (1, 7, "alpha"), (1, 9, "beta"), (2, 8, "gamma")]
