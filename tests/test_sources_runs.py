@@ -111,3 +111,15 @@ def test_orc_round_trip_with_pushdown(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,40.0)]" in plan
     assert got.count() == li.where(F.col("l_quantity") > 40).count()
+
+
+def test_runs_average_repeats_and_engines(spark):
+    from basketry.operators.runs import runs_average, runs_engines
+    rows = ([("POWER", 1, 60000 * (i + 1), False, "hos") for i in range(8)]       # 8 repeats
+            + [("POWER", 2, 1000, False, "sparksql")] * 9                        # 9: over the bound
+            + [("POWER", 3, 5, True, "hot")])                                    # failed only
+    runs = spark.createDataFrame(rows, "phase string, query int, duration_ms long, failed boolean, engine string")
+    avg = {r.query: (r.repeats, r.avg_ms, r.avg_minutes) for r in runs_average(runs, max_repeats=8).collect()}
+    assert avg == {1: (8, 270000.0, 4.5)}
+    eng = {r.query: tuple(r)[1:] for r in runs_engines(runs, ["hos", "hot", "sparksql"]).collect()}
+    assert eng == {1: (270000.0, None, None), 2: (None, None, 1000.0)}
