@@ -179,3 +179,29 @@ def test_join_contains_distinct_payload(spark):
     assert sorted((r.id, r.store) for r in every.collect()) == [(1, 7), (1, 7), (1, 9), (2, 8)]
     assert sorted((r.id, r.store, r.matched_name) for r in once.collect()) == [
         (1, 7, "alpha"), (1, 9, "beta"), (2, 8, "gamma")]
+
+
+def test_before_after_matches_brute_force(spark):
+    import datetime as dt
+    rnd = random.Random(11)
+    base = dt.date(2020, 1, 1)
+    changes = [(rnd.randrange(4), k, base + dt.timedelta(days=rnd.randrange(60)), rnd.randrange(0, 15))
+               for k in range(12)]
+    sales = [(rnd.randrange(5), base + dt.timedelta(days=rnd.randrange(-20, 90)), float(rnd.randrange(1, 9)),
+              rnd.choice("FO")) for _ in range(300)]
+    cdf = spark.createDataFrame(changes, "item long, k long, start date, len int")
+    sdf = spark.createDataFrame(sales, "item long, day date, q double, ch string")
+    got = {(r.item, r.k): (r.after_F, r.before_F, r.after_O, r.before_O) for r in before_after(
+        sdf, cdf, "item", "day", "q", "start", "len", keys=["k"], split=F.col("ch")).collect()}
+    want = {}
+    for item, k, start, ln in changes:
+        acc = {"aF": 0.0, "bF": 0.0, "aO": 0.0, "bO": 0.0}
+        for si, day, q, ch in sales:
+            if si != item:
+                continue
+            if start <= day < start + dt.timedelta(days=ln):
+                acc["a" + ch] += q
+            elif start - dt.timedelta(days=ln) <= day < start:
+                acc["b" + ch] += q
+        want[(item, k)] = (acc["aF"], acc["bF"], acc["aO"], acc["bO"])
+    assert got == want
