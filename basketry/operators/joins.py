@@ -11,6 +11,8 @@
   are shipped to tasks in chunks of at most ``max_names`` (counted first), so
   any dictionary size is handled exactly; a chunk is one more scan.
 * ``broadcast_if_small``: a broadcast hint behind a row-count check.
+* ``spread``: one task per core for CPU-heavy row work when the input comes
+  from fewer files than cores (a no-op on large inputs).
 """
 
 from __future__ import annotations
