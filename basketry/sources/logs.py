@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed field positions of the run log (0-based).
+# Fixed values of the log formats: run-log field positions (0-based) and
+# width, the query-log success line pattern and the failure line prefix.
 RUNLOG_FIELDS = {"duration_ms": 2, "start": 3, "query": 6, "phase": 8, "status": 10}
 RUNLOG_WIDTH = 11
-
 SUCCESS_RE = r"Time taken: ([0-9.]+) seconds, Fetched: ([0-9]+) row"
 FAILURE_PREFIX = "FAILED: "
 
