@@ -123,3 +123,20 @@ def test_runs_average_repeats_and_engines(spark):
     assert avg == {1: (8, 270000.0, 4.5)}
     eng = {r.query: tuple(r)[1:] for r in runs_engines(runs, ["hos", "hot", "sparksql"]).collect()}
     assert eng == {1: (270000.0, None, None), 2: (None, None, 1000.0)}
+
+
+def test_nested_pruning_at_each_reference_width(spark):
+    import re
+    d = tempfile.mkdtemp(prefix="basketry-test-")
+    base = spark.range(50).withColumnRenamed("id", "key")
+    path = nested_to_columnar(gen_nested(base, "key", seed=1), d + "/pq")
+    table = spark.read.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # full ReadSchema text
+    for width in (1, 5, 10, 15, 20, 30):
+        leaves = list(range(1, width + 1))
+        proj = nested_project(table, leaves, limit=100)
+        plan = proj._jdf.queryExecution().executedPlan().toString()
+        read_schema = plan.split("ReadSchema: ")[1].split("\n")[0]
+        assert sorted(int(x) for x in re.findall(r"\ba(\d+):", read_schema)) == leaves, width
+        assert proj.count() == 50
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
