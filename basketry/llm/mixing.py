@@ -88,12 +88,14 @@ def schedule(plan: DataFrame, n_slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = 64, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0,
-        doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+        doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(rows, pieces)``. ``rows`` has a line per row of ``docs``: ``rid,
     doc_id, size, source, source_size, target, taken``. ``pieces`` has a line
     per row and pass through its source: ``rid, epoch, slot`` (the first that
     takes it) ``, lo, hi`` (the words taken, a stretch from lo to hi).
 
+    ``rid`` is the unique long column ``row_id`` if given, else made here.
     Size counts words, null text 0; a null source is a source of its own. A
     row without words takes part with nothing. Repeated rows count each; equal
     ones may swap places, which no result shows. Every source's taken words
@@ -101,7 +103,7 @@ def mix(docs: DataFrame, block_words: int = 64, weights=(5, 2, 1), share: float
     """
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
                        word_count(F.col(f"`{text}`")).alias("size"),
-                       F.monotonically_increasing_id().alias("rid"))
+                       (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("rid"))
     base = base.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     base = saved(hash_order(base, "doc_id"), "sized")
     laid = running_before(base, ["skey"], "cell", ["h", "doc_id", "size", "rid"], F.col("size"), "off")

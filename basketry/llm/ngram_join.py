@@ -418,5 +418,5 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     """Rows of ``docs`` that stay: of every component the row with the smallest
     ``doc_id`` (repeated rows of that id all stay; a null id stays)."""
     comp = ngram_components(docs, k, num, den)
-    gone = comp.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = saved(comp.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

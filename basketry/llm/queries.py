@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.common import table
 from basketry.llm.exact_dedup import exact_dedup
+from basketry.llm.language_id import fit, identify, page_evidence
 from basketry.llm.mixing import mix
 from basketry.llm.ngram_join import ngram_components
 from basketry.llm.packing import pack
@@ -24,9 +25,14 @@ def op4_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(page_evidence(table(spark, sf_dir, "pages")), fit(table(spark, sf_dir, "documents")), markup=True)
+    return found.select("page_id", "url", "host", "declared", "language", "confidence", "text_language", "accepted")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_length_buckets, op2_source_schedule, op4_chunk_recipes, op9_ngram_join)}
+    op1_length_buckets, op2_source_schedule, op4_chunk_recipes, op7_language_id, op9_ngram_join)}
