@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.common import table
+from basketry.llm.embedding_dedup import near_vectors
 from basketry.llm.exact_dedup import exact_dedup
 from basketry.llm.language_id import fit, identify, page_evidence
 from basketry.llm.mixing import mix
@@ -21,6 +22,10 @@ def op2_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,4 +40,4 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_length_buckets, op2_source_schedule, op4_chunk_recipes, op7_language_id, op9_ngram_join)}
+    op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op7_language_id, op9_ngram_join)}
