@@ -11,6 +11,7 @@ from basketry.llm.language_id import fit, identify, page_evidence
 from basketry.llm.mixing import mix
 from basketry.llm.ngram_join import ngram_components
 from basketry.llm.packing import pack
+from basketry.llm.toxicity import toxicity
 
 
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +36,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "host", "declared", "language", "confidence", "text_language", "accepted")
 
 
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op7_language_id, op9_ngram_join)}
+    op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op7_language_id, op8_compression_toxicity, op9_ngram_join)}
