@@ -121,7 +121,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
-def slices(batches, rows: int = 2000, size: int = 16 << 20, col: int = 0):
+def slices(batches, rows: int = 2000, size: int = 2 << 20, col: int = 0):
     """Cut Arrow batches so that a part holds at most ``rows`` rows and about
     ``size`` bytes of column ``col`` (one row at least): bounds the working
     memory of vectorised code, whatever the lengths of the texts."""
