@@ -11,6 +11,7 @@ from basketry.llm.language_id import fit, identify, page_evidence
 from basketry.llm.mixing import mix
 from basketry.llm.ngram_join import ngram_components
 from basketry.llm.packing import pack
+from basketry.llm.secret_scan import scan
 from basketry.llm.toxicity import toxicity
 
 
@@ -31,6 +32,10 @@ def op4_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(page_evidence(table(spark, sf_dir, "pages")), fit(table(spark, sf_dir, "documents")), markup=True)
     return found.select("page_id", "url", "host", "declared", "language", "confidence", "text_language", "accepted")
@@ -45,4 +50,4 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op7_language_id, op8_compression_toxicity, op9_ngram_join)}
+    op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op6_secret_cnn, op7_language_id, op8_compression_toxicity, op9_ngram_join)}
