@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.llm.common import table
 from basketry.llm.embedding_dedup import near_vectors
 from basketry.llm.exact_dedup import exact_dedup
+from basketry.llm.html_extract import extract
 from basketry.llm.language_id import fit, identify, page_evidence
 from basketry.llm.mixing import mix
 from basketry.llm.ngram_join import ngram_components
@@ -32,6 +33,10 @@ def op4_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -50,4 +55,4 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op6_secret_cnn, op7_language_id, op8_compression_toxicity, op9_ngram_join)}
+    op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op5_dom_model, op6_secret_cnn, op7_language_id, op8_compression_toxicity, op9_ngram_join)}
