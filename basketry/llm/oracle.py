@@ -30,4 +30,33 @@ SQL = {
           (greatest(least(off + size, least(need, source_size)) - off, 0)
            + greatest(least(off + size, need - least(need, source_size)) - off, 0))::BIGINT AS taken
         FROM o""",
+    "op10_revisit_resolution": r"""
+        WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS d0, length(coalesce(html, '')) AS n FROM pages),
+        v AS (SELECT p.*, k, (k = 0 AND page_id % 13 <> 0) OR (k = 2 AND page_id % 3 = 0) AS is_full,
+                CASE WHEN page_id % 3 = 0 AND k >= 2 THEN reverse(d0) ELSE d0 END AS d,
+                1704067200 + k * 86400 + page_id * 7919 % 86400 AS ts, page_id * 4 + k AS record_id,
+                regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', 1) AS h,
+                regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', 2) AS pa,
+                regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', 3) AS q
+              FROM p, (SELECT unnest([0, 1, 2, 3]) AS k)),
+        u AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 11 = 0 AND k = 3 THEN '"stale"'
+                  ELSE '"' || substr(d, 1, 16) || '"' END AS etag,
+                regexp_replace(regexp_replace(regexp_replace(lower(h), '^.*@', ''), ':(80|443)?$', ''), '^www\.', '')
+                  || regexp_replace(pa, '/+$', '') AS bare,
+                array_to_string(list_sort([x FOR x IN string_split(q, '&') IF x <> ''
+                  AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')]), '&') AS qs FROM v),
+        c AS (SELECT *, bare || CASE WHEN qs <> '' THEN '?' || qs ELSE '' END AS url_key FROM u),
+        a AS (SELECT *, last_value(CASE WHEN is_full THEN {'id': record_id, 'etag': etag, 'n': n} END IGNORE NULLS) OVER (
+                PARTITION BY url_key ORDER BY ts, is_full, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c),
+        o AS (SELECT *, CASE WHEN r IS NULL THEN 'no_response' WHEN etag IS NULL OR r.etag IS NULL THEN 'unverified'
+                WHEN etag = r.etag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM a WHERE NOT is_full)
+        SELECT record_id, url_key, CASE WHEN outcome IN ('resolved', 'unverified') THEN r.id END AS refers_to, outcome,
+          CASE WHEN outcome IN ('resolved', 'unverified') THEN 200 END AS status,
+          CASE WHEN outcome IN ('resolved', 'unverified') THEN
+            'cache-control: max-age=' || k || chr(10) || 'content-length: ' || r.n || chr(10) || 'content-type: text/html' || chr(10)
+            || 'date: ' || ts || chr(10) || CASE WHEN r.etag IS NULL THEN '' ELSE 'etag: ' || r.etag || chr(10) END
+            || 'expires: ' || (ts + 60) || chr(10) || 'server: origin'
+          ELSE 'cache-control: max-age=' || k || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || ts || chr(10)
+            || 'expires: ' || (ts + 60) || chr(10) || 'x-cache: HIT' END AS headers
+        FROM o""",
 }

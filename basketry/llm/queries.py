@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketry.llm.common import table
 from basketry.llm.embedding_dedup import near_vectors
@@ -14,6 +15,7 @@ from basketry.llm.ngram_join import ngram_components
 from basketry.llm.packing import pack
 from basketry.llm.secret_scan import scan
 from basketry.llm.toxicity import toxicity
+from basketry.llm.warc_revisit import captures_of, resolve
 
 
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +56,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve(captures_of(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op5_dom_model, op6_secret_cnn, op7_language_id, op8_compression_toxicity, op9_ngram_join)}
+    op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op5_dom_model, op6_secret_cnn, op7_language_id, op8_compression_toxicity, op9_ngram_join,
+    op10_revisit_resolution)}
