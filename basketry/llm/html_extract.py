@@ -7,8 +7,8 @@ equal labels. The tree has no cycles, so sum-product messages, upward from the
 leaves and downward from the root, give exact marginals; a block's text is kept
 when its node's marginal is at least a half.
 
-Unary weights (logistic regression) and edge potentials (label statistics of
-neighbours) are trained on labelled pages. They are generated by rule
+Unary weights and edge potentials are trained together, by maximum likelihood, on
+labelled pages. They are generated by rule
 (``labelled_page``): layouts with and without landmark elements, menus,
 sidebars, notices, adverts, forms, comments, lists, tables, unclosed tags; a
 mark on each part says which it is. Messages run level by level over all pages
@@ -84,12 +84,14 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
     return f
 
 
-def marginals(score: np.ndarray, parent: np.ndarray, depth: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Content marginals of a forest. ``score``: unary log odds; ``parent``: -1
-    at roots; ``edge``: log potentials by (parent label, child label)."""
-    unary = np.stack([np.zeros(len(score)), score], 1)
-    inward = unary.copy()              # unary and messages from children
-    upward = np.zeros_like(unary)      # message of a node to its parent
+def beliefs(score: np.ndarray, parent: np.ndarray, depth: np.ndarray, edge: np.ndarray):
+    """Sum-product on a forest. ``score``: unary log odds; ``parent``: -1 at
+    roots; ``edge``: log potentials by (parent label, child label). Returns the
+    content marginals of the nodes, and per node the joint marginals of its
+    parent's label and its own (zeros at roots)."""
+    inward = np.stack([np.zeros(len(score)), score], 1)  # unary and messages from children
+    upward = np.zeros_like(inward)                       # message of a node to its parent
+    pair = np.zeros((len(score), 2, 2))
     levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
     for at in reversed(levels[1:]):
         upward[at] = np.logaddexp(edge[:, 0] + inward[at, :1], edge[:, 1] + inward[at, 1:])
@@ -98,9 +100,16 @@ def marginals(score: np.ndarray, parent: np.ndarray, depth: np.ndarray, edge: np
     full = inward.copy()
     for at in levels[1:]:
         out = full[parent[at]] - upward[at]  # parent without this child
+        joint = out[:, :, None] + edge + inward[at][:, None, :]
+        joint = np.exp(joint - joint.max((1, 2), keepdims=True))
+        pair[at] = joint / joint.sum((1, 2), keepdims=True)
         down = np.logaddexp(edge[0] + out[:, :1], edge[1] + out[:, 1:])
         full[at] = inward[at] + down - down.max(1, keepdims=True)
-    return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -500, 500)))
+    return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -500, 500))), pair
+
+
+def marginals(score: np.ndarray, parent: np.ndarray, depth: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    return beliefs(score, parent, depth, edge)[0]
 
 
 # -- training ---------------------------------------------------------------
@@ -185,27 +194,35 @@ def node_labels(nodes: list[Node]) -> np.ndarray:
     return y
 
 
-def train(seed: int = 3, pages: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Unary weights and edge log potentials. Nodes above the marked parts hold
-    no text of their own; they count as no content."""
+def _forest(trees: list[tuple[list[Node], list]]):
+    """First node of each tree, parents and depths of all nodes, features."""
+    first = np.cumsum([0] + [len(nodes) for nodes, _ in trees])
+    parent = np.concatenate([[x.parent + (a if x.parent >= 0 else 0) for x in nodes] for a, (nodes, _) in zip(first, trees)])
+    depth = np.concatenate([[x.depth for x in nodes] for nodes, _ in trees])
+    return first, parent, depth, np.concatenate([features(*t) for t in trees])
+
+
+def train(seed: int = 3, pages: int = 500, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Unary weights and edge log potentials of greatest likelihood. The model
+    is a tree, so its expected statistics, and with them the gradient, are
+    exact: observed less expected features and label pairs. Nodes above the
+    marked parts hold no text of their own; they count as no content."""
     rng = np.random.default_rng(seed)
-    xs, ys, pairs = [], [], np.ones((2, 2))
-    for _ in range(pages):
-        nodes, blocks = parse(labelled_page(rng))
-        y = np.maximum(node_labels(nodes), 0)
-        xs.append(features(nodes, blocks))
-        ys.append(y)
-        for i in range(1, len(nodes)):
-            pairs[y[nodes[i].parent], y[i]] += 1
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 2.0 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - 2.0 * w)
-    joint = pairs / pairs.sum()
-    edge = np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
-    return w, edge
+    trees = [parse(labelled_page(rng)) for _ in range(pages)]
+    y = np.concatenate([np.maximum(node_labels(nodes), 0) for nodes, _ in trees])
+    _, parent, depth, x = _forest(trees)
+    child = np.flatnonzero(parent >= 0)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[parent[child]], y[child]), 1.0)
+    theta = np.zeros(x.shape[1] + 4)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, steps + 1):
+        p, pair = beliefs(x @ theta[:-4], parent, depth, theta[-4:].reshape(2, 2))
+        grad = np.concatenate([x.T @ (y - p), (seen - pair.sum(0)).ravel()]) / len(y) - 1e-4 * theta
+        m += 0.1 * (grad - m)
+        v += 0.01 * (grad * grad - v)
+        theta += 0.15 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
+    return theta[:-4], theta[-4:].reshape(2, 2)
 
 
 def main_texts(pages: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[str]:
@@ -213,10 +230,8 @@ def main_texts(pages: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[s
     trees = [parse(p) for p in pages]
     if not trees:
         return []
-    first = np.cumsum([0] + [len(nodes) for nodes, _ in trees])
-    score = np.concatenate([features(*t) for t in trees]) @ w
-    parent = np.concatenate([[x.parent + (a if x.parent >= 0 else 0) for x in nodes] for a, (nodes, _) in zip(first, trees)])
-    depth = np.concatenate([[x.depth for x in nodes] for nodes, _ in trees])
+    first, parent, depth, x = _forest(trees)
+    score = x @ w
     keep = marginals(score, parent, depth, edge) >= 0.5
     return ["\n".join(t for at, t in blocks if keep[a + at]) for a, (_, blocks) in zip(first, trees)]
 

@@ -2,12 +2,13 @@
 
 Two zstandard dictionaries of equal length are trained, one on toxic and one
 on ordinary text. Each word of a text is a window, compressed with both; the
-bytes that the toxic dictionary saves are its evidence. The largest savings of
-a document and their number go through a logistic curve fitted on other
-labelled rows than the dictionaries, so that scores are probabilities.
+share of the bytes that the toxic dictionary saves is its evidence. The largest
+shares of a document and the numbers of large ones go through a logistic curve
+fitted on other labelled rows than the dictionaries, so that scores are
+probabilities.
 
 Training segments for the toxic dictionary are the words that begin as words
-of many distinct toxic documents and of few ordinary ones do. The ordinary
+of significantly more toxic documents than ordinary ones do. The ordinary
 dictionary holds, at the same offsets, the same words with those beginnings
 replaced by ordinary ones: outside them both dictionaries compress a window
 alike, so common syllables cancel out. Windows are encoded as UTF-16: a
@@ -36,10 +37,13 @@ TOXIC, ORDINARY = 1500, 2500
 SAMPLE_CHARS = 20_000
 DICT_BYTES = 4096
 LEAST = 0.3     # score from which a document is predicted toxic
-TELLING = 8     # bytes saved by a window that counts as a hit
+# A beginning tells if toxic documents hold it this many times as often, and the
+# log likelihood ratio against chance is at least this.
+LIFT, EVIDENCE = 8, 10
+HITS = (0.25, 0.3, 0.35, 0.4, 0.45)  # shares saved from which windows are counted
 CACHE = 300_000
 _WORD = re.compile(rb"[a-z\x80-\xff]{4,64}")
-FEATURES = ["top", "second", "hits", "words"]
+FEATURES = ["top", "second", "five", "words", *[f"hits{i}" for i in range(len(HITS))]]
 
 
 def _distinct(texts: list[bytes]) -> list[list[bytes]]:
@@ -68,12 +72,14 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
     """Contents of the toxic and the ordinary dictionary."""
     tox, other = _distinct(toxic), _distinct(ordinary)
     ft, fo = _beginnings(tox), _beginnings(other)
-    floor = max(3, 0.03 * len(tox))
+    share = len(tox) / max(1, len(tox) + len(other))
     telling: list[bytes] = []
-    for p in sorted((p for p, n in ft.items() if n >= floor), key=lambda p: (len(p), p)):
-        lift = (ft[p] / max(1, len(tox))) / ((fo.get(p, 0) + 0.5) / (len(other) + 1))
-        if lift > 8 and not p.startswith(tuple(telling)):
-            telling.append(p)
+    for p in sorted((p for p, n in ft.items() if n > 3), key=lambda p: (len(p), p)):
+        n, m = ft[p], fo.get(p, 0)
+        lift = (n / len(tox)) / ((m + 0.5) / (len(other) + 1))
+        if lift > LIFT and not p.startswith(tuple(telling)):
+            if n * np.log(n / (share * (n + m))) + (m and m * np.log(m / ((1 - share) * (n + m)))) > EVIDENCE:
+                telling.append(p)
     starts = tuple(telling)
     words = Counter(w for d in tox for w in d if starts and w.startswith(starts))
     common = [w for w, _ in Counter(w for d in other for w in d).most_common(1500)] or [b"...."]
@@ -94,11 +100,11 @@ def _wide(b: bytes) -> bytes:
 
 
 class Savings:
-    """Bytes saved per window; words seen lately are remembered."""
+    """Share of bytes saved per window; words seen lately are remembered."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.pair = [self._compressor(d) for d in (ordinary, toxic)]
-        self.cache: dict[bytes, int] = {}
+        self.cache: dict[bytes, float] = {}
 
     @staticmethod
     def _compressor(data: bytes) -> zs.ZstdCompressor:
@@ -109,27 +115,25 @@ class Savings:
         d.precompute_compress(compression_params=p)
         return zs.ZstdCompressor(dict_data=d, compression_params=p)
 
-    def of(self, word: bytes) -> int:
+    def of(self, word: bytes) -> float:
         got = self.cache.get(word)
         if got is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             window = _wide(b" " + word + b" ")
             o, t = (len(c.compress(window)) for c in self.pair)
-            got = self.cache[word] = o - t
+            got = self.cache[word] = (o - t) / o
         return got
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
+    def features(self, text: bytes) -> list[float]:
         words = _WORD.findall(text.lower())
         if not words:
-            return 0.0, 0.0, 0.0, 0.0
+            return [0.0] * len(FEATURES)
         of = self.of
-        saved = sorted((of(w) for w in words), reverse=True)
-        hits = 0
-        while hits < len(saved) and saved[hits] >= TELLING:
-            hits += 1
-        second = saved[1] if len(saved) > 1 else 0
-        return float(max(0, saved[0])), float(max(0, second)), float(np.log1p(hits)), float(np.log1p(len(words)))
+        large = sorted((x for x in map(of, words) if x > 0), reverse=True)
+        top = large[:5] + [0.0] * max(0, min(5, len(words)) - len(large))
+        hits = np.searchsorted(-np.array(large), -np.array(HITS), side="right")
+        return [top[0], top[1] if len(top) > 1 else 0.0, sum(top) / len(top), float(np.log1p(len(words))), *np.log1p(hits).tolist()]
 
 
 def _features(toxic: bytes, ordinary: bytes):
