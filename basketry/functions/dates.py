@@ -37,6 +37,15 @@ def date_dim_for(df: DataFrame, col: str) -> DataFrame:
     return date_parts(days, "d_date")
 
 
+def days_of_weeks(spark: SparkSession, dates: list[str]) -> DataFrame:
+    """``day``: all days of the weeks (numbered as ``d_week_seq``) that hold the
+    given dates."""
+    values = ", ".join(f"(DATE '{d}')" for d in dates)
+    d = spark.sql(f"SELECT d FROM VALUES {values} AS t(d)")
+    start = F.date_sub("d", F.pmod(F.datediff("d", F.lit(WEEK_EPOCH).cast("date")), F.lit(7)))
+    return d.select(F.explode(F.sequence(start, F.date_add(start, 6))).alias("day")).distinct()
+
+
 def virtual_ts(day_key: Column, second_key: Column) -> Column:
     """day key x 86400 + second of day: one time line in seconds."""
     return day_key.cast("long") * F.lit(86400) + second_key.cast("long")

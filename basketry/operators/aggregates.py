@@ -52,19 +52,10 @@ def agg_corr(df: DataFrame, x: str, y: str, by: list | None = None, out: str = "
 
 
 def agg_linreg(df: DataFrame, by: list, x: str, y: str) -> DataFrame:
-    """Least-squares slope and intercept of y on x per group, from the sums
-    n, Sx, Sy, Sxy, Sxx (closed form; a one-point or flat-x group gives NULL)."""
-    g = df.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("double").alias("_n"),
-        F.sum(F.col(x).cast("double")).alias("_sx"),
-        F.sum(F.col(y).cast("double")).alias("_sy"),
-        F.sum(F.col(x).cast("double") * F.col(y).cast("double")).alias("_sxy"),
-        F.sum(F.col(x).cast("double") * F.col(x).cast("double")).alias("_sxx"))
-    den = F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
-    slope = F.when(den != 0, (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / den)
-    return (g.withColumn("slope", slope)
-             .withColumn("intercept", (F.col("_sy") - F.col("slope") * F.col("_sx")) / F.col("_n"))
-             .drop("_n", "_sx", "_sy", "_sxy", "_sxx"))
+    """Least-squares slope and intercept of y on x per group, over the rows
+    where both are present (a one-point or flat-x group gives NULL)."""
+    xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
+    return df.groupBy(*by).agg(F.regr_slope(yd, xd).alias("slope"), F.regr_intercept(yd, xd).alias("intercept"))
 
 
 def agg_ratio_of_totals(df: DataFrame, predicate: Column, x, by: list | None = None) -> DataFrame:

@@ -11,11 +11,10 @@ Scale notes
 * ``min_support`` prunes items before pairing (a pair cannot occur in more
   baskets than either of its items), which is exact for "count > n" filters
   and removes most of the quadratic work on long-tailed item sets.
-* A basket holding a large share of all rows is a skewed join key; AQE's skew
-  join splits that partition of one side and replicates the matching part of
-  the other side across tasks. ``salt`` does the same deterministically: the
-  left side is spread over ``salt`` sub-keys by item hash and the right side
-  is replicated ``salt`` times, so no task ever holds a whole hot basket.
+* A basket of more than ``HOT`` distinct items is dealt to as many shares as
+  it has thousands: its left side by item hash, its right side to all of them.
+  Other baskets have one share. So no task pairs a whole hot basket, and only
+  hot baskets are replicated.
 * The pair counts are aggregated with partial aggregation before the final
   shuffle, so the shuffled volume is bounded by distinct pairs per task.
 """
@@ -40,30 +39,30 @@ def basket_items(df: DataFrame, basket: str, item: str,
     return d
 
 
-def make_pairs(df: DataFrame, basket: str, item: str,
-               min_support: int | None = None, salt: int | None = None) -> DataFrame:
+HOT = 1000  # distinct items of a basket per task, when pairing
+
+
+def make_pairs(df: DataFrame, basket: str, item: str, min_support: int | None = None,
+               hot: int = HOT) -> DataFrame:
     """(basket, item_1, item_2) for every two distinct items of a basket, item_1 < item_2."""
     d = basket_items(df, basket, item, min_support)
-    left = d.select("basket", F.col("item").alias("item_1"))
-    right = d.select("basket", F.col("item").alias("item_2"))
-    if salt and salt > 1:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64("item_1"), F.lit(salt)))
-        right = right.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-        on = ["basket", "_salt"]
-    else:
-        on = ["basket"]
-    return (left.join(right, on, "inner")
+    large = (d.groupBy("basket").agg(F.ceil(F.count(F.lit(1)) / F.lit(hot)).alias("_shares"))
+               .where(F.col("_shares") > 1))
+    d = d.join(large, "basket", "left").withColumn("_shares", F.coalesce("_shares", F.lit(1)))
+    left = d.select("basket", F.col("item").alias("item_1"),
+                    F.pmod(F.xxhash64("item"), F.col("_shares")).alias("_salt"))
+    right = d.select("basket", F.col("item").alias("item_2"),
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_salt"))
+    return (left.join(right, ["basket", "_salt"], "inner")
                 .where(F.col("item_1") < F.col("item_2"))
                 .select("basket", "item_1", "item_2"))
 
 
 def pair_counts(df: DataFrame, basket: str, item: str, min_count: int | None = None,
-                names: tuple[str, str] = ("item_1", "item_2"),
-                salt: int | None = None) -> DataFrame:
+                names: tuple[str, str] = ("item_1", "item_2")) -> DataFrame:
     """Number of baskets per item pair; ``min_count`` keeps pairs with cnt > min_count."""
     support = (min_count + 1) if min_count is not None else None
-    pairs = make_pairs(df, basket, item, min_support=support, salt=salt)
+    pairs = make_pairs(df, basket, item, min_support=support)
     out = pairs.groupBy("item_1", "item_2").agg(F.count(F.lit(1)).alias("cnt"))
     if min_count is not None:
         out = out.where(F.col("cnt") > F.lit(min_count))
@@ -86,8 +85,8 @@ def pairs_in_row(df: DataFrame, items: str) -> DataFrame:
 
 def pair_counts_bounded(df: DataFrame, basket: str, item: str, min_count: int | None = None,
                         names: tuple[str, str] = ("item_1", "item_2")) -> DataFrame:
-    """``pair_counts`` for items from a bounded domain (categories, page
-    types, classes): the distinct items of a basket are collected map-side
+    """``pair_counts`` for items from a domain that the caller knows to be
+    bounded (categories, page types, classes; use ``pair_counts`` otherwise): the distinct items of a basket are collected map-side
     (never more than the domain per basket and task, however large the
     basket), paired inside the row and counted. One grouped shuffle and no
     join, against distinct + self join + count for unbounded items."""

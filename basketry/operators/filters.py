@@ -3,6 +3,7 @@ push them to the Parquet scan (``PushedFilters``) or below joins."""
 
 from __future__ import annotations
 
+import calendar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,11 @@ def date_range_filter(df: DataFrame, col: str, first: str, last: str) -> DataFra
     return df.where(c.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
+def month_range(year: int, first: int, last: int) -> tuple[str, str]:
+    """First and last day of the months ``first``..``last`` of a year."""
+    return f"{year}-{first:02d}-01", f"{year}-{last:02d}-{calendar.monthrange(year, last)[1]:02d}"
+
+
 def days_around(df: DataFrame, col: str, day: str, before: int = 30, after: int = 30) -> DataFrame:
     """Rows whose day is within [day - before, day + after]; same as
     ``datediff(col, day) BETWEEN -before AND after``, written as a range."""

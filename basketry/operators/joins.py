@@ -5,42 +5,14 @@
   residual condition, then conditional sums: no range join, no cartesian.
 * ``join_tolerance`` / ``join_nonequi_residual``: equi key + residual.
 * ``join_contains``: which names occur (case-insensitively) inside which
-  texts. Substring search over many names is done with an Aho-Corasick
-  automaton inside ``mapInPandas``: one pass over each text whatever the
-  number of names, instead of a nested-loop join of texts x names. The names
-  are shipped to tasks in chunks of at most ``max_names`` (counted first), so
-  any dictionary size is handled exactly; a chunk is one more scan.
-* ``broadcast_if_small``: a broadcast hint behind a row-count check.
-* ``spread``: one task per core for CPU-heavy row work when the input comes
-  from fewer files than cores (a no-op on large inputs).
+  texts. Every name has an anchor that a text holding the name must hold as
+  well, so an equi join on anchors gives candidates, verified on the text.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint ``df`` for broadcast only if it has at most ``max_rows`` rows.
-
-    The count is one cheap action over a (small) side; above the bound the
-    join stays a shuffle join and AQE may still broadcast from runtime stats.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work (regex, text scans) at least one task per
-    core. A large input (at least as many files as cores) is left alone, so
-    at scale this adds no shuffle; input from fewer files than cores (one
-    Parquet row group is one task) is dealt round-robin over the cores.
-    Only file metadata is consulted; nothing is executed."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def join_nonequi_residual(a: DataFrame, b: DataFrame, on: list[str], condition: Column,
@@ -65,7 +37,10 @@ def join_tolerance(a: DataFrame, b: DataFrame, on: list[str], qa: str, qb: str,
 def join_scalar(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two one-row aggregates side by side (no join condition in the
     reference). Done without a join: the two rows are stacked and folded
-    into one by a global aggregate over exactly two rows."""
+    into one by a global aggregate over exactly two rows. Equal column names
+    are refused."""
+    if set(a.columns) & set(b.columns):
+        raise ValueError(f"equal column names: {sorted(set(a.columns) & set(b.columns))}")
     cols = list(dict.fromkeys(a.columns + b.columns))
     both = a.unionByName(b, allowMissingColumns=True)
     return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
@@ -103,85 +78,53 @@ def before_after(facts: DataFrame, changes: DataFrame, item: str, day: str, qty:
         0, subset=[c for c in g.columns if c.startswith(("after", "before"))])
 
 
-def _ac_scan(bc_entries, text_col: str, out_col: str, carry: list[str],
-             schema: T.StructType, distinct_payload: bool = False):
-    """Arrow-batch scan: for each text, every dictionary name occurring in it
-    (one automaton pass per text), emitted once per payload of that name.
-    The dictionary arrives as a broadcast variable (once per executor)."""
-    def scan(batches):
-        import ahocorasick
-        import pandas as pd
-        entries = bc_entries.value
-        auto = ahocorasick.Automaton()
-        for n in entries:
-            auto.add_word(n, n)
-        auto.make_automaton()
-        names = [f.name for f in schema.fields]
-        for pdf in batches:
-            idx, found, payload = [], [], []
-            for i, t in enumerate(pdf[text_col].tolist()):
-                if t is None:
-                    continue
-                seen = set()
-                for h in sorted({v for _, v in auto.iter(t)}):
-                    for p in entries[h]:
-                        if distinct_payload:
-                            if p in seen:
-                                continue
-                            seen.add(p)
-                        idx.append(i)
-                        found.append(h)
-                        payload.append(p)
-            out = pdf.iloc[idx].reset_index(drop=True)
-            out[out_col] = pd.Series(found, dtype=object)
-            for j, c in enumerate(carry):
-                out[c] = pd.Series([p[j] for p in payload], dtype=object)
-            yield out[names]
-    return scan
-
-
-def join_contains(text_df: DataFrame, text: str, names_df: DataFrame, name: str,
-                  carry: list[str] | tuple = (), max_names: int = 20_000,
-                  out: str = "matched_name", distinct_payload: bool = False) -> DataFrame:
+GRAM = 3  # characters of the anchor of a name of fewer than three words
+
+
+def join_contains(text_df: DataFrame, id_col: str, text: str, names_df: DataFrame, name: str,
+                  carry: list[str] | tuple = (), out: str = "matched_name",
+                  distinct_payload: bool = False) -> DataFrame:
     """Rows of ``text_df`` x names such that lower(name) occurs in lower(text).
 
     Output: all columns of ``text_df``, ``out`` (the lower-cased name) and
     the ``carry`` columns of the name row; one row per (text row, distinct
     name row); with ``distinct_payload`` one row per (text row, distinct
-    payload), ``out`` being the first matching name in sort order (deduped
-    inside the task, no shuffle). Empty names never match. The dictionary is read once when it
-    has at most ``max_names`` rows; a larger one is counted and shipped in
-    hash chunks of about ``max_names``, one text scan per chunk.
+    payload), ``out`` being the first matching name in sort order. Empty and
+    NULL names never match. ``id_col`` identifies the rows of ``text_df``.
+
+    A name of three or more words (cut at single spaces) is anchored by its
+    longest inner word: a text that holds the name holds that word between
+    spaces. Other names are anchored by their first ``GRAM`` characters, or by
+    their first one if shorter. Anchors equi-join the distinct words and grams
+    of the texts, which travel with the row id alone; the candidates then meet
+    the texts on the id and are verified. Whether either join broadcasts is
+    left to Catalyst and its sizes.
     """
     carry = list(carry)
     names = (names_df.select(F.lower(F.col(name)).alias("_n"), *carry)
                      .where(F.col("_n").isNotNull() & (F.length("_n") > 0)).distinct())
-    first = names.limit(max_names + 1).collect()
-    if len(first) <= max_names:
-        chunk_rows = [first]
+    words = F.split("_n", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))
+    by_word = (F.size(words) >= 3) & (longest["l"] > 0)
+    gram = F.when(F.length("_n") >= GRAM, F.substring("_n", 1, GRAM)).otherwise(F.substring("_n", 1, 1))
+    anchors = names.select("*", F.when(by_word, F.concat(F.lit("w"), longest["w"]))
+                           .otherwise(F.concat(F.lit("g"), gram)).alias("_anchor"))
+    low = F.lower(F.col(text))
+    grams = F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1)
+    chars = F.regexp_extract_all(low, F.lit("(?s)(.)"), 1)
+    tagged = F.concat(
+        F.transform(F.array_distinct(F.split(low, " ")), lambda w: F.concat(F.lit("w"), w)),
+        F.transform(F.array_distinct(F.concat(grams, F.array_distinct(chars))), lambda g: F.concat(F.lit("g"), g)))
+    held = text_df.select(F.col(id_col).alias("_id"), F.explode(tagged).alias("_anchor"))
+    cand = held.join(anchors, "_anchor").select("_id", "_n", *carry).distinct()
+    if distinct_payload:
+        # Names of one payload: an argument table, not data that grows per row.
+        cand = cand.groupBy("_id", *carry).agg(F.array_sort(F.collect_set("_n")).alias("_ns"))
+        hits = text_df.join(cand, F.col(id_col) == F.col("_id"))
+        found = F.filter("_ns", lambda n: F.contains(low, n))
+        hits = hits.withColumn(out, F.get(found, 0)).where(F.col(out).isNotNull())
     else:
-        chunks = math.ceil(names.count() / max_names)
-        chunk_rows = [names.where(F.pmod(F.xxhash64("_n"), F.lit(chunks)) == c).collect()
-                      for c in range(chunks)]
-    carry_fields = [names.schema[c] for c in carry]
-    schema = T.StructType(text_df.schema.fields + [T.StructField(out, T.StringType())]
-                          + carry_fields)
-    lowered = spread(text_df).withColumn("_lt", F.lower(F.col(text)))
-    scan_schema = T.StructType(lowered.schema.fields + [T.StructField(out, T.StringType())]
-                               + carry_fields)
-    parts = []
-    for rows in chunk_rows:
-        entries: dict = {}
-        for r in rows:
-            entries.setdefault(r["_n"], []).append(tuple(r[c] for c in carry))
-        if entries:
-            bc = text_df.sparkSession.sparkContext.broadcast(entries)
-            parts.append(lowered.mapInPandas(
-                _ac_scan(bc, "_lt", out, carry, scan_schema, distinct_payload),
-                scan_schema).drop("_lt"))
-    if not parts:
-        return text_df.sparkSession.createDataFrame([], schema)
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+        hits = text_df.join(cand, F.col(id_col) == F.col("_id")).where(F.contains(low, F.col("_n")))
+        hits = hits.withColumn(out, F.col("_n"))
+    return hits.select(*text_df.columns, out, *carry)

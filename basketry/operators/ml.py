@@ -14,7 +14,6 @@ from pyspark.ml.feature import HashingTF, RegexTokenizer, StandardScaler, Vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators.joins import spread
 from basketry.sources.delimited import ctas_temp
 
 
@@ -42,17 +41,19 @@ def kmeans_segments(features: DataFrame, id_col: str, columns: list[str], k: int
     return model.transform(clean).select(id_col, "cluster")
 
 
-def logreg_interest(features: DataFrame, label: str, columns: list[str],
-                    seed: int = 1234) -> DataFrame:
+def logreg_interest(features: DataFrame, label: str, columns: list[str], id_col: str,
+                    held_out: int = 5) -> DataFrame:
     """Fit logistic regression on ``columns``; report one row with
-    precision, accuracy and the confusion matrix counts on the fit data."""
+    precision, accuracy and the confusion matrix counts on the rows held out
+    (one in ``held_out`` by a hash of ``id_col``)."""
     assembler = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep")
     lr = LogisticRegression(featuresCol="_features", labelCol=label, predictionCol="_pred",
                             maxIter=50, regParam=0.01)
-    data = _materialise(features.select(F.col(label).cast("double").alias(label), *columns),
+    test = F.pmod(F.xxhash64(id_col), F.lit(held_out)) == 0
+    data = _materialise(features.select(F.col(label).cast("double").alias(label), test.alias("_test"), *columns),
                         "logreg-input")
-    model = Pipeline(stages=[assembler, lr]).fit(data)
-    p = model.transform(data)
+    model = Pipeline(stages=[assembler, lr]).fit(data.where(~F.col("_test")))
+    p = model.transform(data.where("_test"))
     y, yhat = F.col(label), F.col("_pred")
     m = p.agg(F.count(F.when((y == 1) & (yhat == 1), 1)).alias("tp"),
               F.count(F.when((y == 0) & (yhat == 1), 1)).alias("fp"),
@@ -60,23 +61,24 @@ def logreg_interest(features: DataFrame, label: str, columns: list[str],
               F.count(F.when((y == 1) & (yhat == 0), 1)).alias("fn"))
     return m.select("tp", "fp", "tn", "fn",
                     F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-                    ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("tn")
-                                                    + F.col("fn"))).alias("accuracy"))
+                    F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("tn")
+                                 + F.col("fn")).alias("accuracy"))
 
 
-def nb_text_classifier(train: DataFrame, test: DataFrame, text: str, label: str,
+def nb_text_classifier(rows: DataFrame, is_test: str, text: str, label: str,
                        id_col: str, num_features: int = 1 << 18) -> DataFrame:
-    """Multinomial naive Bayes over hashed word counts; returns
-    (id, label, prediction) for the test rows."""
+    """Multinomial naive Bayes over hashed word counts, fitted where the
+    boolean column ``is_test`` is false; returns (id, label, prediction) for
+    the other rows. The rows are written once; both parts read that table."""
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern="\\p{L}+", gaps=False),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features),
         NaiveBayes(featuresCol="_tf", labelCol=label, predictionCol="prediction",
                    modelType="multinomial"),
     ])
-    tr = _materialise(train.withColumn(label, F.col(label).cast("double")), "nb-train")
-    te = spread(test.withColumn(label, F.col(label).cast("double")))
-    return pipe.fit(tr).transform(te).select(id_col, label, "prediction")
+    data = _materialise(rows.withColumn(label, F.col(label).cast("double")), "nb-input")
+    return (pipe.fit(data.where(~F.col(is_test))).transform(data.where(F.col(is_test)))
+                .select(id_col, label, "prediction"))
 
 
 def classifier_accuracy(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:

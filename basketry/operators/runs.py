@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 def runs_minutes(runs: DataFrame) -> DataFrame:
     """Duration in minutes, 3 decimals, rounded half up on the exact
     millisecond count (integer arithmetic, so no binary-fraction ties)."""
-    milli_minutes = F.floor((F.col("duration_ms") * 1000 + 30000) / F.lit(60000)).cast("long")
+    milli_minutes = F.expr("(duration_ms * 1000 + 30000) div 60000")
     return runs.withColumn("minutes", milli_minutes / F.lit(1000.0))
 
 
-def runs_average(runs: DataFrame, max_repeats: int | None = None) -> DataFrame:
-    """Mean duration (ms and minutes) per (phase, query) over its repeats."""
+def runs_average(runs: DataFrame) -> DataFrame:
+    """Mean duration (ms and minutes) per (phase, query) over its successful
+    repeats, however many; rounded once, at the end."""
     g = runs.where(~F.col("failed")).groupBy("phase", "query").agg(
         F.count(F.lit(1)).alias("repeats"),
         (F.sum("duration_ms").cast("double") / F.count(F.lit(1))).alias("avg_ms"))
-    if max_repeats is not None:
-        g = g.where(F.col("repeats") <= max_repeats)
     return g.withColumn("avg_minutes", F.round(F.col("avg_ms") / F.lit(60000.0), 3))
 
 
@@ -50,9 +49,10 @@ def runs_engines(runs: DataFrame, engines: list[str]) -> DataFrame:
 def result_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows that differ between two results, with multiplicity, labelled
     ``side`` = 'extra' (only in actual) or 'missing' (only in expected).
-    Empty when the results are equal as multisets."""
+    Empty when the results are equal as multisets. Each side is read once: the
+    rows count +1 or -1, and a sum other than 0 is how often a row differs."""
     cols = expected.columns
-    a = actual.select(*cols)
-    extra = a.exceptAll(expected).withColumn("side", F.lit("extra"))
-    missing = expected.exceptAll(a).withColumn("side", F.lit("missing"))
-    return extra.unionByName(missing).select("side", *cols)
+    both = actual.select(*cols, F.lit(1).alias("_d")).unionByName(expected.select(*cols, F.lit(-1).alias("_d")))
+    diff = both.groupBy(*cols).agg(F.sum("_d").alias("_d")).where(F.col("_d") != 0)
+    return diff.select(F.when(F.col("_d") > 0, "extra").otherwise("missing").alias("side"), *cols,
+                       F.explode(F.sequence(F.lit(1), F.abs("_d"))).alias("_i")).drop("_i")

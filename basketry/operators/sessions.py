@@ -8,10 +8,9 @@ sort. The operators below avoid that:
 * sessions and page-before-sale work on time cells as wide as the timeout
   or limit, where per-(user, cell) aggregates (map-side combined) decide the
   answer and only the small cell table is ordered;
-* running counts are computed per (user, time bucket) and offset by prefix
-  sums over one summary row per bucket.
-
-Results are exact for any bucket width; the width only tunes task size.
+* running counts are computed inside shares of equal row counts (a range
+  partitioning of user and time) and offset by sums over one row per user and
+  share.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.sources.delimited import ctas_temp
+
 _UNB = Window.unboundedPreceding
 _CUR = Window.currentRow
 
@@ -28,33 +29,40 @@ def _order(ts: str, tiebreak) -> list[Column]:
     return [F.col(ts)] + [F.col(t) for t in tb]
 
 
-def bucketed_prefix_sum(df: DataFrame, part: list[str], ts: str, value: Column,
-                        out: str, tiebreak=None, bucket_width: int = 86400) -> DataFrame:
+def _cell(ts: str, width: int) -> Column:
+    """floor(ts / width) in whole numbers."""
+    return F.expr(f"({ts} - pmod({ts}, {int(width)}L)) div {int(width)}L")
+
+
+def balanced_prefix_sum(df: DataFrame, part: list[str], ts: str, value: Column, out: str,
+                        tiebreak=None, partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per ``part`` in (ts, tiebreak) order.
 
-    Computed per (part, bucket) and offset by the totals of earlier buckets,
-    so no task sees more than one bucket of one key. The bucket totals come
-    from a plain (map-side combined) aggregate of the input, not from the
-    windowed rows, so the input is shuffled for the window only once.
+    The rows are range-partitioned by (part, ts, tiebreak), so every share
+    holds about as many rows however they bunch up in time or on one key, and
+    written to the shared folder with their share's number. Sums run inside
+    (part, share) and are offset by the totals of earlier shares: one row per
+    key and share. Without a tie-break that makes rows distinct, equal rows
+    may swap their sums.
     """
-    x = (df.withColumn("_bk", F.floor(F.col(ts) / F.lit(bucket_width)))
-           .withColumn("_v", value.cast("long")))
-    w = (Window.partitionBy(*part, "_bk").orderBy(*_order(ts, tiebreak))
-               .rowsBetween(_UNB, _CUR))
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = _order(ts, tiebreak)
+    x = df.withColumn("_v", value.cast("long")).repartitionByRange(n, *[F.col(p) for p in part], *order)
+    x = ctas_temp(spark, x.withColumn("_share", F.spark_partition_id()), "ordered")
+    w = Window.partitionBy(*part, "_share").orderBy(*order).rowsBetween(_UNB, _CUR)
     windowed = x.withColumn("_local", F.sum("_v").over(w))
-    summ = x.groupBy(*part, "_bk").agg(F.sum("_v").alias("_tot"))
-    ws = Window.partitionBy(*part).orderBy("_bk").rowsBetween(_UNB, -1)
-    summ = summ.select(*part, "_bk",
-                       F.coalesce(F.sum("_tot").over(ws), F.lit(0)).alias("_off"))
-    return (windowed.join(summ, [*part, "_bk"], "inner")
-                    .withColumn(out, F.col("_off") + F.col("_local"))
-                    .drop("_bk", "_v", "_local", "_off"))
+    totals = x.groupBy(*part, "_share").agg(F.sum("_v").alias("_tot"))
+    earlier = Window.partitionBy(*part).orderBy("_share").rowsBetween(_UNB, -1)
+    totals = totals.select(*part, "_share", F.coalesce(F.sum("_tot").over(earlier), F.lit(0)).alias("_off"))
+    return (windowed.join(totals, [*part, "_share"]).withColumn(out, F.col("_off") + F.col("_local"))
+                    .drop("_share", "_v", "_local", "_off"))
 
 
-def sessionize(df: DataFrame, user: str, ts: str, timeout: int, tiebreak=None,
-               out: str = "session_id", bucket_width: int | None = None) -> DataFrame:
+def sessionize(df: DataFrame, user: str, ts: str, timeout: int, out: str = "session_id") -> DataFrame:
     """Add ``out`` = ``<user>_<n>``: per user in time order, a gap greater
-    than ``timeout`` (same unit as ``ts``) starts session n+1; n starts at 1.
+    than ``timeout`` (same unit as ``ts``, whole numbers) starts session n+1;
+    n starts at 1.
 
     Rows with a NULL user or time are dropped (they belong to no session).
     An equal gap stays in the same session; equal times never split.
@@ -65,17 +73,14 @@ def sessionize(df: DataFrame, user: str, ts: str, timeout: int, tiebreak=None,
     more than ``timeout`` back) or its last click is more than ``timeout``
     before this cell's first. So: one map-side combined aggregate per
     (user, cell) over the clicks counted for their own and for the next
-    cell, a running count of starts (bucketed, see ``bucketed_prefix_sum``),
-    and a join back on (user, cell). The clicks are shuffled once and never
-    sorted; a user with a large share of all clicks is spread over its
-    cells. ``tiebreak`` is accepted for API symmetry; ties cannot split.
+    cell, written to the shared folder; a running count of starts over that
+    table; and a join back on (user, cell). The clicks are scanned twice
+    (aggregate, join); a user with a large share of them is spread over its
+    cells.
     """
-    del tiebreak
-    cell_w = max(int(timeout), 1)
-    cells_per_bucket = max(int(bucket_width or cell_w * 24) // cell_w, 1)
+    width = max(int(timeout), 1)
     t = F.col(ts)
-    rows = (df.where(F.col(user).isNotNull() & t.isNotNull())
-              .withColumn("_cell", F.floor(t / F.lit(cell_w))))
+    rows = df.where(F.col(user).isNotNull() & t.isNotNull()).withColumn("_cell", _cell(ts, width))
     # each click counts for its own cell and, as "previous", for the next
     # cell: one map-side combined aggregate gives first, last and the
     # previous cell's last click of every cell, with no self join
@@ -86,11 +91,9 @@ def sessionize(df: DataFrame, user: str, ts: str, timeout: int, tiebreak=None,
                    .agg(F.min(F.when(~F.col("_x.prev"), F.col(ts))).alias("_lo"),
                         F.max(F.when(F.col("_x.prev"), F.col(ts))).alias("_prev_hi"))
                    .where(F.col("_lo").isNotNull()))
-    starts = cells.withColumn(
-        "_start", F.when(F.col("_prev_hi").isNull()
-                         | (F.col("_lo") - F.col("_prev_hi") > F.lit(timeout)), 1).otherwise(0))
-    numbered = bucketed_prefix_sum(starts, [user], "_cell", F.col("_start"), "_session_no",
-                                   bucket_width=cells_per_bucket)
+    starts = cells.select(user, "_cell", F.when(
+        F.col("_prev_hi").isNull() | (F.col("_lo") - F.col("_prev_hi") > F.lit(timeout)), 1).otherwise(0).alias("_start"))
+    numbered = balanced_prefix_sum(starts, [user], "_cell", F.col("_start"), "_session_no")
     return (rows.join(numbered.select(user, "_cell", "_session_no"), [user, "_cell"], "inner")
                 .withColumn(out, F.concat(F.col(user).cast("string"), F.lit("_"),
                                           F.col("_session_no").cast("string")))
@@ -98,12 +101,13 @@ def sessionize(df: DataFrame, user: str, ts: str, timeout: int, tiebreak=None,
 
 
 def last_n_before(df: DataFrame, user: str, ts: str, item: str, is_view: Column,
-                  is_buy: Column, targets=None, n: int = 5, range_s: int = 864000,
-                  tiebreak=None, bucket_width: int = 864000) -> DataFrame:
+                  is_buy: Column, max_age: int, targets=None, n: int = 5,
+                  tiebreak=None) -> DataFrame:
     """(purchased_item, lastviewed_item) for the last ``n`` views before each
-    purchase of a target item by the same user, at most ``range_s`` older.
+    purchase of a target item by the same user, at most ``max_age`` older (same
+    unit as ``ts``).
 
-    Views are numbered per user (running count, bucket-stitched); a purchase
+    Views are numbered per user (``balanced_prefix_sum``); a purchase
     that follows view number k explodes k-n+1..k and equi-joins (user, number),
     so the work is linear: n rows per purchase, never views x purchases.
     Decision: a purchase does not clear the list of views.
@@ -118,8 +122,8 @@ def last_n_before(df: DataFrame, user: str, ts: str, item: str, is_view: Column,
               .where(F.col("_kind").isNotNull())
               .select(user, ts, item, "_kind", *([tiebreak] if isinstance(tiebreak, str)
                                                  else list(tiebreak or []))))
-    numbered = bucketed_prefix_sum(rows, [user], ts, (F.col("_kind") == "v").cast("int"), "_vn",
-                                   tiebreak=tiebreak, bucket_width=bucket_width)
+    numbered = balanced_prefix_sum(rows, [user], ts, (F.col("_kind") == "v").cast("int"), "_vn",
+                                   tiebreak=tiebreak)
     numbered = numbered.select(F.col(user).alias("_u"), F.col(ts).alias("_t"),
                                F.col(item).alias("_item"), "_kind", "_vn")
     views = numbered.where(F.col("_kind") == "v").select(
@@ -133,28 +137,28 @@ def last_n_before(df: DataFrame, user: str, ts: str, item: str, is_view: Column,
         F.explode(F.sequence(F.greatest(F.col("_vn") - F.lit(n - 1), F.lit(1)),
                              F.col("_vn"))).alias("_j"))
     return (buys.join(views, ["_u", "_j"], "inner")
-                .where(F.col("_bts") - F.col("_vts") <= F.lit(range_s))
+                .where(F.col("_bts") - F.col("_vts") <= F.lit(max_age))
                 .select("purchased_item", "lastviewed_item"))
 
 
 def purchase_after_page(df: DataFrame, user: str, ts: str, page_type: str, sale: str,
-                        wanted: str = "review", within_s: int = 259200,
-                        tiebreak=None) -> DataFrame:
-    """Distinct sale ids whose user saw a ``wanted`` page at most ``within_s``
-    earlier (at or before the sale in (ts, tiebreak) order).
+                        within: int, wanted: str = "review", tiebreak=None) -> DataFrame:
+    """Distinct sale ids whose user saw a ``wanted`` page at most ``within``
+    (same unit as ``ts``) earlier, at or before the sale in (ts, tiebreak)
+    order.
 
-    Time is cut into cells ``within_s`` wide. A qualifying page is either in
+    Time is cut into cells ``within`` wide. A qualifying page is either in
     the sale's own cell and ordered before the sale (then the cell's
     earliest wanted page qualifies) or in the previous cell and at most
-    ``within_s`` older (then that cell's latest wanted page qualifies). So
+    ``within`` older (then that cell's latest wanted page qualifies). So
     two per-(user, cell) aggregates decide every sale: map-side combined,
     no sort and no per-user window, and a hot user is spread over cells.
     """
-    width = max(int(within_s), 1)
+    width = max(int(within), 1)
     tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak or [])
     key = F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(tb)])
     rows = (df.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
-              .withColumn("_cell", F.floor(F.col(ts) / F.lit(width))))
+              .withColumn("_cell", _cell(ts, width)))
     pages = (rows.where(F.col(page_type) == F.lit(wanted))
                  .groupBy(user, "_cell")
                  .agg(F.min(key).alias("_first_page"), F.max(ts).alias("_last_page_ts")))
@@ -165,7 +169,7 @@ def purchase_after_page(df: DataFrame, user: str, ts: str, page_type: str, sale:
     j = sales.join(same, [user, "_cell"], "left").join(prev, [user, "_cell"], "left")
     hit = ((F.col("_first_page").isNotNull() & (F.col("_first_page") <= F.col("_key")))
            | (F.col("_last_page_ts").isNotNull()
-              & (F.col("_t") - F.col("_last_page_ts") <= F.lit(within_s))))
+              & (F.col("_t") - F.col("_last_page_ts") <= F.lit(within))))
     return j.where(hit).select(sale).distinct()
 
 
@@ -192,12 +196,17 @@ def recency_flag(df: DataFrame, last_day: str, today, days: int = 60, out: str =
 
 
 def distribute_sort(df: DataFrame, key: list[str], order: list[str],
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, together: bool = False) -> DataFrame:
     """DISTRIBUTE BY key SORT BY key, order: each key's rows contiguous and
-    in order. Range partitioning on (key, order) is used instead of hashing
-    the key: a key holding a large share of the rows spreads over
-    neighbouring partitions (in order) instead of filling one task."""
+    in order. Range partitioning on (key, order) is used by default: a key
+    holding a large share of the rows spreads over neighbouring partitions (in
+    order) instead of filling one task. With ``together`` all rows of a key
+    are in one partition, as after hashing the key; then the rows of the
+    largest key must fit one task's sort (which spills to disk)."""
     cols = [*key, *order]
+    if together:
+        r = df.repartition(partitions, *key) if partitions else df.repartition(*key)
+        return r.sortWithinPartitions(*cols)
     r = (df.repartitionByRange(partitions, *cols) if partitions
          else df.repartitionByRange(*cols))
     return r.sortWithinPartitions(*cols)

@@ -3,9 +3,10 @@
 The reference calls Java table functions with trained sentence/entity
 models (not in its tree). Here a review is split into sentences and words
 with built-in regex functions, and words are equi-joined to a dictionary
-(a DataFrame argument). A dictionary within a row bound (counted first) is
-broadcast; a larger one becomes a shuffle join on the word, which AQE splits
-where a common word is skewed. Nothing leaves the JVM.
+(a DataFrame argument) on the entry's first word; an entry of more than one
+word (or with a digit or hyphen) is then looked for in the sentence as a whole.
+Whether the dictionary is broadcast is left to Catalyst, which knows its size,
+and to AQE, which splits a skewed common word. Nothing leaves the JVM.
 
 Sentence = maximal run of characters other than . ! ? of the lower-cased
 text; word = maximal run of letters (Unicode ``\\p{L}``). Both regexes mean
@@ -17,12 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.joins import broadcast_if_small, spread
-
 SENTENCE_RE = "[^.!?]+"
-# Dictionaries (lexicon, company names) up to this many rows are broadcast;
-# larger ones are joined by shuffle on the word.
-MAX_BROADCAST_WORDS = 1_000_000
 WORD_RE = "\\p{L}+"
 
 # Fixed test lexicon: words that occur in the generated review text (the
@@ -36,13 +32,26 @@ DEFAULT_LEXICON = {
 def lexicon_df(spark: SparkSession, lexicon: dict | None = None) -> DataFrame:
     """(word, sentiment) rows from {sentiment: [words]}."""
     lex = lexicon or DEFAULT_LEXICON
-    rows = [(w.lower(), pol) for pol, words in lex.items() for w in words]
-    return spark.createDataFrame(rows, "word string, sentiment string")
+    # SQL values make a local relation, whose size Catalyst knows.
+    quoted = [(w.lower().replace("\\", "\\\\").replace("'", "\\'"), pol) for pol, words in lex.items() for w in words]
+    values = ", ".join(f"('{w}', '{pol}')" for w, pol in quoted)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(word, sentiment)")
+
+
+def _entries(df: DataFrame, entry: str, as_name: str) -> DataFrame:
+    """Lower-cased dictionary entries with the word that they are joined on;
+    an entry without a letter is refused by matching nothing."""
+    e = df.withColumn(as_name, F.lower(F.col(entry)))
+    return e.withColumn("_first", F.regexp_extract(as_name, WORD_RE, 0)).where(F.col("_first") != "").distinct()
+
+
+def _occurs(entry: str, sentence: str):
+    return (F.col(entry) == F.col("_first")) | F.contains(F.col(sentence), F.col(entry))
 
 
 def sentences(df: DataFrame, text: str, keep: list[str], out: str = "review_sentence") -> DataFrame:
     """One row per sentence of the lower-cased ``text``; ``keep`` columns carried."""
-    return spread(df).select(*keep, F.explode(
+    return df.select(*keep, F.explode(
         F.regexp_extract_all(F.lower(F.col(text)), F.lit(SENTENCE_RE), 0)).alias(out))
 
 
@@ -58,21 +67,18 @@ def extract_sentiment(df: DataFrame, id_cols: list[str], text: str, lexicon: Dat
     sentence occurrence and distinct polar word in it. Map-only: explode,
     broadcast dictionary join, no shuffle."""
     lex = lexicon if only is None else lexicon.where(F.col("sentiment") == only)
-    lex = broadcast_if_small(lex, MAX_BROADCAST_WORDS)
-    s = sentences(df, text, id_cols)
-    w = sentence_words(s, "review_sentence", id_cols)
-    return w.join(lex, "word").select(*id_cols, "review_sentence", "sentiment",
-                                      F.col("word").alias("sentiment_word"))
+    lex = _entries(lex.select("word", "sentiment"), "word", "sentiment_word").drop("word")
+    w = sentence_words(sentences(df, text, id_cols), "review_sentence", id_cols, "_first")
+    return w.join(lex, "_first").where(_occurs("sentiment_word", "review_sentence")).select(
+        *id_cols, "review_sentence", "sentiment", "sentiment_word")
 
 
 def find_company(df: DataFrame, id_cols: list[str], text: str, names: DataFrame,
                  name: str = "name") -> DataFrame:
     """(ids..., company_name, review_sentence): one row per sentence
-    occurrence and distinct dictionary name in it (whole-word,
-    case-insensitive). Map-only like ``extract_sentiment``."""
-    n = names.select(F.lower(F.col(name)).alias("word")).where(F.col("word").isNotNull()).distinct()
-    n = broadcast_if_small(n, MAX_BROADCAST_WORDS)
-    s = sentences(df, text, id_cols)
-    w = sentence_words(s, "review_sentence", id_cols)
-    return w.join(n, "word").select(*id_cols, F.col("word").alias("company_name"),
-                                    "review_sentence")
+    occurrence and distinct dictionary name in it (case-insensitive; its first
+    word is a whole word there). Map-only like ``extract_sentiment``."""
+    n = _entries(names.select(F.col(name).alias("_name")), "_name", "company_name").select("company_name", "_first")
+    w = sentence_words(sentences(df, text, id_cols), "review_sentence", id_cols, "_first")
+    return w.join(n, "_first").where(_occurs("company_name", "review_sentence")).select(
+        *id_cols, "company_name", "review_sentence")

@@ -9,6 +9,7 @@ from basketry.operators.basket import pair_counts_bounded, top_k, viewed_with_it
 from basketry.operators.sessions import (abandoned_sessions, last_n_before,
                                          purchase_after_page, sessionize)
 from basketry.plans.common import DAY_S, lit_date, s_to_us
+from basketry.sources.delimited import ctas_temp
 from basketry.sources.tables import clicks, epoch_micros, money, table
 
 
@@ -37,7 +38,9 @@ def q02_viewed_with_item(spark: SparkSession, sf_dir: str, target: int = 10,
     default timeout is one day instead of one hour.
     """
     c = clicks(spark, sf_dir).where(F.col("item").isNotNull())
-    s = sessionize(c, "user_id", "ts_us", s_to_us(timeout_s), tiebreak="event_id")
+    s = sessionize(c, "user_id", "ts_us", s_to_us(timeout_s))
+    # distinct (session, item) once: both sides of the semi join read it
+    s = ctas_temp(spark, s.select("session_id", "item").distinct(), "session-items")
     together = viewed_with_item(s, "session_id", "item", target)
     return top_k(together.groupBy(F.col("item").alias("viewed_item"))
                          .agg(F.count(F.lit(1)).alias("cnt"))
@@ -52,8 +55,7 @@ def q03_views_before_buy(spark: SparkSession, sf_dir: str, targets=None, n: int
     pv = last_n_before(c, "user_id", "ts_us", "item",
                        is_view=F.col("event_type") == "view",
                        is_buy=F.col("event_type") == "purchase",
-                       targets=targets, n=n, range_s=s_to_us(range_s),
-                       tiebreak="event_id", bucket_width=s_to_us(DAY_S))
+                       max_age=s_to_us(range_s), targets=targets, n=n, tiebreak="event_id")
     g = pv.groupBy("purchased_item", "lastviewed_item").agg(F.count(F.lit(1)).alias("cnt"))
     return top_k(g, [F.col("cnt").desc(), "purchased_item", "lastviewed_item"], limit)
 
@@ -62,7 +64,7 @@ def q04_abandoned_carts(spark: SparkSession, sf_dir: str, timeout_s: int = 6 * 3
                         cart: str = "click", checkout: str = "purchase") -> DataFrame:
     """Mean pages of sessions with a cart page and no checkout after it."""
     c = clicks(spark, sf_dir)
-    s = sessionize(c, "user_id", "ts_us", s_to_us(timeout_s), tiebreak="event_id")
+    s = sessionize(c, "user_id", "ts_us", s_to_us(timeout_s))
     ab = abandoned_sessions(s, "session_id", "ts_us", "event_type", cart, checkout)
     return ab.agg(F.count(F.lit(1)).alias("abandoned_sessions"),
                   (F.sum("pagecount") / F.count(F.lit(1))).cast("decimal(20,1)").alias("average_pages"))
@@ -78,7 +80,7 @@ def q08_review_effect(spark: SparkSession, sf_dir: str, start: str = "2024-01-01
                  epoch_micros("ts").alias("ts_us"),
                  F.when(F.col("event_type") == sale, F.col("event_id")).alias("sale_id"))
     hits = purchase_after_page(c, "user_id", "ts_us", "event_type", "sale_id",
-                               wanted=review, within_s=s_to_us(within_s), tiebreak="event_id")
+                               wanted=review, within=s_to_us(within_s), tiebreak="event_id")
     sales = c.where(F.col("sale_id").isNotNull()).select("sale_id", money("value").alias("amount"))
     flagged = sales.join(hits.withColumn("_hit", F.lit(True)), "sale_id", "left")
     review_amt = F.coalesce(F.sum(F.when(F.col("_hit"), F.col("amount"))), F.lit(0).cast("decimal(15,2)"))
@@ -96,7 +98,7 @@ def q12_view_then_store(spark: SparkSession, sf_dir: str, start: str = "2024-01-
     purchase", so one aggregate per user replaces the views x purchases join.
     Category = item div 10.
     """
-    c = clicks(spark, sf_dir).where(
+    c = clicks(spark, sf_dir, first=start, days=max(view_days, buy_days)).where(
         F.col("user_id").isNotNull() & F.floor(F.col("item") / 10).isin(list(categories)))
     t0 = epoch_micros(lit_date(start))
     in_days = lambda d: (F.col("ts_us") >= t0) & (F.col("ts_us") < t0 + F.lit(s_to_us(d * DAY_S)))
@@ -120,7 +122,7 @@ def q30_viewed_together_cat(spark: SparkSession, sf_dir: str, timeout_s: int = 3
                             limit: int = 100) -> DataFrame:
     """Page-type pairs seen in one session."""
     c = clicks(spark, sf_dir).where(F.col("event_type").isNotNull())
-    s = sessionize(c, "user_id", "ts_us", s_to_us(timeout_s), tiebreak="event_id")
+    s = sessionize(c, "user_id", "ts_us", s_to_us(timeout_s))
     pairs = pair_counts_bounded(s, "session_id", "event_type",
                                 names=("category_1", "category_2"))
     return top_k(pairs, [F.col("cnt").desc(), "category_1", "category_2"], limit)

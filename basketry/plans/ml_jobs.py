@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.ml import kmeans_segments, logreg_interest, nb_text_classifier
+from basketry.operators.ml import classifier_accuracy, kmeans_segments, logreg_interest, nb_text_classifier
 from basketry.operators.sessions import recency_flag
+from basketry.sources.delimited import ctas_temp
 from basketry.sources.tables import clicks, net_paid, table
 
 ROWS_ONLY = ("q05_interest_model", "q20_return_segments", "q25_rfm_segments",
@@ -41,12 +42,14 @@ def q05_interest_features(spark: SparkSession, sf_dir: str, category: int = 1,
 
 def q05_interest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic regression: is a user's interest in the category above the
-    mean? (decision: the source label is a count). One row of metrics."""
-    f = q05_interest_features(spark, sf_dir)
-    mean = f.agg(F.avg("clicks_in_category")).first()[0] or 0.0
-    f = f.withColumn("label", (F.col("clicks_in_category") > F.lit(mean)).cast("double"))
-    cols = ["college_education", "male"] + [f"clicks_in_{k}" for k in range(N_CATEGORIES)]
-    return logreg_interest(f, "label", cols)
+    mean? (decision: the source label is a count). One row of metrics on users
+    held out. The category's own clicks are the label, so they are no feature."""
+    category = 1
+    f = ctas_temp(spark, q05_interest_features(spark, sf_dir, category), "q05-features")
+    mean = f.agg(F.avg("clicks_in_category").alias("m")).select("m").scalar()
+    f = f.withColumn("label", (F.col("clicks_in_category") > mean).cast("double"))
+    cols = ["college_education", "male"] + [f"clicks_in_{k}" for k in range(N_CATEGORIES) if k != category]
+    return logreg_interest(f, "label", cols, "user_id")
 
 
 def return_ratios(lines: DataFrame, orders: DataFrame) -> DataFrame:
@@ -156,8 +159,15 @@ def q28_review_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q28_review_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Naive Bayes on review words, trained on the 90 %, applied to the 10 %."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text")
-    s = q28_review_split(spark, sf_dir).join(d, "doc_id")
-    return nb_text_classifier(s.where(F.col("split") == "train"),
-                              s.where(F.col("split") == "test"), "text", "quality", "doc_id")
+    """Naive Bayes on review words, trained on the 90 %, applied to the 10 %:
+    (accuracy, n)."""
+    return classifier_accuracy(review_predictions(spark, sf_dir, "quality"), "quality")
+
+
+def review_predictions(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(doc_id, label, prediction) of the tenth of the labelled reviews held
+    out; the text is read in one join."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text").where(F.col("text").isNotNull())
+    lab = table(spark, sf_dir, "labels", "doc_id", label).where(F.col(label).isNotNull())
+    rows = d.join(lab, "doc_id").withColumn("is_test", F.pmod(F.col("doc_id"), F.lit(10)) == 0)
+    return nb_text_classifier(rows, "is_test", "text", label, "doc_id")

@@ -85,10 +85,10 @@ SQL = {
                JOIN supplier s ON l.l_suppkey = s.s_suppkey
                JOIN nation n ON s.s_nationkey = n.n_nationkey
                JOIN part p ON l.l_partkey = p.p_partkey
-          WHERE datediff('day', DATE '1998-03-16', CAST(o.o_orderdate AS DATE)) BETWEEN -30 AND 30)
+          WHERE datediff('day', DATE '1997-06-20', CAST(o.o_orderdate AS DATE)) BETWEEN -30 AND 30)
     SELECT n_name AS w_state, p_type AS i_item_id,
-           CAST(sum(CASE WHEN d < DATE '1998-03-16' THEN v ELSE 0 END) AS DOUBLE) AS sales_before,
-           CAST(sum(CASE WHEN d >= DATE '1998-03-16' THEN v ELSE 0 END) AS DOUBLE) AS sales_after
+           CAST(sum(CASE WHEN d < DATE '1997-06-20' THEN v ELSE 0 END) AS DOUBLE) AS sales_before,
+           CAST(sum(CASE WHEN d >= DATE '1997-06-20' THEN v ELSE 0 END) AS DOUBLE) AS sales_after
     FROM x GROUP BY n_name, p_type ORDER BY w_state, i_item_id LIMIT 100""",
 
     "q17_promo_ratio": f"""
@@ -128,10 +128,10 @@ SQL = {
     WITH x AS (SELECT s.s_name, p.p_type, CAST(l.l_shipdate AS DATE) AS d, l.l_quantity AS q
                FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
                     JOIN supplier s ON l.l_suppkey = s.s_suppkey
-               WHERE datediff('day', DATE '1998-05-08', CAST(l.l_shipdate AS DATE)) BETWEEN -30 AND 30),
+               WHERE datediff('day', DATE '1997-09-05', CAST(l.l_shipdate AS DATE)) BETWEEN -30 AND 30),
     g AS (SELECT s_name, p_type,
-                 sum(CASE WHEN d < DATE '1998-05-08' THEN q ELSE 0 END) AS b,
-                 sum(CASE WHEN d >= DATE '1998-05-08' THEN q ELSE 0 END) AS a
+                 sum(CASE WHEN d < DATE '1997-09-05' THEN q ELSE 0 END) AS b,
+                 sum(CASE WHEN d >= DATE '1997-09-05' THEN q ELSE 0 END) AS a
           FROM x GROUP BY s_name, p_type)
     SELECT s_name AS w_warehouse_name, p_type AS i_item_id,
            CAST(b AS BIGINT) AS inv_before, CAST(a AS BIGINT) AS inv_after

@@ -24,7 +24,7 @@ def _sentiment(src: str, ids: str, only: str | None = None) -> str:
 
 SQL = {
     "q10_sentiment": """
-    WITH r AS (SELECT doc_id AS item_sk, text FROM documents WHERE lang = 'en'),""" + _sentiment(
+    WITH r AS (SELECT doc_id AS item_sk, text FROM documents),""" + _sentiment(
         "r", "item_sk"),
 
     "q18_declining_store_reviews": f"""
@@ -48,7 +48,9 @@ SQL = {
     "q19_returned_both": """
     WITH r AS (SELECT l_partkey, l_quantity, l_linestatus FROM lineitem
                WHERE l_returnflag = 'R'
-                 AND CAST(l_shipdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'),
+                 AND floor(datediff('day', DATE '1900-01-01', CAST(l_shipdate AS DATE)) / 7) IN (
+                   SELECT floor(datediff('day', DATE '1900-01-01', make_date(1997, m, 5 + m)) / 7)
+                   FROM (SELECT unnest(range(1, 13)) AS m))),
     sr AS (SELECT l_partkey, sum(l_quantity) AS q FROM r WHERE l_linestatus = 'F'
            GROUP BY l_partkey HAVING sum(l_quantity) > 0),
     wr AS (SELECT l_partkey, sum(l_quantity) AS q FROM r WHERE l_linestatus = 'O'

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators.aggregates import agg_conditional
 from basketry.operators.basket import top_k
-from basketry.operators.filters import days_around, filter_disjunctive
+from basketry.operators.filters import date_range_filter, days_around, filter_disjunctive, month_range
 from basketry.sources.tables import money, net_paid, table
 
 
@@ -21,9 +21,7 @@ def _lines_with_orders(spark, sf_dir, *li_cols, year_from=None, year_to=None):
     li = table(spark, sf_dir, "lineitem", "l_orderkey", *li_cols)
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     if year_from is not None:
-        o = o.where(F.col("o_orderdate").between(
-            F.to_timestamp_ntz(F.lit(f"{year_from}-01-01")),
-            F.to_timestamp_ntz(F.lit(f"{year_to}-12-31 23:59:59.999999"))))
+        o = date_range_filter(o, "o_orderdate", f"{year_from}-01-01", f"{year_to}-12-31")
     return li.join(o, li.l_orderkey == o.o_orderkey).drop("o_orderkey")
 
 
@@ -74,9 +72,7 @@ def q07_pricey_states(spark: SparkSession, sf_dir: str, ratio: float = 1.03, yea
                .select("p_partkey"))
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    o = o.where(F.year("o_orderdate") == year)
-    if month is not None:
-        o = o.where(F.month("o_orderdate") == month)
+    o = date_range_filter(o, "o_orderdate", *month_range(year, month or 1, month or 12))
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     x = (li.join(pricey, li.l_partkey == pricey.p_partkey, "left_semi")
@@ -128,7 +124,7 @@ def q13_yoy_growth(spark: SparkSession, sf_dir: str, year: int = 1996,
                     F.col("_rw").cast("decimal(15,2)").alias("web_sales_increase_ratio")))
 
 
-def q16_price_change_sales(spark: SparkSession, sf_dir: str, day: str = "1998-03-16",
+def q16_price_change_sales(spark: SparkSession, sf_dir: str, day: str = "1997-06-20",
                            days: int = 30, limit: int = 100) -> DataFrame:
     """Net sales less refunds 30 days before/after ``day`` by supplier nation and category.
 
@@ -139,7 +135,9 @@ def q16_price_change_sales(spark: SparkSession, sf_dir: str, day: str = "1998-03
                "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag")
     o = days_around(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"),
                     "o_orderdate", day, days, days)
+    # only refunds of the window's orders
     refunds = (li.where(F.col("l_returnflag") == "R")
+                 .join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
                  .select(F.col("l_orderkey").alias("r_orderkey"),
                          F.col("l_linenumber").alias("r_linenumber"),
                          net_paid().alias("refund")))
@@ -165,8 +163,10 @@ def q16_price_change_sales(spark: SparkSession, sf_dir: str, day: str = "1998-03
 def q17_promo_ratio(spark: SparkSession, sf_dir: str, year: int = 1997, month: int = 12,
                     min_discount: float = 0.05) -> DataFrame:
     """Promoted share of sales in one month (promoted = discount >= min_discount)."""
-    x = _lines_with_orders(spark, sf_dir, "l_extendedprice", "l_discount",
-                           year_from=year, year_to=year).where(F.month("o_orderdate") == month)
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_discount")
+    o = date_range_filter(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"),
+                          "o_orderdate", *month_range(year, month, month))
+    x = li.join(o, li.l_orderkey == o.o_orderkey)
     promoted = money("l_discount") >= F.lit(min_discount).cast("decimal(15,2)")
     g = agg_conditional(x, [], {"promotions": (promoted, net_paid()),
                                 "total": (F.lit(True), net_paid())})
@@ -181,24 +181,26 @@ def q21_return_rebuy(spark: SparkSession, sf_dir: str, year: int = 1996, month:
     """Parts sold in (year, month), returned within the next six months of
     that year, and bought again by the same customer on the web ('O') within
     three years: quantities per part and supplier."""
-    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
-                  "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    x = lines.join(o, lines.l_orderkey == o.o_orderkey)
-    sold = (x.where((F.year("o_orderdate") == year) & (F.month("o_orderdate") == month))
-              .select(F.col("l_orderkey").alias("ticket"), F.col("l_partkey").alias("item"),
-                      F.col("o_custkey").alias("cust"), F.col("l_suppkey").alias("store"),
-                      F.col("l_quantity").alias("ss_qty")))
-    returned = (x.where((F.col("l_returnflag") == "R") & (F.year("l_shipdate") == year)
-                        & F.month("l_shipdate").between(month, month + 6))
-                  .select(F.col("l_orderkey").alias("ticket"), F.col("l_partkey").alias("item"),
-                          F.col("o_custkey").alias("cust"), F.col("l_quantity").alias("sr_qty")))
-    rebuy = (x.where((F.col("l_linestatus") == "O")
-                     & F.year("o_orderdate").between(year, year + 2))
-               .select(F.col("l_partkey").alias("item"), F.col("o_custkey").alias("cust"),
-                       F.col("l_quantity").alias("ws_qty")))
-    j = (returned.join(rebuy, ["item", "cust"])
-                 .join(sold, ["ticket", "item", "cust"]))
+    month_orders = date_range_filter(o, "o_orderdate", *month_range(year, month, month))
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    sold = li.join(month_orders, li.l_orderkey == month_orders.o_orderkey).select(
+        F.col("l_orderkey").alias("ticket"), F.col("l_partkey").alias("item"),
+        F.col("o_custkey").alias("cust"), F.col("l_suppkey").alias("store"), F.col("l_quantity").alias("ss_qty"))
+    # a return has the ticket, and with it the customer, of its sale
+    back = date_range_filter(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag",
+                                   "l_shipdate"), "l_shipdate", *month_range(year, month, min(month + 6, 12)))
+    back = back.where(F.col("l_returnflag") == "R").select(
+        F.col("l_orderkey").alias("ticket"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("sr_qty"))
+    returned = sold.join(back, ["ticket", "item"])
+    later = date_range_filter(o, "o_orderdate", f"{year}-01-01", f"{year + 2}-12-31").select("o_orderkey", "o_custkey")
+    web = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_linestatus").where(
+        F.col("l_linestatus") == "O")
+    rebuy = (web.join(returned.select("item").distinct(), F.col("l_partkey") == F.col("item"), "left_semi")
+                .join(later, F.col("l_orderkey") == F.col("o_orderkey"))
+                .select(F.col("l_partkey").alias("item"), F.col("o_custkey").alias("cust"),
+                        F.col("l_quantity").alias("ws_qty")))
+    j = returned.join(rebuy, ["item", "cust"])
     p = table(spark, sf_dir, "part", "p_partkey", "p_name")
     s = table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     j = j.join(p, j.item == p.p_partkey).join(s, j.store == s.s_suppkey)
@@ -209,7 +211,7 @@ def q21_return_rebuy(spark: SparkSession, sf_dir: str, year: int = 1996, month:
     return top_k(g, ["p_partkey", "p_name", "s_suppkey", "s_name"], limit)
 
 
-def q22_inventory_change(spark: SparkSession, sf_dir: str, day: str = "1998-05-08",
+def q22_inventory_change(spark: SparkSession, sf_dir: str, day: str = "1997-09-05",
                          days: int = 30, price_min=None, price_max=None,
                          limit: int = 100) -> DataFrame:
     """Shipped quantity 30 days before/after ``day`` per supplier and

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.aggregates import agg_corr, agg_linreg, agg_stddev_cov
+from basketry.operators.aggregates import agg_corr, agg_linreg
+from basketry.operators.filters import date_range_filter, month_range
 from basketry.operators.joins import before_after
 from basketry.sources.tables import money, net_paid, table
 
@@ -71,20 +72,23 @@ def q23_inventory_cov(spark: SparkSession, sf_dir: str, year: int = 1997, month:
     """(supplier nation, category) groups whose shipped quantity has
     coefficient of variation >= c in month m and in month m+1."""
     li = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    li = li.where((F.year("l_shipdate") == year) & F.month("l_shipdate").between(month, month + 1))
+    li = date_range_filter(li, "l_shipdate", *month_range(year, month, month + 1))
     s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     p = table(spark, sf_dir, "part", "p_partkey", "p_type")
-    x = (li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey)
-           .select(F.col("s_nationkey").alias("warehouse"), F.col("p_type").alias("item"),
-                   F.month("l_shipdate").alias("d_moy"), "l_quantity"))
-    cov = agg_stddev_cov(x, ["warehouse", "item", "d_moy"], "l_quantity")
-    cov = (cov.where((F.col("mean").cast("decimal(15,5)") > 0) & (F.col("cov") >= coefficient))
-              .select("warehouse", "item", "d_moy", F.col("cov").cast("decimal(15,5)").alias("cov")))
-    a = cov.where(F.col("d_moy") == month)
-    b = cov.where(F.col("d_moy") == month + 1).select(
-        "warehouse", "item", F.col("d_moy").alias("d_moy_consecutive"),
-        F.col("cov").alias("cov_consecutive"))
-    return a.join(b, ["warehouse", "item"]).orderBy("warehouse", "item")
+    x = li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey)
+    # both months from one aggregate: other months' quantities are NULL
+    moy = F.month("l_shipdate")
+    g = x.groupBy(F.col("s_nationkey").alias("warehouse"), F.col("p_type").alias("item")).agg(*[
+        f(F.when(moy == m, F.col("l_quantity"))).cast("decimal(15,5)").alias(f"{n}{m}")
+        for m in (month, month + 1) for n, f in (("sd", F.stddev_samp), ("mu", F.avg))])
+
+    def cov(m):
+        return F.when(F.col(f"mu{m}") > 0, F.col(f"sd{m}").cast("double") / F.col(f"mu{m}").cast("double"))
+    return (g.where((cov(month) >= coefficient) & (cov(month + 1) >= coefficient))
+             .select("warehouse", "item", F.lit(month).alias("d_moy"), cov(month).cast("decimal(15,5)").alias("cov"),
+                     F.lit(month + 1).alias("d_moy_consecutive"),
+                     cov(month + 1).cast("decimal(15,5)").alias("cov_consecutive"))
+             .orderBy("warehouse", "item"))
 
 
 def market_prices(part: DataFrame, windows: int = 2) -> DataFrame:
@@ -128,10 +132,15 @@ def q24_price_elasticity(spark: SparkSession, sf_dir: str, p_type: str = "ECONOM
     competitor price windows."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_type").where(F.col("p_type") == p_type)
     changes = market_prices(p.select("p_partkey")).withColumnRenamed("p_partkey", "item")
+    return cross_price_elasticity(sales_near(spark, sf_dir, changes), changes)
+
+
+def sales_near(spark: SparkSession, sf_dir: str, changes: DataFrame) -> DataFrame:
+    """Sales (item, sold, qty, ch) of items with a price change: the items
+    restrict ``lineitem`` before it meets ``orders``."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_linestatus")
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
-    sales = (li.join(o, li.l_orderkey == o.o_orderkey)
-               .select(F.col("l_partkey").alias("item"),
-                       F.col("o_orderdate").cast("date").alias("sold"),
-                       F.col("l_quantity").alias("qty"), F.col("l_linestatus").alias("ch")))
-    return cross_price_elasticity(sales, changes)
+    li = li.join(changes.select("item").distinct(), F.col("l_partkey") == F.col("item"), "left_semi")
+    return (li.join(o, li.l_orderkey == o.o_orderkey)
+              .select(F.col("l_partkey").alias("item"), F.col("o_orderdate").cast("date").alias("sold"),
+                      F.col("l_quantity").alias("qty"), F.col("l_linestatus").alias("ch")))

@@ -1,8 +1,8 @@
 """Session construction and shared-storage helpers.
 
 Library code never picks a storage location of its own: scratch data goes
-below the folder the cluster names in ``spark.checkpoint.dir``. Only when that
-setting is absent (local tests, the smoke driver) do we create one.
+below the folder the cluster names in ``spark.checkpoint.dir``. Only where that
+setting is absent in a local session (tests, the smoke driver) is one made.
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ def local_session(cpus: int | None = None, app: str = "basketry",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -54,19 +53,40 @@ def apply_job_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="basketry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+_local_dirs: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder for derived tables: ``spark.checkpoint.dir``, else the
+    checkpoint folder the application has set. Only a single-process local
+    session gets a temporary folder instead; on a cluster a missing setting is
+    an error, because executors would write to their own disks."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if d:
+        return d.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
+    return _local_dirs.setdefault(spark.sparkContext.applicationId, "") or _local_dir(spark)
+
+
+def _local_dir(spark: SparkSession) -> str:
+    d = tempfile.mkdtemp(prefix="basketry-")
+    _local_dirs[spark.sparkContext.applicationId] = d
+    return d
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/basketry-scratch/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder for derived tables."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/basketry-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below the shared folder for a derived table."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's derived tables. Results that were not written
+    elsewhere can't be read afterwards."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

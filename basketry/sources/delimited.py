@@ -17,15 +17,12 @@ from basketry.session import scratch_path
 HIVE_NULL = "\\N"
 
 
-def load_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|",
-                   mode: str = "PERMISSIVE") -> DataFrame:
+def load_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|") -> DataFrame:
     """Read ``sep``-separated text with a declared schema (no inference).
 
     Lines are split on the literal separator (no quoting, as in Hive text
-    tables); ``mode`` is accepted for signature compatibility, every line is
-    kept (PERMISSIVE).
+    tables); every line is kept.
     """
-    del mode
     parts = F.split(F.col("value"), "\\Q" + sep + "\\E", -1)
     cols = []
     for i, f in enumerate(schema.fields):

@@ -33,7 +33,7 @@ def scan_runlog(spark: SparkSession, path: str) -> DataFrame:
         F.col("duration_ms").try_cast("long").alias("duration_ms"),
         F.col("start"),
         F.col("status"),
-        F.coalesce(F.col("status").contains("FAILED"), F.lit(False)).alias("failed"))
+        F.coalesce(F.col("status") == "FAILED", F.lit(False)).alias("failed"))
 
 
 def scan_querylog(spark: SparkSession, path: str) -> DataFrame:

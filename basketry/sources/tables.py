@@ -71,14 +71,20 @@ def epoch_seconds(c: str | Column) -> Column:
     return F.floor(epoch_micros(c) / F.lit(1_000_000)).cast("long")
 
 
-def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Click stream: user, time (seconds and micros), page type, item, value.
+def clicks(spark: SparkSession, sf_dir: str, first: str | None = None, days: int = 0) -> DataFrame:
+    """Click stream: user, time (micros), page type, item, value; with
+    ``first``, only the ``days`` days from that day (a range on the raw column,
+    pushed to the reader).
 
     ``item`` is the ``k`` field of the JSON ``props``; ``event_id`` is the
     unique tie-break for equal times.
     """
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id",
               "event_type", "value", "props")
+    if first is not None:
+        day = F.lit(first).cast("date")
+        e = e.where((F.col("ts") >= F.to_timestamp_ntz(day.cast("string")))
+                    & (F.col("ts") < F.to_timestamp_ntz(F.date_add(day, days).cast("string"))))
     return e.select(
         "event_id", "user_id", "event_type", "value",
         epoch_micros("ts").alias("ts_us"),

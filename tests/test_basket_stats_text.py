@@ -30,7 +30,7 @@ def test_pairs_count_property_and_salt(spark):
     plain = make_pairs(df, "b", "i")
     assert plain.count() == expect_total
     assert plain.where(F.col("item_1") >= F.col("item_2")).count() == 0
-    salted = make_pairs(df, "b", "i", salt=4)
+    salted = make_pairs(df, "b", "i", hot=2)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
     # support pruning is exact for "count > n"
     exact = {}
@@ -101,14 +101,45 @@ def test_find_company_whole_words(spark):
     assert got == [(1, "acme", "acme rocks"), (1, "zeta", " zetas are not zeta")]
 
 
-def test_join_contains_chunks(spark):
-    docs = spark.createDataFrame([(1, "The Quick brown fox"), (2, "lazy dog"), (3, None)],
-                                 "id long, text string")
-    names = spark.createDataFrame([("quick",), ("the q",), ("dog",), ("",), ("cat",)], "n string")
-    one = sorted(tuple(r) for r in join_contains(docs, "text", names, "n").select("id", "matched_name").collect())
-    many = sorted(tuple(r) for r in join_contains(docs, "text", names, "n", max_names=1)
-                  .select("id", "matched_name").collect())
-    assert one == many == [(1, "quick"), (1, "the q"), (2, "dog")]
+def test_join_contains_matches_brute_force(spark):
+    rnd = random.Random(5)
+    words = ["the", "quick", "fox", "a", "é", "lazy-dog", "x.y", "over"]
+    texts = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 12))).title()) for i in range(60)]
+    texts += [(100, None), (101, ""), (102, "xquick foxy"), (103, "tab\tquick fox\nnew")]
+    names = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 6))) for _ in range(40)]
+    names += ["", None, "ick", "q", "QUICK FOX", "k f", "  ", "a  b c", "oxy"]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = sorted(tuple(r) for r in join_contains(docs, "id", "text", df, "n").select("id", "matched_name").collect())
+    want = sorted((i, n) for i, t in texts if t for n in {n.lower() for n in names if n} if n in t.lower())
+    assert got == want
+    plan = join_contains(docs, "id", "text", df, "n")._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_dictionary_entries_of_several_words(spark):
+    docs = spark.createDataFrame([(1, "Acme Corp rocks. Acme too."), (2, "e-mart is here. A mart.")], "id long, t string")
+    names = spark.createDataFrame([("acme corp",), ("e-mart",), ("12",)], "name string")
+    got = sorted((r.id, r.company_name, r.review_sentence) for r in find_company(docs, ["id"], "t", names).collect())
+    assert got == [(1, "acme corp", "acme corp rocks"), (2, "e-mart", "e-mart is here")]
+
+
+def test_giant_basket_is_paired_in_shares(spark):
+    df = spark.range(60).selectExpr("1L AS b", "id AS i").unionByName(spark.range(6).selectExpr("id + 2 AS b", "id AS i"))
+    assert make_pairs(df, "b", "i", hot=10).count() == 60 * 59 // 2
+    assert make_pairs(df, "b", "i", hot=10).distinct().count() == 60 * 59 // 2
+
+
+def test_linreg_leaves_null_values_out(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0), (1, 1.0, 2.0), (1, 2.0, 3.0), (1, 3.0, None)], "g int, x double, y double")
+    r = agg_linreg(df, ["g"], "x", "y").head()
+    assert abs(r.slope - 1.0) < 1e-12 and abs(r.intercept - 1.0) < 1e-12
+
+
+def test_join_scalar_refuses_equal_names(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        join_scalar(spark.range(1), spark.range(2))
 
 
 def test_return_ratio_cases(spark):
@@ -148,34 +179,12 @@ def test_classifier_accuracy(spark):
     assert (r.accuracy, r.n) == (0.75, 4)
 
 
-def test_broadcast_only_within_bound(spark):
-    from basketry.operators.joins import broadcast_if_small
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    probe = spark.range(10).withColumnRenamed("id", "k")
-    over = probe.join(broadcast_if_small(big, 100), "k")
-    under = probe.join(broadcast_if_small(big, 5000), "k")
-    assert "ResolvedHint" not in over._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in under._jdf.queryExecution().analyzed().toString()
-
-
-def test_spread_adds_no_shuffle_for_many_files(spark):
-    import tempfile
-    from basketry.operators.joins import spread
-    d = tempfile.mkdtemp(prefix="basketry-test-")
-    spark.range(1000).repartition(16).write.parquet(d + "/many")
-    many = spark.read.parquet(d + "/many")
-    assert len(many.inputFiles()) >= spark.sparkContext.defaultParallelism
-    assert "Exchange" not in spread(many)._jdf.queryExecution().executedPlan().toString()
-    one = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert "Exchange" in spread(one)._jdf.queryExecution().executedPlan().toString()
-
-
 def test_join_contains_distinct_payload(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "id long, text string")
     names = spark.createDataFrame([("alpha", 7), ("beta", 7), ("gamma", 8), ("beta", 9)],
                                   "n string, store long")
-    every = join_contains(docs, "text", names, "n", carry=["store"])
-    once = join_contains(docs, "text", names, "n", carry=["store"], distinct_payload=True)
+    every = join_contains(docs, "id", "text", names, "n", carry=["store"])
+    once = join_contains(docs, "id", "text", names, "n", carry=["store"], distinct_payload=True)
     assert sorted((r.id, r.store) for r in every.collect()) == [(1, 7), (1, 7), (1, 9), (2, 8)]
     assert sorted((r.id, r.store, r.matched_name) for r in once.collect()) == [
         (1, 7, "alpha"), (1, 9, "beta"), (2, 8, "gamma")]

@@ -8,8 +8,6 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 QUERIES = E.queries()
-# jobs whose own data work runs in Python tasks by design (Arrow batches)
-PYTHON_OK = {"join_contains", "q18_declining_store_reviews"}
 
 
 def physical(df) -> str:
@@ -22,8 +20,7 @@ def test_plan_shape(spark, key):
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
-    if key not in PYTHON_OK:
-        assert "ArrowEvalPython" not in plan and "MapInPandas" not in plan
+    assert "ArrowEvalPython" not in plan and "MapInPandas" not in plan
 
 
 def test_filter_and_columns_reach_the_scan(spark):
@@ -37,6 +34,20 @@ def test_date_window_is_pushed_as_a_range(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
 
 
+@pytest.mark.parametrize("key,column", [
+    ("q07_pricey_states", "o_orderdate"), ("q12_view_then_store", "ts"), ("q17_promo_ratio", "o_orderdate"),
+    ("q21_return_rebuy", "l_shipdate"), ("q23_inventory_cov", "l_shipdate"), ("join_left_semi", "o_orderdate"),
+    ("join_multi_key", "o_orderdate"), ("agg_linreg", "o_orderdate"), ("q19_returned_both", "l_shipdate")])
+def test_date_bounds_reach_the_reader(spark, key, column):
+    plan = physical(QUERIES[key](spark, SF))
+    assert f"GreaterThanOrEqual({column}" in plan and f"LessThan({column}" in plan
+
+
+def test_text_jobs_shuffle_no_texts_to_spread_them(spark):
+    for key in ("q10_sentiment", "q27_competitors", "extract_sentiment", "extract_negative", "find_company"):
+        assert "RoundRobinPartitioning" not in physical(QUERIES[key](spark, SF)), key
+
+
 def test_fixed_dimensions_are_broadcast(spark):
     plan = physical(QUERIES["join_dimension_broadcast"](spark, SF))
     assert "BroadcastHashJoin" in plan

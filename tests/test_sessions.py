@@ -5,13 +5,13 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basketry.operators.sessions import (abandoned_sessions, bucketed_prefix_sum,
+from basketry.operators.sessions import (abandoned_sessions, balanced_prefix_sum,
                                          last_n_before, purchase_after_page, sessionize)
 
 
-def _sessions(spark, rows, timeout=10, width=None):
+def _sessions(spark, rows, timeout=10):
     df = spark.createDataFrame(rows, "id long, u long, t long")
-    out = sessionize(df, "u", "t", timeout, tiebreak="id", bucket_width=width)
+    out = sessionize(df, "u", "t", timeout)
     return {r.id: r.session_id for r in out.collect()}
 
 
@@ -42,18 +42,36 @@ def test_session_bucket_stitching_matches_plain_window(spark):
                .withColumn("sn", F.sum("n").over(w) + 1)
                .select("id", F.concat_ws("_", "u", "sn").alias("sid")))
     expect = {r.id: r.sid for r in plain.collect()}
-    for width in (7, 25, 100, 1000, 10**9):
-        got = _sessions(spark, rows, timeout=10, width=width)
-        assert got == expect, width
+    assert _sessions(spark, rows, timeout=10) == expect
 
 
 def test_prefix_sum_across_buckets(spark):
     rows = [(1, 1, t, t % 3 == 0) for t in range(50)]
     df = spark.createDataFrame(rows, "id long, u long, t long, v boolean")
-    out = bucketed_prefix_sum(df, ["u"], "t", F.col("v").cast("int"), "p", tiebreak="id",
-                              bucket_width=7)
-    got = {r.t: r.p for r in out.collect()}
-    assert got == {t: t // 3 + 1 for t in range(50)}
+    for n in (1, 3, 20):
+        out = balanced_prefix_sum(df, ["u"], "t", F.col("v").cast("int"), "p", tiebreak="id", partitions=n)
+        assert {r.t: r.p for r in out.collect()} == {t: t // 3 + 1 for t in range(50)}
+
+
+def test_prefix_sum_shares_follow_row_counts(spark):
+    """Half of all rows on one user in one second: still several shares."""
+    rows = [(i, 1, 5) for i in range(400)] + [(1000 + i, i % 7, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, u long, t long").repartition(4)
+    out = balanced_prefix_sum(df, ["u"], "t", F.lit(1), "p", tiebreak="id", partitions=8)
+    got = {r.id: r.p for r in out.collect()}
+    for u in range(7):
+        mine = sorted((t, i) for i, v, t in rows if v == u)
+        assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
+
+
+def test_executed_scans_of_sessions(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    for key, most in (("sessionize", 2), ("q02_viewed_with_item", 2)):
+        df = q[key](spark, "/root/testdata/sf0.001")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("events.parquet") <= most, key
 
 
 def _clicks(spark, rows):
@@ -73,8 +91,7 @@ def test_last_n_before(spark):
         (8, 3, 5, "view", 60), (9, 3, 6, "buy", 61),   # fewer than n views
     ]
     out = last_n_before(_clicks(spark, rows), "u", "t", "item", F.col("kind") == "view",
-                        F.col("kind") == "buy", n=2, range_s=10 * day, tiebreak="id",
-                        bucket_width=3 * day)
+                        F.col("kind") == "buy", max_age=10 * day, n=2, tiebreak="id")
     got = sorted((r.purchased_item, r.lastviewed_item) for r in out.collect())
     # view 12 is 10 days + 1 s before purchase 98: outside the range for it
     assert got == [(61, 60), (98, 13), (99, 12), (99, 13)]
@@ -90,7 +107,7 @@ def test_purchase_after_page(spark):
         (9, 6, 10, "review", None), (10, 6, 250, "review", None), (11, 6, 300, "buy", 1006),
     ]
     df = spark.createDataFrame(rows, "id long, u long, t long, kind string, sale long")
-    out = purchase_after_page(df, "u", "t", "kind", "sale", wanted="review", within_s=lim,
+    out = purchase_after_page(df, "u", "t", "kind", "sale", wanted="review", within=lim,
                               tiebreak="id")
     assert sorted(r.sale for r in out.collect()) == [1001, 1006]
 
@@ -126,7 +143,7 @@ def test_purchase_after_page_matches_brute_force(spark):
         df = spark.createDataFrame(rows, "id long, u long, t long, kind string, item long") \
             .withColumn("sale", F.when(F.col("kind") == "buy", F.col("id")))
         got = sorted(r.sale for r in purchase_after_page(
-            df, "u", "t", "kind", "sale", wanted="view", within_s=lim, tiebreak="id").collect())
+            df, "u", "t", "kind", "sale", wanted="view", within=lim, tiebreak="id").collect())
         want = sorted(
             s[0] for s in rows if s[3] == "buy"
             and any(p[1] == s[1] and p[3] == "view" and (p[2], p[0]) <= (s[2], s[0])
@@ -138,8 +155,7 @@ def test_last_n_before_matches_brute_force(spark):
     for seed, n, rng, width in ((4, 3, 30, 7), (5, 5, 100, 1000), (6, 1, 0, 3)):
         rows = _random_clicks(seed)
         out = last_n_before(_clicks(spark, rows), "u", "t", "item", F.col("kind") == "view",
-                            F.col("kind") == "buy", n=n, range_s=rng, tiebreak="id",
-                            bucket_width=width)
+                            F.col("kind") == "buy", max_age=rng, n=n, tiebreak="id")
         got = sorted((r.purchased_item, r.lastviewed_item) for r in out.collect())
         want = []
         for b in rows:

@@ -83,6 +83,9 @@ def test_result_diff(spark):
     assert result_diff(e, e).count() == 0
     extra = spark.createDataFrame([(1,), (2,), (2,), (3,)], "x long")
     assert [tuple(r) for r in result_diff(extra, e).collect()] == [("extra", 3)]
+    two = spark.createDataFrame([(None,), (2,), (2,), (2,)], "x long")
+    assert sorted(map(str, result_diff(two, e).collect())) == [
+        "Row(side='extra', x=2)", "Row(side='extra', x=None)", "Row(side='missing', x=1)"]
     missing = spark.createDataFrame([(1,), (2,)], "x long")
     assert [tuple(r) for r in result_diff(missing, e).collect()] == [("missing", 2)]
 
@@ -116,11 +119,11 @@ def test_orc_round_trip_with_pushdown(spark):
 def test_runs_average_repeats_and_engines(spark):
     from basketry.operators.runs import runs_average, runs_engines
     rows = ([("POWER", 1, 60000 * (i + 1), False, "hos") for i in range(8)]       # 8 repeats
-            + [("POWER", 2, 1000, False, "sparksql")] * 9                        # 9: over the bound
+            + [("POWER", 2, 1000, False, "sparksql")] * 9                        # 9 repeats count like any other number
             + [("POWER", 3, 5, True, "hot")])                                    # failed only
     runs = spark.createDataFrame(rows, "phase string, query int, duration_ms long, failed boolean, engine string")
-    avg = {r.query: (r.repeats, r.avg_ms, r.avg_minutes) for r in runs_average(runs, max_repeats=8).collect()}
-    assert avg == {1: (8, 270000.0, 4.5)}
+    avg = {r.query: (r.repeats, r.avg_ms, r.avg_minutes) for r in runs_average(runs).collect()}
+    assert avg == {1: (8, 270000.0, 4.5), 2: (9, 1000.0, 0.017)}
     eng = {r.query: tuple(r)[1:] for r in runs_engines(runs, ["hos", "hot", "sparksql"]).collect()}
     assert eng == {1: (270000.0, None, None), 2: (None, None, 1000.0)}
 
