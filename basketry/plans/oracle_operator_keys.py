@@ -24,8 +24,19 @@ AVG = """SELECT phase, query, count(*) AS repeats,
          FROM runs WHERE {where} NOT failed GROUP BY phase, query"""
 
 
-def _nested_leaf(i: int) -> str:
-    return (f"substr(sha256(concat_ws(':', CAST(o_orderkey AS VARCHAR), '0', '{i}', '0')), 1, 20)")
+def _nested_leaf(i: int, item: int = 0) -> str:
+    return (f"substr(sha256(concat_ws(':', CAST(o_orderkey AS VARCHAR), '0', '{i}', '{item}')), 1, 20)")
+
+
+def _nested_field(i: int) -> str:
+    """Field i of a nested row, by the rules of FIXTURES.md section 3."""
+    if i in (14, 18, 24, 25, 28, 30):
+        return f"o_orderkey * {i} AS a{i}"
+    if i == 9:
+        return "o_orderkey % 2 = 0 AS a9"
+    if i in (5, 17, 20, 22):
+        return f"{_nested_leaf(i, 1)} || ',' || {_nested_leaf(i, 2)} AS a{i}"
+    return f"{_nested_leaf(i)} AS a{i}"
 
 
 NESTED = f"""SELECT {_nested_leaf(1)} AS a1, o_orderkey % 2 = 0 AS a9,
@@ -90,6 +101,7 @@ SQL = {
     FROM runs WHERE NOT failed GROUP BY query""",
     "result_diff": """SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'missing' ELSE 'extra' END AS side, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS l_shipdate
                       FROM lineitem WHERE l_orderkey % 97 = 0 OR l_orderkey % 89 = 0""",
+    "gen_nested": "SELECT " + ", ".join(_nested_field(i) for i in range(1, 31)) + " FROM orders",
     "load_nested_text": NESTED,
     "nested_to_columnar": f"""SELECT {_nested_leaf(1)} AS a1, 2 AS a5_items, o_orderkey * 30 AS a30
                              FROM orders""",
