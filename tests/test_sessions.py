@@ -165,3 +165,13 @@ def test_last_n_before_matches_brute_force(spark):
                             and (v[2], v[0]) < (b[2], b[0])), key=lambda v: (v[2], v[0]))
             want += [(b[4], v[4]) for v in views[-n:] if b[2] - v[2] <= rng]
         assert got == sorted(want), (seed, n, rng)
+
+
+def test_distribute_sort_together_keeps_a_key_in_one_partition(spark):
+    from basketry.operators.sessions import distribute_sort
+    df = spark.range(400).selectExpr("id % 7 AS u", "399 - id AS t")
+    out = distribute_sort(df, ["u"], ["t"], partitions=5, together=True).withColumn("p", F.spark_partition_id())
+    assert out.groupBy("u").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
+    for part in out.rdd.glom().collect():
+        rows = [(r.u, r.t) for r in part]
+        assert rows == sorted(rows)
