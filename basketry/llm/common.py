@@ -64,9 +64,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._basketry_path = path
+    if _recorded is not None:
+        _recorded.append(out)
     return out
 
 
+_recorded: list[DataFrame] | None = None
+
+
+@contextmanager
+def recording(tables: list[DataFrame]):
+    """Tables that ``saved`` writes meanwhile are noted in ``tables``, for
+    ``dropped`` once what reads them has been written."""
+    global _recorded
+    before, _recorded = _recorded, tables
+    try:
+        yield
+    finally:
+        _recorded = before
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table written by ``saved`` that no later step reads."""
     spark = df.sparkSession

@@ -20,11 +20,11 @@ built again from the whole texts.
 
 No tile emits all its pairs. Round 1 pairs the three smallest ids of a tile
 with its other members: all pairs of tiles of up to four. Larger tiles come
-again while they hold several components: their bitmaps are compared block by
-block, only pairs across components count, and only a spanning forest of them
-is emitted; a last round emits every pair across components that the bound
-lets pass, in case the forest held pairs that the exact test refused. So any
-two documents that link end in one component.
+again if they hold several components: their bitmaps are compared block by
+block, and a spanning forest of the pairs that pass between components is
+emitted. A tile whose forest the exact test confirms is done; in the others
+every pair between components that the bound lets pass is tested. So any two
+documents that link end in one component.
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import saved, slices, utf8
+from basketry.llm.common import dropped, saved, slices, utf8
 from basketry.llm.components import components
 from basketry.llm.shingles import mix64, shingle_sets
 
 HUBS = 3
 BLOCK = 1024   # rows of one side of a block of a large tile
-PART = 2 << 20  # bytes of text handled at once
+PART = 1 << 20  # bytes of text handled at once
 
 
 # -- bands and keys ---------------------------------------------------------
@@ -220,47 +220,54 @@ def _find(parent: dict, x):
     return x
 
 
-def _tile_pairs(key, side, rep, comp, n, bits, num, den, forest):
-    """Pairs of one block across components that the bound lets pass."""
+def _tile_pairs(side, rep, comp, n, bits, num, den, forest):
+    """Pairs of one block across components that the bound lets pass, or a
+    spanning forest of them. Rows are sorted by ``rep``."""
     sig = [np.frombuffer(x, np.uint64) for x in bits]
-    width = np.array([len(s) for s in sig])
-    by = {w: (np.flatnonzero(width == w), None) for w in np.unique(width).tolist()}
-    by = {w: (idx, np.stack([sig[i] for i in idx])) for w, (idx, _) in by.items()}
-    folded = {(w, v): fold(m, v) for w, (_, m) in by.items() for v in by if v <= w}
-    parent: dict = {}
-    root = np.array(comp)
-    for i in range(len(rep)):
-        for w, (idx, _) in by.items():
-            v = min(w, int(width[i]))
-            later = (rep[idx] > rep[i]) & (root[idx] != root[i])
-            if side[i] >= 0:
-                later &= side[idx] != side[i]
-            lim = n[i]
-            later &= (den * np.minimum(n[idx], lim) >= num * np.maximum(n[idx], lim))
-            j = np.flatnonzero(later)
-            if not len(j):
-                continue
-            mine = fold(sig[i], v)
-            ok = j[may_link(n[i], mine, n[idx[j]], folded[(w, v)][j], num, den)]
-            for t in idx[ok].tolist():
+    width = np.array([len(x) for x in sig])
+    low = int(width.min())
+    base = np.stack([fold(x, low) for x in sig])
+    root, parent = comp.copy(), {}
+    for start in range(0, len(rep), 64):
+        if forest and (root == root[0]).all():
+            return
+        here = slice(start, start + 64)
+        few, many = np.minimum(n[here, None], n), np.maximum(n[here, None], n)
+        ok = (rep[here, None] < rep) & (root[here, None] != root) & (den * few >= num * many)
+        if side is not None:
+            ok &= side[here, None] != side
+        left, right = np.nonzero(ok)
+        for cut in range(0, len(left), 1 << 14):
+            i, j = left[cut:cut + (1 << 14)] + start, right[cut:cut + (1 << 14)]
+            passed = may_link(n[i], base[i], n[j], base[j], num, den)
+            i, j = i[passed], j[passed]
+            both = np.minimum(width[i], width[j])
+            for w in np.unique(both[both > low]).tolist():
+                at = np.flatnonzero(both == w)
+                wide = may_link(n[i[at]], np.stack([fold(sig[x], w) for x in i[at]]),
+                                n[j[at]], np.stack([fold(sig[x], w) for x in j[at]]), num, den)
+                both[at[~wide]] = 0
+            i, j = i[both > 0], j[both > 0]
+            for x, y in zip(i.tolist(), j.tolist()):
                 if forest:
-                    a, b = _find(parent, int(root[i])), _find(parent, int(root[t]))
+                    a, b = _find(parent, int(comp[x])), _find(parent, int(comp[y]))
                     if a == b:
                         continue
                     parent[a] = b
-                    root[root == a] = b
-                yield int(rep[i]), int(rep[t])
+                yield int(rep[x]), int(rep[y])
+        if forest and parent:
+            root = np.array([_find(parent, c) for c in comp.tolist()])
 
 
 def _later_rounds(num: int, den: int, forest: bool):
     cols = ["key", "ta", "tb", "block", "rep", "comp", "n", "bits"]
 
     def group(rows):
-        a, b = rows[1][0], rows[2][0]
+        key, a, b = (int(r[0]) for r in rows[:3])
         _, first = np.unique(rows[4], return_index=True)
-        pick = [np.asarray(r)[first] if i != 7 else [r[t] for t in first] for i, r in enumerate(rows)]
-        side = pick[3] if a != b else np.full(len(first), -1)
-        return list(_tile_pairs(pick[0], side, pick[4], pick[5], pick[6], pick[7], num, den, forest))
+        side, rep, comp, n = (np.asarray(r)[first] for r in rows[3:7])
+        found = _tile_pairs(side if a != b else None, rep, comp, n, [rows[7][t] for t in first], num, den, forest)
+        return [(key, x, y) for x, y in found]
 
     def run(batches):
         held = None
@@ -286,7 +293,7 @@ def _later_rounds(num: int, den: int, forest: bool):
             start = end
         if pairs:
             p = np.array(pairs, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, i]) for i in range(3)], ["key", "a", "b"])
     return run
 
 
@@ -369,6 +376,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                                          F.first("bits").alias("bits")), "reps")
     members = saved(sets.select("doc_id", "n", "fp").join(reps.select("fp", "rep"), "fp", "left")
                     .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "members")
+    dropped(sets)
 
     keys = texts.mapInArrow(_keys(k, num, den), "doc_id long, fp binary, keys array<long>")
     keys = keys.join(reps.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"]).select(
@@ -378,10 +386,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     pairs = saved(first.where("key is null").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     large = first.where("key is not null").select("key", F.col("x").alias("rep"))
 
-    sig = reps.select("rep", "n", "bits")
-
     def side(s):
-        return sig.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}"))
+        return reps.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}"))
     passed = saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
                    .mapInArrow(_bound(num, den), "a long, b long").distinct(), "passed")
     found = _verified(texts, passed, k, num, den).where("ok").select("a", "b")
@@ -398,17 +404,21 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                                        F.count(F.lit(1)).alias("c")).where("lo < hi")
         left = left.join(many.select("key", F.ceil(F.col("c") / BLOCK).alias("g")), "key").withColumn(
             "block", F.pmod(F.xxhash64("rep"), F.col("g"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        left = left.join(sig, "rep").select(
+        left = left.join(reps.select("rep", "n", "bits"), "rep").select(
             "key", F.least("block", "t").alias("ta"), F.greatest("block", "t").alias("tb"), "block", "rep", "comp", "n", "bits")
         again = left.repartition(parts, "key", "ta", "tb").sortWithinPartitions("key", "ta", "tb", "rep")
-        again = saved(again.mapInArrow(_later_rounds(num, den, forest), "a long, b long").distinct(), "passed")
+        again = saved(again.mapInArrow(_later_rounds(num, den, forest), "key long, a long, b long"), "passed")
         if again.isEmpty():
             break
-        checked = _verified(texts, again, k, num, den)
+        checked = _verified(texts, again.select("a", "b").distinct(), k, num, den)
         links = links.unionByName(checked.where("ok").select("a", "b"))
         comp = saved(components(links), "components")
-        if checked.where("not ok").isEmpty():
+        if not forest:
+            break
+        refused = saved(again.join(checked.where("not ok"), ["a", "b"], "left_semi").select("key").distinct(), "refused")
+        if refused.isEmpty():
             break
+        large = saved(large.join(refused, "key", "left_semi"), "tiles")
     out = members.join(comp, members["rep"] == comp["id"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -61,6 +61,7 @@ def test_matches_brute_force(docs_of, seed, k, num):
 
 def test_large_tiles_come_again(docs_of, monkeypatch):
     """One long chain of near copies: neighbours link, the hub links with few."""
+    monkeypatch.setattr(N, "BLOCK", 8)
     rnd = random.Random(8)
     t = ["w%d" % rnd.randrange(10_000) for _ in range(120)]
     rows = []
