@@ -16,8 +16,8 @@ literal then costs twice as much and a match still costs the same, which lets
 words of four letters tell.
 
 Labels come from rows whose crc32(doc_id) mod 4 is not 2, at most ``TOXIC``
-toxic and ``ORDINARY`` other rows for either fit, ``SAMPLE_CHARS`` characters
-of each. Scoring reads every text as a whole.
+toxic and ``ORDINARY`` other rows for either fit. Training and scoring read
+every text as a whole; the dictionaries learn from its distinct windows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from basketry.llm.common import slices, utf8
 
 TOXIC, ORDINARY = 1500, 2500
-SAMPLE_CHARS = 20_000
 DICT_BYTES = 4096
 LEAST = 0.3     # score from which a document is predicted toxic
 # A beginning tells if toxic documents hold it this many times as often, and the
@@ -46,13 +45,21 @@ _WORD = re.compile(rb"[a-z\x80-\xff]{4,64}")
 FEATURES = ["top", "second", "five", "words", *[f"hits{i}" for i in range(len(HITS))]]
 
 
-def _distinct(texts: list[bytes]) -> list[list[bytes]]:
-    """Words of texts that aren't copies of earlier ones (at most a fifth of
-    their word triples seen before)."""
+def words_of(text: bytes) -> list[bytes]:
+    return _WORD.findall(text.lower())
+
+
+def vocabulary(text: bytes) -> list[bytes]:
+    """Distinct windows of a text, by first place."""
+    return list(dict.fromkeys(words_of(text)))
+
+
+def _distinct(docs: list[list[bytes]]) -> list[list[bytes]]:
+    """Vocabularies of texts that aren't copies of earlier ones (at most a fifth
+    of their triples seen before)."""
     seen: set = set()
     out = []
-    for t in texts:
-        w = _WORD.findall(t.lower())
+    for w in docs:
         g = list(zip(w, w[1:], w[2:]))
         if not g or sum(x in seen for x in g) > 0.2 * len(g):
             continue
@@ -68,9 +75,10 @@ def _beginnings(docs: list[list[bytes]]) -> Counter:
     return f
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary."""
-    tox, other = _distinct(toxic), _distinct(ordinary)
+def train_dictionaries(toxic: list, ordinary: list) -> tuple[bytes, bytes]:
+    """Contents of the toxic and the ordinary dictionary, from texts or their
+    vocabularies."""
+    tox, other = (_distinct([vocabulary(t) if isinstance(t, bytes) else t for t in side]) for side in (toxic, ordinary))
     ft, fo = _beginnings(tox), _beginnings(other)
     share = len(tox) / max(1, len(tox) + len(other))
     telling: list[bytes] = []
@@ -126,7 +134,7 @@ class Savings:
         return got
 
     def features(self, text: bytes) -> list[float]:
-        words = _WORD.findall(text.lower())
+        words = words_of(text)
         if not words:
             return [0.0] * len(FEATURES)
         of = self.of
@@ -148,6 +156,14 @@ def _features(toxic: bytes, ordinary: bytes):
     return run
 
 
+def _vocabularies(batches):
+    for part in slices(batches):
+        data, offs = utf8(part.column(0))
+        raw, o = data.tobytes(), offs.tolist()
+        words = pa.array([vocabulary(raw[a:z]) for a, z in zip(o, o[1:])], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([*part.columns[1:], words], [*part.schema.names[1:], "words"])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Newton steps of a weighted logistic regression (intercept first)."""
     mean, sd = x.mean(0), x.std(0) + 1e-9
@@ -194,9 +210,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return flat
     # At most 2 * (TOXIC + ORDINARY) rows of four small columns.
     sample = F.broadcast(spark.createDataFrame(picked, "doc_id long, tox boolean, for_dict boolean, weight double"))
-    drawn = texts.join(sample, "doc_id").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "doc_id", "tox", "for_dict", "weight")
-    for_dict = drawn.where("for_dict").select("text", "tox", "doc_id").toPandas().sort_values(["doc_id", "text"])
-    both = [[t.encode("utf-8", "replace") for t in for_dict["text"][for_dict["tox"] == side]] for side in (True, False)]
+    drawn = texts.join(sample, "doc_id").select("text", "doc_id", "tox", "for_dict", "weight")
+    for_dict = drawn.where("for_dict").select("text", "doc_id", "tox").mapInArrow(
+        _vocabularies, "doc_id long, tox boolean, words array<binary>").toArrow().to_pylist()
+    for_dict.sort(key=lambda r: (r["doc_id"], r["words"]))
+    both = [[r["words"] for r in for_dict if r["tox"] == side] for side in (True, False)]
     pair = train_dictionaries(*both)
     names = ", ".join(f"{f} double" for f in FEATURES)
     fit = drawn.where("not for_dict").select("text", "doc_id", "tox", "weight").mapInArrow(

@@ -63,3 +63,19 @@ def test_dictionaries_differ_in_telling_beginnings_only():
     assert all(s.of(w.encode()) >= 0.25 for w in BAD)
     ordinary = [s.of(w.encode()) for _, t in docs[:40] for w in t.split() if not w.startswith(tuple(BAD))]
     assert sum(x >= 0.3 for x in ordinary) <= 0.01 * len(ordinary)
+
+
+def test_passages_after_20000_characters_are_learned(spark, docs_of):
+    docs, labels = corpus(400)
+    toxic = dict(labels)
+    rnd = random.Random(4)
+
+    def prose(n):
+        return " ".join("".join(rnd.choice(SYL) for _ in range(3)) for _ in range(n))
+    # Toxic words stand behind 20,000 characters only.
+    docs = [(i, prose(3500)[:21_000] + " " + t) for i, t in docs[:300]]
+    lab = spark.createDataFrame([(i, toxic[i]) for i, _ in docs], "doc_id long, toxic int")
+    by = {r.doc_id: r for r in toxicity(docs_of(docs), lab).collect()}
+    held = [(by[i].score, toxic[i]) for i, _ in docs if by[i].held_out]
+    mean = [sum(p for p, y in held if y == side) / sum(y == side for _, y in held) for side in (0, 1)]
+    assert mean[1] > mean[0] + 0.3
