@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from basketry.llm.common import slices, utf8
 
 TOXIC, ORDINARY = 1500, 2500
-DICT_BYTES = 4096
+DICT_BYTES = 8192
 LEAST = 0.3     # score from which a document is predicted toxic
 # A beginning tells if toxic documents hold it this many times as often, and the
 # log likelihood ratio against chance is at least this.
@@ -42,11 +42,22 @@ LIFT, EVIDENCE = 8, 10
 HITS = (0.25, 0.3, 0.35, 0.4, 0.45)  # shares saved from which windows are counted
 CACHE = 300_000
 _WORD = re.compile(rb"[a-z\x80-\xff]{4,64}")
+_RUN = re.compile(rb"[^\x09-\x0d\x20]{1,64}")
+_AROUND = b".,;:!?\"'()[]|"
 FEATURES = ["top", "second", "five", "words", *[f"hits{i}" for i in range(len(HITS))]]
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return _WORD.findall(text.lower())
+    """Windows of a text: its words, and every run between blanks that isn't one
+    word (short ones, and those with digits or signs inside), in parts of 64
+    bytes. Only punctuation around a run is left away."""
+    text = text.lower()
+    out = _WORD.findall(text)
+    for run in _RUN.findall(text):
+        inner = run.strip(_AROUND) or run
+        if not _WORD.fullmatch(inner):
+            out.append(inner)
+    return out
 
 
 def vocabulary(text: bytes) -> list[bytes]:
@@ -71,7 +82,8 @@ def _distinct(docs: list[list[bytes]]) -> list[list[bytes]]:
 def _beginnings(docs: list[list[bytes]]) -> Counter:
     f: Counter = Counter()
     for words in docs:
-        f.update({w[:k] for w in set(words) for k in range(4, len(w) + 1)})
+        f.update({w[:k] for w in words for k in range(4, len(w) + 1)})
+        f.update(w + b" " for w in words if len(w) < 4)
     return f
 
 
@@ -89,22 +101,23 @@ def train_dictionaries(toxic: list, ordinary: list) -> tuple[bytes, bytes]:
             if n * np.log(n / (share * (n + m))) + (m and m * np.log(m / ((1 - share) * (n + m)))) > EVIDENCE:
                 telling.append(p)
     starts = tuple(telling)
-    words = Counter(w for d in tox for w in d if starts and w.startswith(starts))
+    words = Counter(w for d in tox for w in d if starts and (w + b" ").startswith(starts))
     common = [w for w, _ in Counter(w for d in other for w in d).most_common(1500)] or [b"...."]
     a, b, k = [], [], 0
     for w in sorted(words, key=lambda w: (words[w], w)):
-        n = max(len(p) for p in telling if w.startswith(p))
+        n = min(len(w), max(len(p) for p in telling if (w + b" ").startswith(p)))
         fill = b""
         while len(fill) < n:
             fill += common[k % len(common)][:n - len(fill)]
             k += 1
-        a.append(b" " + w + b" ")
-        b.append(b" " + fill + w[n:] + b" ")
-    return _wide(b"".join(a)[-DICT_BYTES:]), _wide(b"".join(b)[-DICT_BYTES:])
+        a.append(_window(w, len(w)))
+        b.append(_window(fill + w[n:], len(w)))
+    return b"".join(a)[-DICT_BYTES:], b"".join(b)[-DICT_BYTES:]
 
 
-def _wide(b: bytes) -> bytes:
-    return b.decode("utf-8", "replace").encode("utf-16-le")
+def _window(word: bytes, length: int) -> bytes:
+    """Wider yet for short words, of which a match would save nothing else."""
+    return (b" " + word + b" ").decode("utf-8", "replace").encode("utf-16-le" if length > 3 else "utf-32-le")
 
 
 class Savings:
@@ -128,7 +141,7 @@ class Savings:
         if got is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            window = _wide(b" " + word + b" ")
+            window = _window(word, len(word))
             o, t = (len(c.compress(window)) for c in self.pair)
             got = self.cache[word] = (o - t) / o
         return got

@@ -65,6 +65,26 @@ def test_dictionaries_differ_in_telling_beginnings_only():
     assert sum(x >= 0.3 for x in ordinary) <= 0.01 * len(ordinary)
 
 
+def masked(n=900, seed=8):
+    """Toxic by short words and words with digits and signs inside."""
+    docs, labels = corpus(n, seed)
+    rnd = random.Random(seed)
+    swap = {b: m for b, m in zip(BAD, ["zq", "v1#kk*", "9%x"])}
+    out = []
+    for i, t in docs:
+        out.append((i, " ".join(next((m for b, m in swap.items() if w.startswith(b)), w) for w in t.split())))
+    rnd.shuffle(out)
+    return out, labels
+
+
+def test_short_and_masked_words_tell(spark, docs_of):
+    docs, labels = masked()
+    by = {r.doc_id: r for r in toxicity(docs_of(docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(by[i].predicted, y) for i, y in labels if by[i].held_out]
+    assert sum(p for p, y in held if y) >= 0.6 * sum(y for _, y in held)
+    assert sum(p for p, y in held if not y) <= 0.05 * len(held)
+
+
 def test_passages_after_20000_characters_are_learned(spark, docs_of):
     docs, labels = corpus(400)
     toxic = dict(labels)
