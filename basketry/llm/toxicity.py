@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from basketry.llm.common import slices, utf8
 
 TOXIC, ORDINARY = 1500, 2500
-DICT_BYTES = 8192
 LEAST = 0.3     # score from which a document is predicted toxic
 # A beginning tells if toxic documents hold it this many times as often, and the
 # log likelihood ratio against chance is at least this.
@@ -112,7 +111,7 @@ def train_dictionaries(toxic: list, ordinary: list) -> tuple[bytes, bytes]:
             k += 1
         a.append(_window(w, len(w)))
         b.append(_window(fill + w[n:], len(w)))
-    return b"".join(a)[-DICT_BYTES:], b"".join(b)[-DICT_BYTES:]
+    return b"".join(a), b"".join(b)
 
 
 def _window(word: bytes, length: int) -> bytes:

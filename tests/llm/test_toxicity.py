@@ -99,3 +99,12 @@ def test_passages_after_20000_characters_are_learned(spark, docs_of):
     held = [(by[i].score, toxic[i]) for i, _ in docs if by[i].held_out]
     mean = [sum(p for p, y in held if y == side) / sum(y == side for _, y in held) for side in (0, 1)]
     assert mean[1] > mean[0] + 0.3
+
+
+def test_dictionaries_hold_all_telling_words():
+    rnd = random.Random(3)
+    ends = ["".join(rnd.choice(SYL) for _ in range(4)) for _ in range(1000)]
+    toxic = [" ".join(["grumph" + e for e in ends[i::20]]).encode() for i in range(20)]
+    ordinary = [" ".join("".join(rnd.choice(SYL) for _ in range(3)) for _ in range(60)).encode() for _ in range(60)]
+    first = train_dictionaries(toxic, ordinary)[0].decode("utf-16-le")
+    assert all(f" grumph{e} " in first for e in ends)
