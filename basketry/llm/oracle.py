@@ -1,5 +1,64 @@
 """DuckDB SQL of the training-data queries that SQL can state."""
 
+
+def crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    bits = (f"flatten([[ascii(x), 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split({text}, '')])")
+    step = "xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384::BIGINT)"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, b: {step}), 4294967295::BIGINT)")
+
+
+def _part(value: str) -> str:
+    """A field of a manifest leaf."""
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_part(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, levels: int) -> str:
+    """CTEs ``name0`` .. ``name<levels>`` (g, i, h, n: nodes of the group at that
+    level) above ``name0``; a finished group keeps its single node."""
+    return ",".join(f"""
+        {name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h)
+              ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (any_value(n) + 7) // 8 AS n
+            FROM {name}{k} GROUP BY g, i // 8)""" for k in range(levels))
+
+
+def _path(name: str, levels: int, group: str, place: str) -> list[tuple[str, str]]:
+    """Text left and right of the ancestors of ``place``, by level ('' above the top)."""
+    side = """coalesce((SELECT string_agg(x.h, '' ORDER BY x.i) FROM {t} x WHERE x.g = {g}
+              AND x.i // 8 = {p} // 8 AND x.i {op} {p}), '')"""
+    return [tuple(side.format(t=f"{name}{k}", g=group, p=f"({place} // {8 ** k})", op=op) for op in "<>")
+            for k in range(levels)]
+
+
+def _manifest(levels: int, groups: int) -> str:
+    """Levels above a finished tree have no siblings: their fold is skipped."""
+    paths = _path("t", levels, "d.g", "d.i") + _path("s", groups, "''", "r.i")
+    cols = ", ".join(f"{a} AS l{k}, {z} AS r{k}" for k, (a, z) in enumerate(paths))
+    fold = "shown"
+    folds = []
+    for k in range(levels + groups):
+        top = f"n <= {8 ** k}" if k < levels else f"m <= {8 ** (k - levels)}"
+        folds.append(f"f{k + 1} AS (SELECT *, CASE WHEN {top} THEN x{k} ELSE sha256(l{k} || x{k} || r{k}) END AS x{k + 1} FROM f{k})")
+    proof = " || ".join(f"l{k} || r{k}" for k in range(levels + groups))
+    return f"""
+        WITH raw AS (SELECT *, coalesce('=' || lang, '-') AS g, {_leaf('text')} AS leaf, {_leaf(
+            "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low FROM documents),
+        d AS (SELECT doc_id, g, leaf, CASE WHEN {crc32('doc_id::VARCHAR')} % 3 = 0 THEN low ELSE leaf END AS shown,
+              row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM raw),
+        t0 AS (SELECT g, i, leaf AS h, n FROM d),{_tree('t', levels)},
+        r AS (SELECT g AS name, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM t{levels}),
+        s0 AS (SELECT '' AS g, i, subroot AS h, m AS n FROM r),{_tree('s', groups)},
+        f0 AS (SELECT d.doc_id, d.leaf, d.n, r.m, r.subroot, (SELECT h FROM s{groups}) AS root, {fold} AS x0, {cols}
+               FROM d JOIN r ON d.g = r.name),
+        {", ".join(folds)}
+        SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, x{levels + groups} AS folded_root,
+               x{levels + groups} = root AS verified FROM f{levels + groups}"""
+
+
 SQL = {
     "op4_chunk_recipes": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
@@ -59,4 +118,7 @@ SQL = {
           ELSE 'cache-control: max-age=' || k || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || ts || chr(10)
             || 'expires: ' || (ts + 60) || chr(10) || 'x-cache: HIT' END AS headers
         FROM o""",
+    # crc32 bit by bit; levels by 8 as often as the rows of the checked tables
+    # can need (8 ** 7 leaves a language, 8 ** 3 languages).
+    "op13_bitmap_manifest": _manifest(7, 3),
 }

@@ -10,6 +10,7 @@ from basketry.llm.embedding_dedup import near_vectors
 from basketry.llm.exact_dedup import exact_dedup
 from basketry.llm.html_extract import extract
 from basketry.llm.language_id import fit, identify, page_evidence
+from basketry.llm.merkle_manifest import manifest
 from basketry.llm.mixing import mix
 from basketry.llm.ngram_join import ngram_components
 from basketry.llm.packing import pack
@@ -62,6 +63,10 @@ def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", F.array_join(lines, "\n"))
 
 
+def op13_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op5_dom_model, op6_secret_cnn, op7_language_id, op8_compression_toxicity, op9_ngram_join,
-    op10_revisit_resolution)}
+    op10_revisit_resolution, op13_bitmap_manifest)}
