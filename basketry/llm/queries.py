@@ -14,6 +14,7 @@ from basketry.llm.merkle_manifest import manifest
 from basketry.llm.mixing import mix
 from basketry.llm.ngram_join import ngram_components
 from basketry.llm.packing import pack
+from basketry.llm.periodic_runs import digests, periodic_runs, planted
 from basketry.llm.secret_scan import scan
 from basketry.llm.toxicity import toxicity
 from basketry.llm.warc_revisit import captures_of, resolve
@@ -63,10 +64,14 @@ def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", F.array_join(lines, "\n"))
 
 
+def op12_difference_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
+
+
 def op13_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op5_dom_model, op6_secret_cnn, op7_language_id, op8_compression_toxicity, op9_ngram_join,
-    op10_revisit_resolution, op13_bitmap_manifest)}
+    op10_revisit_resolution, op12_difference_cover_runs, op13_bitmap_manifest)}
