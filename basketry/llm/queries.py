@@ -15,6 +15,7 @@ from basketry.llm.mixing import mix
 from basketry.llm.ngram_join import ngram_components
 from basketry.llm.packing import pack
 from basketry.llm.periodic_runs import digests, periodic_runs, planted
+from basketry.llm.quality_mil import quality
 from basketry.llm.secret_scan import scan
 from basketry.llm.toxicity import toxicity
 from basketry.llm.warc_revisit import captures_of, resolve
@@ -64,6 +65,10 @@ def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", F.array_join(lines, "\n"))
 
 
+def op11_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_difference_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
 
@@ -74,4 +79,4 @@ def op13_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_length_buckets, op2_source_schedule, op3_itq_near_dedup, op4_chunk_recipes, op5_dom_model, op6_secret_cnn, op7_language_id, op8_compression_toxicity, op9_ngram_join,
-    op10_revisit_resolution, op12_difference_cover_runs, op13_bitmap_manifest)}
+    op10_revisit_resolution, op11_attention_quality, op12_difference_cover_runs, op13_bitmap_manifest)}
