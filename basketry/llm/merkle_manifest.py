@@ -256,18 +256,20 @@ def manifest(docs: DataFrame) -> DataFrame:
         return leaves.select("doc_id", "leaf", F.lit("").alias("subroot"), F.lit("").alias("root"),
                              F.lit("").alias("proof_sha256"), F.lit("").alias("folded_root"), F.lit(True).alias("verified"))
     rounds, subroots = _climb(ranked(leaves), sizes, "leaves")
-    # Groups by name, placed by running counts over the first bytes of the name.
-    named = running_before(subroots.withColumn("all", F.lit("")).withColumn("cell", F.substring(F.hex("g"), 1, 6)),
-                           ["all"], "cell", ["g"], F.lit(1), "i")
-    named = saved(named.select("g", "top", "i"), "manifest-groups")
+    # Groups by name: counted by the first bytes of the name, then inside those.
+    cell = subroots.withColumn("cell", F.substring(F.hex("g"), 1, 6))
+    cells = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(
+        F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = cell.withColumn("i", F.row_number().over(W.partitionBy("cell").orderBy("g")) - 1)
+    named = saved(inside.join(cells, "cell").select("g", "top", (F.col("base") + F.col("i")).alias("i")), "manifest-groups")
     langs = named.select(F.lit("").alias("g"), "i", F.col("top").alias("leaf"))
     upper, root = _climb(langs, langs.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "roots")
     root = root.first()["top"].encode()
     none = docs.sparkSession.createDataFrame([("", [])], f"g string, up {PATH}")
     above = _descend(upper, F.broadcast(none)).select("g", "block", "whole", "items", "up").mapInArrow(
         _paths, f"g string, block long, path {PATH}")
-    above = named.join(above.select(F.col("block").alias("i"), F.col("path").alias("up")), "i").select(
-        "g", "up", F.col("top").alias("subroot"))
+    above = saved(named.join(above.select(F.col("block").alias("i"), F.col("path").alias("up")), "i").select(
+        "g", "up", F.col("top").alias("subroot")), "manifest-above")  # written, so that Catalyst knows its size
     blocks = _descend(rounds, above).select("g", "block", "whole", "items", "up", "subroot")
     return blocks.mapInArrow(_proofs(root), "doc_id long, leaf string, proof_sha256 string, folded_root string, "
                              "verified boolean, subroot string, root string")

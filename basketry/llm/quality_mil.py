@@ -196,8 +196,9 @@ def train(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
 
 
 def scores(p: dict[str, np.ndarray], x: np.ndarray, bags: np.ndarray) -> np.ndarray:
-    logit = Attention(p).forward((x - p["mean"]) / p["sd"], bags)[0].astype(float)
-    return 1 / (1 + np.exp(-np.clip(p["platt"][0] * logit + p["platt"][1], -500, 500)))
+    """In double precision and rounded, so that no score depends on its batch."""
+    logit = Attention({k: v.astype(float) for k, v in p.items()}).forward((x.astype(float) - p["mean"]) / p["sd"], bags)[0]
+    return np.round(1 / (1 + np.exp(-np.clip(p["platt"][0] * logit + p["platt"][1], -500, 500))), 9)
 
 
 def _described(batches):
@@ -245,7 +246,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         picked += [(r["doc_id"], good, total / len(rows)) for r in rows]
     # At most 2 * SAMPLE rows of three small columns.
     sample = F.broadcast(spark.createDataFrame(picked, "doc_id long, good boolean, weight double"))
-    drawn = texts.join(sample, "doc_id").mapInArrow(_described, "doc_id long, good boolean, weight double, passages binary")
+    drawn = texts.join(sample, "doc_id").select("text", "doc_id", "good", "weight").mapInArrow(
+        _described, "doc_id long, good boolean, weight double, passages binary")
     rows = sorted(drawn.collect(), key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["passages"])))
     described = [np.frombuffer(r["passages"], np.float32).reshape(-1, WIDTH) for r in rows]
     y = np.array([float(r["good"]) for r in rows])
