@@ -92,7 +92,7 @@ def test_held_out_documents(spark, docs_of):
     held = [(by[i].predicted, y) for i, y in labels if by[i].held_out]
     assert sum(p == y for p, y in held) >= 0.93 * len(held)
     # one brute-force score: the bag alone through the trained model
-    lone = quality(docs_of([docs[5], *docs[:5], *docs[6:]]), lab).where("doc_id = 5").first()
+    lone = quality(docs_of([docs[5], *odd, *docs[:5], *docs[6:]]), lab).where("doc_id = 5").first()
     assert abs(lone.score - by[5].score) < 1e-6
 
 
