@@ -11,6 +11,7 @@ from basketry.functions.dates import date_dim_for, days_of_weeks, virtual_ts
 from basketry.operators import aggregates as A
 from basketry.operators import basket as B
 from basketry.operators import filters as FL
+from basketry.operators import fold as FO
 from basketry.operators import joins as J
 from basketry.operators import ml as ML
 from basketry.operators import runs as R
@@ -548,6 +549,35 @@ def abandoned_sessions(spark, d):
     return S.abandoned_sessions(s, "session_id", "ts_us", "event_type", "click", "purchase")
 
 
+def reduce_using_script(spark, d):
+    """Sessions and abandoned carts by one ordered reducer over each user's clicks."""
+    c = clicks(spark, d).select("user_id", "ts_us", "event_id", *[
+        F.when(F.col("event_type") == kind, F.col("ts_us")).alias(name)
+        for name, kind in (("cart", "click"), ("checkout", "purchase"))])
+    machine = FO.Sessions("ts_us", "cart", "checkout", s_to_us(6 * 3600))
+    s = FO.segmented_fold(c, ["user_id"], ["ts_us", "event_id"], machine, ["ts_us", "cart", "checkout"])
+    s = s.where(F.col("last_cart").isNotNull() & F.coalesce(F.col("last_checkout") < F.col("last_cart"), F.lit(True)))
+    return s.select(F.concat_ws("_", "user_id", "session_no").alias("session_id"), F.col("pages").alias("pagecount"))
+
+
+def reduce_page_before_sale(spark, d):
+    """Sales after a page view of the last days, by an ordered reducer."""
+    c = clicks(spark, d).select("user_id", "ts_us", "event_id",
+                                F.when(F.col("event_type") == "view", F.col("ts_us")).alias("seen"),
+                                F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("sale"))
+    machine = FO.SeenBefore("ts_us", "seen", "sale", s_to_us(3 * DAY_S))
+    return FO.segmented_fold(c, ["user_id"], ["ts_us", "event_id"], machine, ["ts_us", "seen", "sale"]).select("sale_id")
+
+
+def reduce_last_views(spark, d):
+    """Last views before each purchase, by an ordered reducer."""
+    c = clicks(spark, d).select("user_id", "ts_us", "event_id", *[
+        F.when(F.col("event_type") == kind, F.col("item")).alias(kind) for kind in ("view", "purchase")])
+    machine = FO.LastSeen("ts_us", "view", "purchase", s_to_us(10 * DAY_S), 5)
+    return FO.segmented_fold(c, ["user_id"], ["ts_us", "event_id"], machine, ["ts_us", "view", "purchase"]).select(
+        "purchased_item", "lastviewed_item")
+
+
 def recency_flag(spark, d):
     o = table(spark, d, "orders", "o_custkey", "o_orderdate")
     last = o.groupBy("o_custkey").agg(F.max(F.col("o_orderdate").cast("date")).alias("last_day"))
@@ -729,7 +759,8 @@ KEYS = {
     "distinct_rows": distinct_rows,
     "distribute_sort": distribute_sort, "sessionize": sessionize, "last_n_before": last_n_before,
     "purchase_after_page": purchase_after_page, "abandoned_sessions": abandoned_sessions,
-    "recency_flag": recency_flag,
+    "recency_flag": recency_flag, "reduce_using_script": reduce_using_script,
+    "reduce_page_before_sale": reduce_page_before_sale, "reduce_last_views": reduce_last_views,
     "order_global": order_global, "top_k": top_k, "limit_any": limit_any,
     "union_all_channels": union_all_channels, "result_diff": result_diff,
     "fn_case_coalesce": fn_case_coalesce, "fn_math": fn_math, "fn_cast": fn_cast,

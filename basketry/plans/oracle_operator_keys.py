@@ -387,3 +387,7 @@ SQL = {
     FROM words JOIN dict ON words.word = dict.name""",
 }
 
+# The same rules, computed by ordered reducers.
+SQL["reduce_using_script"] = SQL["abandoned_sessions"]
+SQL["reduce_page_before_sale"] = SQL["purchase_after_page"]
+SQL["reduce_last_views"] = SQL["last_n_before"]

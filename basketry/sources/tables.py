@@ -76,8 +76,8 @@ def clicks(spark: SparkSession, sf_dir: str, first: str | None = None, days: int
     ``first``, only the ``days`` days from that day (a range on the raw column,
     pushed to the reader).
 
-    ``item`` is the ``k`` field of the JSON ``props``; ``event_id`` is the
-    unique tie-break for equal times.
+    ``item`` is the ``k`` field of the JSON ``props`` (NULL if that is no whole
+    number); ``event_id`` is the unique tie-break for equal times.
     """
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id",
               "event_type", "value", "props")
@@ -88,7 +88,7 @@ def clicks(spark: SparkSession, sf_dir: str, first: str | None = None, days: int
     return e.select(
         "event_id", "user_id", "event_type", "value",
         epoch_micros("ts").alias("ts_us"),
-        F.get_json_object("props", "$.k").cast("long").alias("item"),
+        F.get_json_object("props", "$.k").try_cast("long").alias("item"),
     )
 
 
