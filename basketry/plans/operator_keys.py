@@ -712,6 +712,40 @@ def find_company(spark, d):
                            company_names(spark, d))
 
 
+def _places(spark, d):
+    """A dictionary of names of one to three words: the beginnings of the benchmark
+    texts; the same name may stand for several items."""
+    b = table(spark, d, "benchmark", "item_id", "text")
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0)), 1,
+                    (F.pmod(F.col("item_id"), F.lit(3)) + 1).cast("int"))
+    return b.select(F.array_join(words, " ").alias("name")).where(F.length("name") >= 4).distinct()
+
+
+def find_company_names(spark, d):
+    """Names of several words: the longest from the left, whole words."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return TX.find_company(docs, ["doc_id"], "text", _places(spark, d))
+
+
+def _labelled(spark, d):
+    """Reviews with the label ``toxic`` as class; a fifth of the labels is held out."""
+    lab = table(spark, d, "labels", "doc_id", "toxic")
+    lab = lab.where(F.pmod("doc_id", F.lit(5)) != 0).select("doc_id", (F.col("toxic") == 1).alias("negative"))
+    return table(spark, d, "documents", "doc_id", "text").join(lab, "doc_id", "left")
+
+
+def learn_lexicon(spark, d):
+    """Polar words learned from labels, with a prior from the whole corpus."""
+    return TX.learn_lexicon(_labelled(spark, d), "text", "negative")
+
+
+def extract_polarity(spark, d):
+    """Polar words of the learned lexicon in every sentence, negation resolved."""
+    lex = D.ctas_temp(spark, learn_lexicon(spark, d).select("word", "sentiment"), "lexicon")
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return TX.extract_polarity(docs, ["doc_id"], "text", lex)
+
+
 def logreg_interest(spark, d):
     """Returned or not, from a line's quantity, discount, tax and price."""
     li = table(spark, d, "lineitem", "l_orderkey", "l_returnflag", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
@@ -768,7 +802,8 @@ KEYS = {
     "fn_array": fn_array, "build_date_dim": build_date_dim_key,
     "make_pairs": make_pairs, "pair_counts_parts": pair_counts_parts, "viewed_with_item": viewed_with_item,
     "extract_sentiment": extract_sentiment, "extract_negative": extract_negative,
-    "find_company": find_company,
+    "find_company": find_company, "find_company_names": find_company_names,
+    "learn_lexicon": learn_lexicon, "extract_polarity": extract_polarity,
     "logreg_interest": logreg_interest, "kmeans_segments": kmeans_segments,
     "nb_text_classifier": nb_text_classifier,
     "runs_minutes": runs_minutes, "runs_average": runs_average, "runs_compare": runs_compare,

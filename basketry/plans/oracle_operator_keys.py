@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from basketry.operators.text import NEGATORS, SCOPE
 from basketry.plans.oracle_baskets import _clicks_cte, _sessions_cte
 from basketry.plans.oracle_sales import M, NET
 from basketry.plans.oracle_text import _sentiment
@@ -391,3 +392,48 @@ SQL = {
 SQL["reduce_using_script"] = SQL["abandoned_sessions"]
 SQL["reduce_page_before_sale"] = SQL["purchase_after_page"]
 SQL["reduce_last_views"] = SQL["last_n_before"]
+
+TOKENS = r"regexp_extract_all(s, '\p{L}+|\p{N}+|[^\p{L}\p{N}\x09-\x0D\x20]')"
+SENT = """sent AS (SELECT doc_id, row_number() OVER () AS k, s FROM (
+               SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^.!?]+', 0)) AS s FROM documents))"""
+
+# All windows that are a name; of one place the longest; then, per sentence, a
+# scan that takes a match if it begins where the last one has ended.
+SQL["find_company_names"] = rf"""
+    WITH dict AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '\p{{L}}+')[1:(item_id % 3 + 1)], ' ') AS name
+                  FROM benchmark),
+    {SENT},
+    tok AS (SELECT k, {TOKENS} AS t FROM sent),
+    win AS (SELECT k, p, n, array_to_string(t[p:p + n - 1], ' ') AS w
+            FROM (SELECT k, t, unnest(range(1, len(t) + 1)) AS p FROM tok), (SELECT unnest([1, 2, 3]) AS n)
+            WHERE p + n - 1 <= len(t)),
+    hit AS (SELECT k, p, max(n) AS n, arg_max(w, n) AS w FROM win JOIN dict ON w = name WHERE length(name) >= 4 GROUP BY k, p),
+    pick AS (SELECT k, list_reduce(list({{'e': p + n, 's': p, 'names': [w]}} ORDER BY p),
+               lambda a, x: CASE WHEN x.s >= a.e THEN {{'e': x.e, 's': a.s, 'names': list_concat(a.names, x.names)}} ELSE a END).names AS names
+             FROM hit GROUP BY k)
+    SELECT doc_id, unnest(list_distinct(names)) AS company_name, s AS review_sentence FROM pick JOIN sent USING (k)"""
+
+LEXICON = r"""words AS (
+      SELECT w AS word, count(*) AS c, count(*) FILTER (toxic = 1) AS a, count(*) FILTER (toxic <> 1) AS b
+      FROM (SELECT d.doc_id, l.toxic, unnest(regexp_extract_all(lower(d.text), '\p{L}+')) AS w FROM documents d
+            LEFT JOIN (SELECT * FROM labels WHERE doc_id % 5 <> 0) l ON d.doc_id = l.doc_id) GROUP BY w),
+    n AS (SELECT CAST(sum(c) AS DOUBLE) AS n, CAST(sum(a) AS DOUBLE) AS na, CAST(sum(b) AS DOUBLE) AS nb FROM words),
+    o AS (SELECT word, a + b AS seen, a + c * 0.01::DOUBLE AS ya, b + c * 0.01::DOUBLE AS yb,
+                 ln(ya / (na + 0.01::DOUBLE * n - ya)) - ln(yb / (nb + 0.01::DOUBLE * n - yb)) AS d FROM words, n),
+    lex AS (SELECT word, round(d, 6) AS log_odds, round(d / sqrt(1 / ya + 1 / yb), 6) AS z,
+                   CASE WHEN round(d / sqrt(1 / ya + 1 / yb), 6) > 0 THEN 'NEG' ELSE 'POS' END AS sentiment
+            FROM o WHERE seen >= 5 AND abs(round(d / sqrt(1 / ya + 1 / yb), 6)) >= 3)"""
+
+SQL["learn_lexicon"] = f"WITH {LEXICON} SELECT word, log_odds, z, sentiment FROM lex"
+
+NEGATOR_LIST = "[" + ", ".join(f"'{w}'" for w in NEGATORS) + "]"
+SQL["extract_polarity"] = f"""
+    WITH {LEXICON},
+    {SENT},
+    tok AS (SELECT k, {TOKENS} AS t FROM sent),
+    plc AS (SELECT k, t[p] AS w, len(list_intersect(t[greatest(p - {SCOPE}, 1):p - 1], {NEGATOR_LIST})) > 0 AS turned
+           FROM (SELECT k, t, unnest(range(1, len(t) + 1)) AS p FROM tok))
+    SELECT doc_id, s AS review_sentence, w AS sentiment_word,
+           CASE WHEN turned THEN CASE lex.sentiment WHEN 'POS' THEN 'NEG' ELSE 'POS' END ELSE lex.sentiment END AS sentiment,
+           count(*) AS hits
+    FROM plc JOIN lex ON plc.w = lex.word JOIN sent USING (k) GROUP BY k, doc_id, s, w, 4"""

@@ -14,9 +14,16 @@ from basketry.operators.aggregates import agg_linreg
 from basketry.operators.filters import date_range_filter
 from basketry.operators.joins import join_contains
 from basketry.operators.text import extract_sentiment, find_company, lexicon_df
+from basketry.sources.delimited import ctas_temp
 from basketry.sources.tables import net_paid, table
 
 
+def _ordered(spark, found, *order):
+    """The rows found, in order. They are written first: a global sort samples its
+    input before it shuffles it, which would read and split all texts twice."""
+    return ctas_temp(spark, found, "text-hits").orderBy(*order)
+
+
 def _reviews(spark, sf_dir, lang=None):
     d = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     if lang is not None:
@@ -29,7 +36,7 @@ def q10_sentiment(spark: SparkSession, sf_dir: str, lang: str | None = None,
     """Polar sentences of all reviews (of one language if given): (item_sk, sentence, POS|NEG, word)."""
     d = _reviews(spark, sf_dir, lang).select(F.col("doc_id").alias("item_sk"), "text")
     out = extract_sentiment(d, ["item_sk"], "text", lexicon_df(spark, lexicon))
-    return out.orderBy("item_sk", "review_sentence", "sentiment", "sentiment_word")
+    return _ordered(spark, out, "item_sk", "review_sentence", "sentiment", "sentiment_word")
 
 
 def declining_stores(spark: SparkSession, sf_dir: str, start: str, end: str) -> DataFrame:
@@ -61,7 +68,7 @@ def q18_declining_store_reviews(spark: SparkSession, sf_dir: str, start: str = "
     hits = join_contains(docs, "doc_id", "text", names, "matched_name", carry=["store"],
                          distinct_payload=True).select("store", "doc_id", "text")
     out = extract_sentiment(hits, ["store", "doc_id"], "text", lexicon_df(spark, lexicon), only="NEG")
-    return out.orderBy("store", "doc_id", "review_sentence", "sentiment_word")
+    return _ordered(spark, out, "store", "doc_id", "review_sentence", "sentiment_word")
 
 
 # A day of every month of 1997, the middle of the test tables' ship dates; the
@@ -89,7 +96,7 @@ def q19_returned_both(spark: SparkSession, sf_dir: str, dates: list[str] | None
     docs = (_reviews(spark, sf_dir).join(items, F.col("doc_id") == F.col("l_partkey"), "left_semi")
             .select(F.col("doc_id").alias("item_sk"), "text"))
     out = extract_sentiment(docs, ["item_sk"], "text", lexicon_df(spark, lexicon), only="NEG")
-    return out.orderBy("item_sk", "review_sentence", "sentiment", "sentiment_word")
+    return _ordered(spark, out, "item_sk", "review_sentence", "sentiment", "sentiment_word")
 
 
 def company_names(spark: SparkSession, sf_dir: str, min_len: int = 5) -> DataFrame:
@@ -106,4 +113,4 @@ def q27_competitors(spark: SparkSession, sf_dir: str, item: int | None = None) -
         d = d.where(F.col("doc_id") == item)
     d = d.select(F.col("doc_id").alias("review_sk"), F.col("doc_id").alias("item_sk"), "text")
     out = find_company(d, ["review_sk", "item_sk"], "text", company_names(spark, sf_dir))
-    return out.orderBy("review_sk", "item_sk", "company_name", "review_sentence")
+    return _ordered(spark, out, "review_sk", "item_sk", "company_name", "review_sentence")
