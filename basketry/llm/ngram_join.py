@@ -7,11 +7,12 @@ equal collapse to one representative first. A tile holds sets that may link:
   before). With Jaccard >= t the sizes of a pair differ by a factor of at most
   1/t, so a set belongs to its own band and, as the larger partner, to the
   bands below that it can reach.
-* *Tiles.* In a band, linked sets differ in at most K elements. Hash space is
-  cut into K + 1 + T ranges; of a linked pair at least T + 1 ranges hold the
-  very same elements, so sets that share no (range, content) key cannot link.
-  Keys of one element or none are left out if a set has at most T of them
-  (a partner that has more keeps all of its own). A tile is one key.
+* *Tiles.* All elements have one order. Two linked sets of n elements and more
+  share at least t * n, so the first shared element is among the first
+  n - ceil(t * n) + 1 of either: those are a set's keys, by band. A tile is one
+  key. Any order is right; this one puts elements that many documents share
+  (passages, found on ``SAMPLE`` distinct documents) last, where few sets reach
+  them, and orders the others by hash.
 
 Pairs of a tile pass the bitmap bound: every bit set in one signature only
 stands for an element of one set only, so bit counts bound the overlap from
@@ -45,60 +46,48 @@ from basketry.llm.shingles import mix64, shingle_sets
 HUBS = 3
 BLOCK = 1024   # rows of one side of a block of a large tile
 PART = 1 << 20  # bytes of text handled at once
+SAMPLE = 8192   # distinct documents (about) in which common elements are looked for
+COMMON = 1 << 17  # common elements that come last
 
 
 # -- bands and keys ---------------------------------------------------------
 
-def _bands(num: int, den: int) -> list[tuple[int, int, int, int]]:
-    """(lowest size, highest size, ranges, T) of every band."""
+def _bands() -> list[tuple[int, int]]:
+    """(lowest size, highest size) of every band."""
     out, lo = [], 1
     while lo < 1 << 40:
         hi = max(lo + 1, lo * 3 // 2) - 1
-        k = (den - num) * (hi + hi * den // num) // (den + num)
-        mean = lo / (k + 1)
-        spare = math.ceil(0.05 * (k + 1)) if math.exp(-mean) * (1 + mean) < 0.03 else 0
-        out.append((lo, hi, k + 1 + spare, spare))
+        out.append((lo, hi))
         lo = hi + 1
     return out
 
 
-_cache: dict = {}
+BANDS = _bands()
 
 
-def _edges(parts: int) -> np.ndarray:
-    if parts not in _cache:
-        _cache[parts] = np.array([(j * 2 ** 64) // parts for j in range(1, parts)], np.uint64)
-    return _cache[parts]
+def prefix(s: np.ndarray, num: int, den: int, common: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """The first elements of a set, of which any linked set shares one. ``common``:
+    elements (sorted) that come late, and how late."""
+    p = len(s) + num * len(s) // -den + 1
+    if common is None or not len(common[0]):
+        return s[:p]
+    at = np.searchsorted(common[0], s)
+    at[at == len(common[0])] = 0
+    late = np.where(common[0][at] == s, common[1][at], 0)
+    return s[np.lexsort((s, late))[:p]] if late.any() else s[:p]
 
 
-def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of one set: two sets with Jaccard >= num/den that differ share one."""
+def tile_keys(s: np.ndarray, num: int, den: int, common=None) -> np.ndarray:
+    """Keys of one set: two sets with Jaccard >= num/den share one."""
     n = len(s)
     if not n:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix64(s + np.uint64(0x51ED270B)), out=total[1:])
-    keys = []
-    if (num, den) not in _cache:
-        _cache[num, den] = _bands(num, den)
-    bands = _cache[num, den]
-    own = bisect_right(bands, (n, math.inf)) - 1
-    for j in range(own, -1, -1):
-        lo, hi, parts, spare = bands[j]
-        if hi * den // num < n:
+    first, keys = prefix(s, num, den, common), []
+    for j in range(bisect_right(BANDS, (n, math.inf)) - 1, -1, -1):
+        if BANDS[j][1] * den // num < n:
             break
-        if parts == 1:  # stands for equal sets only, which have collapsed already
-            continue
-        at = np.empty(parts + 1, np.int64)
-        at[0], at[-1] = 0, n
-        at[1:-1] = np.searchsorted(s, _edges(parts))
-        count = np.diff(at)
-        content = total[at[1:]] - total[at[:-1]]
-        tag = np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
-        key = mix64(content + mix64(tag + count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-        few = count < 2
-        keys.append(key[~few] if few.sum() <= spare else key)
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        keys.append(mix64(first + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)))
+    return np.concatenate(keys)
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -151,11 +140,32 @@ def _signatures(k: int):
     return run
 
 
-def _keys(k: int, num: int, den: int):
+def _elements(k: int):
+    def run(batches):
+        for part in slices(batches, size=PART):
+            for s in shingle_sets(*utf8(part.column(0)), k):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["s"])
+    return run
+
+
+def _common(texts: DataFrame, reps: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that several of about ``SAMPLE`` documents hold, at most ``COMMON``
+    of them, the most frequent first. Only the order of the elements depends on
+    them, never a result."""
+    step = max(1, reps.count() // SAMPLE)
+    drawn = reps.where(F.pmod(F.xxhash64("rep"), F.lit(step)) == 0).select(F.col("rep").alias("doc_id"))
+    held = texts.join(F.broadcast(drawn), "doc_id", "left_semi").select("text").mapInArrow(_elements(k), "s long")
+    rows = held.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.col("c").desc(), "s").limit(COMMON).toArrow()
+    s, c = rows.column("s").to_numpy().view(np.uint64), rows.column("c").to_numpy()
+    o = np.argsort(s)
+    return s[o], np.frexp(c[o])[1].astype(np.int8)
+
+
+def _keys(k: int, num: int, den: int, common):
     def run(batches):
         for part in slices(batches, size=PART):
             sets = shingle_sets(*utf8(part.column(0)), k)
-            keys = [tile_keys(s, num, den) for s in sets]
+            keys = [tile_keys(s, num, den, common) for s in sets]
             offs = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -267,7 +277,7 @@ def _later_rounds(num: int, den: int, forest: bool):
         _, first = np.unique(rows[4], return_index=True)
         side, rep, comp, n = (np.asarray(r)[first] for r in rows[3:7])
         found = _tile_pairs(side if a != b else None, rep, comp, n, [rows[7][t] for t in first], num, den, forest)
-        return [(key, x, y) for x, y in found]
+        return ((key, x, y) for x, y in found)
 
     def run(batches):
         held = None
@@ -288,12 +298,19 @@ def _later_rounds(num: int, den: int, forest: bool):
     def batch(t, ends):
         pairs, start = [], 0
         rows = [t.column(i).to_pylist() if i == 7 else t.column(i).to_numpy() for i in range(8)]
+
+        def made():
+            p = np.array(pairs, np.int64)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(p[:, i]) for i in range(3)], ["key", "a", "b"])
         for end in ends:
-            pairs += group([r[start:end] for r in rows])
+            for pair in group([r[start:end] for r in rows]):
+                pairs.append(pair)
+                if len(pairs) >= 50_000:
+                    yield made()
             start = end
         if pairs:
-            p = np.array(pairs, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, i]) for i in range(3)], ["key", "a", "b"])
+            yield made()
     return run
 
 
@@ -378,7 +395,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                     .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "members")
     dropped(sets)
 
-    keys = texts.mapInArrow(_keys(k, num, den), "doc_id long, fp binary, keys array<long>")
+    keys = texts.mapInArrow(_keys(k, num, den, _common(texts, reps, k)), "doc_id long, fp binary, keys array<long>")
     keys = keys.join(reps.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"]).select(
         F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
     tiles = keys.repartition(parts, "key").sortWithinPartitions("key", "rep")
