@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,11 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``. Only a
+    """The folder the session names in ``spark.checkpoint.dir``, else the
+    checkpoint folder that the application has set. Only a
     single-process local session (tests) gets a temporary folder instead; on a
     cluster a missing setting is an error, since a machine-local folder would
     lose data."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -92,6 +94,18 @@ def dropped(df: DataFrame) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name``, which tells the rows apart and is the same at every reading:
+    the file and the place in it. Rows that come from no file are written first."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(name)
+    try:
+        out = df.select("*", place)
+        out.schema  # resolved here
+        return out
+    except AnalysisException:
+        return saved(df, "rows").select("*", place)
+
+
 def word_count(text: Column) -> Column:
     """Number of words (null text: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,23 +7,25 @@ chunks' identifiers (16 bytes per kilobyte of text). Documents are equal when
 their recipes are: only recipes are shuffled to group and join documents, never
 their texts again.
 
-Identifiers are verified: chunks are deduplicated by identifier *and* content
-(partial aggregation first, so copies collapse before the shuffle and each
-distinct chunk moves once per task). An identifier with two contents is a
-clash; documents whose recipe holds one are compared by recipe and SHA-256 of
+Identifiers are verified: chunks are deduplicated by identifier *and* SHA-256 of
+their content (partial aggregation first, so copies collapse before the
+shuffle; the contents themselves never move). An identifier with two contents
+is a clash; documents whose recipe holds one are compared by recipe and SHA-256 of
 the text instead. All documents with equal recipes hold the same identifiers,
 so a group is treated one way as a whole.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import SPACES, saved, slices, utf8
+from basketry.llm.common import SPACES, saved, slices, utf8, with_row_id
 
 MASK = np.uint32(1023)  # a cut every kilobyte on average
 SMALLEST, LARGEST = 256, 8192
@@ -81,15 +83,15 @@ def _contents(id_bytes: int):
         for part in slices(batches):
             data, offs = utf8(part.column(0))
             bounds, _, ids = _chunks(data, offs, id_bytes)
-            content = pa.Array.from_buffers(
-                pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data.tobytes())])
+            raw, b = memoryview(np.ascontiguousarray(data)), bounds.tolist()
+            content = pa.array([sha256(raw[x:y]).digest() for x, y in zip(b, b[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), content], ["chunk_id", "content"])
     return run
 
 
 def clashing_ids(docs: DataFrame, text: str = "text", id_bytes: int = 16) -> DataFrame:
     """Identifiers that stand for more than one chunk content (none, but for
-    chance): the byte-for-byte check of the chunk store."""
+    chance): the check of the chunk store, on SHA-256 of the contents."""
     chunks = docs.select(normalised(F.col(text)).alias("norm")).mapInArrow(
         _contents(id_bytes), "chunk_id binary, content binary")
     distinct = chunks.groupBy("chunk_id", "content").agg(F.count(F.lit(1)).alias("n"))
@@ -98,7 +100,7 @@ def clashing_ids(docs: DataFrame, text: str = "text", id_bytes: int = 16) -> Dat
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", id_bytes: int = 16,
-                keep: tuple[str, ...] = ()) -> DataFrame:
+                keep: tuple[str, ...] = (), row_id: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept,
     text_sha256``, and the columns named in ``keep``.
 
@@ -107,11 +109,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", id_
     The row with the smallest ``doc_id`` stays; a null id is larger than any
     other. Of rows repeated with the same id and text exactly one is kept, all
     are counted. Other columns of ``docs``, whatever their names, play no part.
+    ``row_id`` names a column that identifies the rows (else made here).
     """
     out_cols = [doc_id, *keep]
     rows = docs.select(normalised(F.col(f"`{text}`")).alias("__norm"),
                        F.sha2(normalised(F.col(f"`{text}`")), 256).alias("__sha"),
-                       F.monotonically_increasing_id().alias("__rid"),
+                       (F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()).alias("__rid"),
                        *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(out_cols)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     recipes = saved(rows.mapInArrow(_recipes(id_bytes), f"{schema}, recipe binary"), "recipes")
@@ -133,3 +136,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", id_
         F.col("__c0").alias(doc_id), F.col("first.id").alias("keep_id"), "group_size",
         (F.col("__rid") == F.col("first.rid")).alias("kept"), F.col("__sha").alias("text_sha256"),
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(out_cols) if i])
+
+
+def one_of_equal(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that stay: of equal texts the one that ``exact_dedup`` keeps.
+    Only ids decide; the texts meet the lost rows' ids once."""
+    numbered = with_row_id(docs, "__row")
+    lost = exact_dedup(numbered, keep=("__row",), row_id="__row").where("not kept").select("__row")
+    return numbered.join(saved(lost, "lost"), "__row", "left_anti").select(*docs.columns)

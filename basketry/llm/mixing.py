@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from basketry.llm.common import hash_order, running_before, saved, word_count
+from basketry.llm.common import WORD, hash_order, running_before, saved, with_row_id, word_count
 
 CELLS = 4096       # of the share axis, for the interval lookup by an equi join
 CHUNK = 1 << 16    # slots ranked together
@@ -91,11 +91,12 @@ def mix(docs: DataFrame, block_words: int = 64, weights=(5, 2, 1), share: float
         doc_id: str = "doc_id", text: str = "text", source: str = "source",
         row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(rows, pieces)``. ``rows`` has a line per row of ``docs``: ``rid,
-    doc_id, size, source, source_size, target, taken``. ``pieces`` has a line
+    doc_id, size, source, source_size, target, taken, first_slot`` (the first slot of
+    the mix that takes it, null if none). ``pieces`` has a line
     per row and pass through its source: ``rid, epoch, slot`` (the first that
     takes it) ``, lo, hi`` (the words taken, a stretch from lo to hi).
 
-    ``rid`` is the unique long column ``row_id`` if given, else made here.
+    ``rid`` is the column ``row_id``, which tells the rows apart, if given, else made here.
     Size counts words, null text 0; a null source is a source of its own. A
     row without words takes part with nothing. Repeated rows count each; equal
     ones may swap places, which no result shows. Every source's taken words
@@ -134,8 +135,25 @@ def mix(docs: DataFrame, block_words: int = 64, weights=(5, 2, 1), share: float
         "end", end - F.col("off")).where("end > start")
     pieces = saved(taken.groupBy("rid", "epoch").agg(
         F.min("slot").alias("slot"), F.min("start").alias("lo"), F.max("end").alias("hi")), "pieces")
-    per_row = pieces.groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    per_row = pieces.groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("slot").alias("first_slot"))
     rows = base.join(plan.select("skey", "source_size", "target"), "skey").join(per_row, "rid", "left").select(
         "rid", "doc_id", "size", "source", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
     return rows, pieces
+
+
+def mixed_rows(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **how) -> DataFrame:
+    """``docs`` as the mix takes them, in slot order: a row for every pass that
+    takes words of a document, with those words as its text (the whole text
+    unless the source's target ends within the document)."""
+    numbered = with_row_id(docs, "__row")
+    rows, pieces = mix(numbered, row_id="__row", text=text, **how)
+    cut = rows.select(F.col("rid").alias("__row"), "size").join(
+        pieces.withColumnRenamed("rid", "__row"), "__row").withColumnsRenamed({c: f"__{c}" for c in ("size", "slot", "lo", "hi", "epoch")})
+    texts = numbered.join(cut, "__row")
+    words = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), (F.col("__lo") + 1).cast("int"),
+                    (F.col("__hi") - F.col("__lo")).cast("int"))
+    whole = F.col("__hi") - F.col("__lo") == F.col("__size")
+    texts = texts.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(words, " ")))
+    texts = texts.withColumn(n_chars, F.when(whole, F.col(n_chars)).otherwise(F.length(text)))
+    return texts.sortWithinPartitions("__slot").select(*docs.columns)

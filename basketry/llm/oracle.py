@@ -1,5 +1,7 @@
 """DuckDB SQL of the training-data queries that SQL can state."""
 
+from basketry.llm.mixing import _PHI_HIGH, _PHI_LOW
+
 
 def crc32(text: str) -> str:
     """Unsigned crc32 of an ASCII text, bit by bit."""
@@ -67,8 +69,10 @@ SQL = {
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.norm) AS text_sha256
         FROM n JOIN g USING (norm)""",
     # A source's first pass takes its first least(need, size) words, a second
-    # pass the rest of the need; documents lie in the order of md5(doc_id).
-    "op2_source_schedule": r"""
+    # pass the rest of the need; documents lie in the order of md5(doc_id). Slots
+    # of 64 words follow golden-ratio points; a document's first words are in the
+    # slot of its first block.
+    "op2_source_schedule": rf"""
         WITH d AS (SELECT doc_id, source,
                      coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                      md5(coalesce(doc_id::VARCHAR, chr(0))) AS h FROM documents),
@@ -82,13 +86,27 @@ SQL = {
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT source, source_size, round(least(cap, max(level) OVER () * weight), 6) AS target FROM v),
         o AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS need,
-                coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size
+                d.source, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size
                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-          (greatest(least(off + size, least(need, source_size)) - off, 0)
-           + greatest(least(off + size, need - least(need, source_size)) - off, 0))::BIGINT AS taken
-        FROM o""",
+        , p AS (SELECT *, CASE WHEN source_size > 0 THEN need // source_size ELSE 0 END AS full_passes FROM (
+                SELECT source, source_size, floor(target)::BIGINT AS need, (source_size + 63) // 64 AS blocks FROM t)),
+        p2 AS (SELECT *, full_passes * blocks + (need - full_passes * source_size + 63) // 64 AS slots FROM p),
+        p3 AS (SELECT *, (sum(slots) OVER (ORDER BY coalesce('s' || source, 'n')) - slots)::BIGINT AS lo,
+                 (sum(slots) OVER ())::BIGINT AS n FROM p2),
+        u AS (SELECT i, n, (i % 1048576) * {_PHI_LOW!r}::DOUBLE + floor(i / 1048576) * {_PHI_HIGH!r}::DOUBLE AS u
+              FROM (SELECT n, unnest(range(n)) AS i FROM (SELECT DISTINCT n FROM p3))),
+        hit AS (SELECT p3.source, slots, i, row_number() OVER (PARTITION BY p3.source ORDER BY i) - 1 AS rank
+                FROM (SELECT i, least(floor((u - floor(u)) * n), n - 1) AS place FROM u)
+                JOIN p3 ON place >= lo AND place < lo + slots),
+        slot AS (SELECT source, rank, i AS slot FROM hit WHERE rank < slots
+                 UNION ALL SELECT source, rank, n + rank FROM (
+                   SELECT p3.source, n, unnest(range(coalesce(have, 0), slots)) AS rank FROM p3
+                   LEFT JOIN (SELECT source, count(*) AS have FROM hit GROUP BY source) h ON h.source IS NOT DISTINCT FROM p3.source)),
+        k AS (SELECT *, (greatest(least(off + size, least(need, source_size)) - off, 0)
+           + greatest(least(off + size, need - least(need, source_size)) - off, 0))::BIGINT AS taken FROM o)
+        SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN slot.slot ELSE -1 END AS first_slot
+        FROM k LEFT JOIN slot ON slot.source IS NOT DISTINCT FROM k.source AND slot.rank = k.off // 64""",
     "op10_revisit_resolution": r"""
         WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS d0, length(coalesce(html, '')) AS n FROM pages),
         v AS (SELECT p.*, k, (k = 0 AND page_id % 13 <> 0) OR (k = 2 AND page_id % 3 = 0) AS is_full,

@@ -27,7 +27,8 @@ def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return rows.select("doc_id", "size", "source_size", "target", "taken",
+                       F.coalesce("first_slot", F.lit(-1)).alias("first_slot"))
 
 
 def op3_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,16 @@ def test_packing_fills_batches(docs_of):
         assert sorted(g["batch"] * per + g.slot) == list(range(len(g)))
         assert g.slot.max() < per
     assert pack(docs_of([]).limit(0)).count() == 0
+
+
+def test_first_slots_spread_every_source_over_the_mix(spark, docs_of):
+    """The schedule reaches the result: by first slot, any stretch of the mix holds
+    the sources in the shares of their targets."""
+    rows, _ = mix(docs_of([(i, "w " * 64, "en", f"s{i % 3}") for i in range(900)]))
+    got = [(r.first_slot, r.source) for r in rows.where("first_slot is not null").collect()]
+    assert len({s for s, _ in got}) == len(got) > 600
+    first = sorted(got)[:200]  # the first pass through each source
+    share = {s: sum(x == s for _, x in first) / 200 for s in ("s0", "s1", "s2")}
+    want = {r.source: r.target for r in rows.select("source", "target").distinct().collect()}
+    total = sum(want.values())
+    assert all(abs(share[s] - want[s] / total) < 0.05 for s in share), (share, want)
