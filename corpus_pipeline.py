@@ -12,12 +12,11 @@ from __future__ import annotations
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from basketry.llm.common import WORD, dropped, recording, saved, table
-from basketry.llm.exact_dedup import exact_dedup
+from basketry.llm.common import dropped, recording, saved, table
+from basketry.llm.exact_dedup import one_of_equal
 from basketry.llm.language_id import accepted_documents
-from basketry.llm.mixing import mix
+from basketry.llm.mixing import mixed_rows
 from basketry.llm.ngram_join import one_of_each
 from basketry.llm.packing import pack
 
@@ -47,8 +46,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: that with the smallest id."""
-    rows = exact_dedup(docs, keep=("text", "lang", "source", "n_chars"))
-    return rows.where("kept").select(*COLUMNS)
+    return one_of_equal(docs.select(*COLUMNS))
 
 
 @_stage
@@ -59,17 +57,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix: a row for every pass that takes words of a
-    document, with those words as its text (the whole text unless the source's
-    target ends within the document)."""
-    docs = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("rid")), "mix-in")
-    rows, pieces = mix(docs, row_id="rid")
-    texts = docs.join(rows.select("rid", "size").join(pieces, "rid"), "rid")
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("lo") + 1).cast("int"),
-                    (F.col("hi") - F.col("lo")).cast("int"))
-    whole = F.col("hi") - F.col("lo") == F.col("size")
-    texts = texts.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(words, " ")))
-    return texts.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
+    """Documents of the mix, in the order of the schedule's slots within a file: a
+    row for every pass that takes words of a document, with those words as its
+    text (the whole text unless the source's target ends within the document)."""
+    return mixed_rows(docs.select(*COLUMNS))
 
 
 @_stage
