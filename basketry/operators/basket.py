@@ -15,6 +15,8 @@ Scale notes
   it has thousands: its left side by item hash, its right side to all of them.
   Other baskets have one share. So no task pairs a whole hot basket, and only
   hot baskets are replicated.
+* Pairs that can't reach the wanted count are refused by hashed bucket counts
+  (``heavy_pairs``) before they are shuffled for the exact one.
 * The pair counts are aggregated with partial aggregation before the final
   shuffle, so the shuffled volume is bounded by distinct pairs per task.
 """
@@ -24,6 +26,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.dictionary import MOST, HashFilter
+from basketry.sources.delimited import ctas_temp
+
 
 def basket_items(df: DataFrame, basket: str, item: str,
                  min_support: int | None = None) -> DataFrame:
@@ -58,11 +63,30 @@ def make_pairs(df: DataFrame, basket: str, item: str, min_support: int | None =
                 .select("basket", "item_1", "item_2"))
 
 
+def heavy_pairs(pairs: DataFrame, min_count: int) -> DataFrame:
+    """Rows of ``pairs`` that may belong to a pair of more than ``min_count`` rows.
+
+    Pairs are hashed two ways into ``MOST`` buckets each and counted there (a few
+    bytes a bucket and task leave the map side). A pair in a bucket that counts
+    ``min_count`` at most is light itself; only pairs heavy both ways go on to the
+    exact count. The buckets' bitmaps have a fixed size."""
+    keys = [F.xxhash64("item_1", "item_2"), F.xxhash64("item_2", F.lit("b"), "item_1")]
+    buckets = [h.bitwiseAND(F.lit(MOST - 1)) for h in keys]
+    counted = pairs.select(F.explode(F.array(*[F.struct(F.lit(i).alias("way"), b.alias("b")) for i, b in enumerate(buckets)])).alias("x"))
+    counted = counted.groupBy("x.way", "x.b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > min_count)
+    counted = ctas_temp(pairs.sparkSession, counted, "pair-buckets")
+    for i, b in enumerate(buckets):
+        pairs = pairs.where(HashFilter(counted.where(F.col("way") == i), "b", bits=MOST).may_hold(b))
+    return pairs
+
+
 def pair_counts(df: DataFrame, basket: str, item: str, min_count: int | None = None,
                 names: tuple[str, str] = ("item_1", "item_2")) -> DataFrame:
     """Number of baskets per item pair; ``min_count`` keeps pairs with cnt > min_count."""
     support = (min_count + 1) if min_count is not None else None
     pairs = make_pairs(df, basket, item, min_support=support)
+    if min_count is not None and min_count > 0:
+        pairs = heavy_pairs(pairs, min_count)
     out = pairs.groupBy("item_1", "item_2").agg(F.count(F.lit(1)).alias("cnt"))
     if min_count is not None:
         out = out.where(F.col("cnt") > F.lit(min_count))

@@ -21,9 +21,10 @@ TOKEN_RE = "\\p{L}+|\\p{N}+|[^\\p{L}\\p{N}\\x09-\\x0D\\x20]"
 
 class HashFilter:
     """Which 64-bit hashes may be among those of a column (no false negatives).
-    ``most`` columns come with their maximum, in ``self.most``, from the same job."""
+    ``most`` columns come with their maximum, in ``self.most``, from the same job;
+    ``bits`` fixes the size of the bitmap (else by the number of hashes)."""
 
-    def __init__(self, hashes: DataFrame, column: str, most: tuple[str, ...] = ()):
+    def __init__(self, hashes: DataFrame, column: str, most: tuple[str, ...] = (), bits: int | None = None):
         word = F.shiftright(F.col(column).bitwiseAND(F.lit(MOST - 1)), 6).cast("int")
         bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
         # At most MOST / 64 rows.
@@ -32,8 +33,8 @@ class HashFilter:
         self.most = {c: max((r[c] for r in rows if r[c] is not None), default=None) for c in most}
         held = {r["__w"]: r["__b"] for r in rows}
         set_bits = sum((b & (2 ** 64 - 1)).bit_count() for b in held.values())
-        bits = 1 << 10
-        while bits < min(MOST, BITS * set_bits):
+        bits, wanted = bits or 1 << 10, 0 if bits else BITS * set_bits
+        while bits < min(MOST, wanted):
             bits *= 2
         self.mask = bits - 1
         words = [0] * (bits // 64)

@@ -1,8 +1,8 @@
 """Join operators beyond plain equi joins.
 
 * ``before_after``: facts inside the window after / before each change
-  point, per item. An equi join on the item with the window bounds as a
-  residual condition, then conditional sums: no range join, no cartesian.
+  point, per item, as differences of running sums over (item, day): facts and
+  windows are never joined.
 * ``join_tolerance`` / ``join_nonequi_residual``: equi key + residual.
 * ``join_contains``: which names occur (case-insensitively) inside which
   texts. Every name has anchors that a text holding the name must hold as
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.dictionary import HashFilter
+from basketry.operators.sessions import balanced_prefix_sums
 from basketry.sources.delimited import ctas_temp
 
 
@@ -49,34 +50,43 @@ def join_scalar(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
+EXACT = "decimal(38,6)"  # differences of running sums stay exact
+
+
 def before_after(facts: DataFrame, changes: DataFrame, item: str, day: str, qty: str,
                  start: str, length: str, keys: list[str] | None = None,
                  split: Column | None = None, split_values=("F", "O")) -> DataFrame:
     """Per change point: sum of ``qty`` in [start, start+len) ("after") and
     in [start-len, start) ("before"); with ``split``, one pair per value.
 
-    Facts outside both windows are dropped inside the join (residual
-    condition), so only matching rows leave the join.
+    Facts never meet windows. They are summed by (item, day), the three bounds
+    of every window join them as rows without a quantity, and one running sum per
+    item (in shares of equal size, ``balanced_prefix_sums``) gives each bound the
+    quantity of all earlier days; a window is the difference of two. So the work
+    is facts + windows, also for an item that holds half of both. Quantities are
+    summed to six decimals.
     """
     keys = list(keys or [])
-    ch = changes.select(F.col(item).alias("_ci"), *keys, F.col(start).alias("_s"),
-                        F.col(length).alias("_len"))
+    parts = {"": None} if split is None else {f"_{v}": v for v in split_values}
     d = F.col(day)
-    j = facts.join(ch, (F.col(item) == F.col("_ci"))
-                   & (d >= F.date_sub(F.col("_s"), F.col("_len")))
-                   & (d < F.date_add(F.col("_s"), F.col("_len"))))
-    after = d >= F.col("_s")
-    aggs = []
-    if split is None:
-        aggs += [F.sum(F.when(after, F.col(qty)).otherwise(0)).alias("after"),
-                 F.sum(F.when(~after, F.col(qty)).otherwise(0)).alias("before")]
-    else:
-        for v in split_values:
-            sel = split == F.lit(v)
-            aggs += [F.sum(F.when(after & sel, F.col(qty)).otherwise(0)).alias(f"after_{v}"),
-                     F.sum(F.when(~after & sel, F.col(qty)).otherwise(0)).alias(f"before_{v}")]
+    daily = facts.where(F.col(item).isNotNull() & d.isNotNull()).groupBy(F.col(item).alias("_i"), d.alias("_d")).agg(*[
+        F.sum(F.when(split == F.lit(v), F.col(qty)) if v is not None else F.col(qty)).cast(EXACT).alias(f"_q{n}")
+        for n, v in parts.items()])
+    ch = changes.select(F.col(item).alias("_i"), *keys, F.col(start).alias("_s"), F.col(length).alias("_len")).distinct()
+    ch = ch.where(F.col("_i").isNotNull() & F.col("_s").isNotNull() & (F.col("_len") > 0))
+    bounds = ch.select("_i", *keys, "_s", "_len", F.explode(F.array(
+        F.struct(F.lit(-1).alias("w"), F.date_sub("_s", F.col("_len")).alias("d")), F.struct(F.lit(0).alias("w"), F.col("_s").alias("d")),
+        F.struct(F.lit(1).alias("w"), F.date_add("_s", F.col("_len")).alias("d")))).alias("_b"))
+    bounds = bounds.select("_i", *keys, "_s", "_len", F.col("_b.d").alias("_d"), F.col("_b.w").alias("_w"))
+    # a bound comes before the facts of its day
+    line = daily.withColumn("_k", F.lit(1)).unionByName(bounds.withColumn("_k", F.lit(0)), allowMissingColumns=True)
+    sums = balanced_prefix_sums(line, ["_i"], ["_d", "_k"], {f"_p{n}": F.col(f"_q{n}") for n in parts})
+    at = sums.where("_k = 0").groupBy("_i", *keys, "_s", "_len").agg(*[
+        F.max(F.when(F.col("_w") == w, F.col(f"_p{n}"))).alias(f"_{w + 1}{n}") for n in parts for w in (-1, 0, 1)])
     # every change point is kept, also those without any sale (sums 0)
-    g = j.groupBy(F.col("_ci").alias(item), *keys).agg(*aggs)
+    g = at.groupBy(F.col("_i").alias(item), *keys).agg(*[
+        F.sum(F.col(f"_{w + 1}{n}") - F.col(f"_{w}{n}")).cast("double").alias(f"{name}{n}")
+        for n in parts for name, w in (("after", 1), ("before", 0))])
     return changes.select(F.col(item), *keys).join(g, [item, *keys], "left").fillna(
         0, subset=[c for c in g.columns if c.startswith(("after", "before"))])
 

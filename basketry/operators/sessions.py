@@ -59,6 +59,25 @@ def balanced_prefix_sum(df: DataFrame, part: list[str], ts: str, value: Column,
                     .drop("_share", "_v", "_local", "_off"))
 
 
+def balanced_prefix_sums(df: DataFrame, part: list[str], order: list[str], values: dict[str, Column],
+                         partitions: int | None = None) -> DataFrame:
+    """``df`` with an inclusive running sum per ``part``, in ``order``, for each of
+    ``values`` (name -> column), as ``balanced_prefix_sum`` makes them: shares of
+    equal row counts, whatever part of the rows one key holds."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c) for c in order]
+    x = df.withColumns({f"_v_{k}": v for k, v in values.items()}).repartitionByRange(n, *[F.col(p) for p in part], *by)
+    x = ctas_temp(spark, x.withColumn("_share", F.spark_partition_id()), "ordered")
+    w = Window.partitionBy(*part, "_share").orderBy(*by).rowsBetween(_UNB, _CUR)
+    earlier = Window.partitionBy(*part).orderBy("_share").rowsBetween(_UNB, -1)
+    totals = x.groupBy(*part, "_share").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    totals = totals.select(*part, "_share", *[F.sum(f"_t_{k}").over(earlier).alias(f"_o_{k}") for k in values])
+    x = x.select("*", *[F.sum(f"_v_{k}").over(w).alias(f"_l_{k}") for k in values]).join(totals, [*part, "_share"])
+    zero = F.lit(0)
+    return x.select(*df.columns, *[(F.coalesce(f"_l_{k}", zero) + F.coalesce(f"_o_{k}", zero)).alias(k) for k in values])
+
+
 def sessionize(df: DataFrame, user: str, ts: str, timeout: int, out: str = "session_id") -> DataFrame:
     """Add ``out`` = ``<user>_<n>``: per user in time order, a gap greater
     than ``timeout`` (same unit as ``ts``, whole numbers) starts session n+1;
@@ -210,3 +229,17 @@ def distribute_sort(df: DataFrame, key: list[str], order: list[str],
     r = (df.repartitionByRange(partitions, *cols) if partitions
          else df.repartitionByRange(*cols))
     return r.sortWithinPartitions(*cols)
+
+
+def collect_ordered(df: DataFrame, key: list[str], order: list[str], value: str, chunk: int = 1000,
+                    out: str = "items") -> DataFrame:
+    """(key..., chunk_no, ``out``): each key's values in ``order`` as lists of at
+    most ``chunk``; lists 0, 1, 2, ... put together are the whole. A key with any
+    share of the rows is that many rows, never one. Rows with a null key are
+    dropped; null values keep their place."""
+    rows = df.dropna(subset=key)
+    placed = balanced_prefix_sums(rows.select(*dict.fromkeys([*key, *order, value])), key, order, {"_n": F.lit(1).cast("long")})
+    placed = placed.withColumn("_c", F.expr(f"(_n - 1) div {int(chunk)}"))
+    g = placed.groupBy(*key, F.col("_c").alias("chunk_no")).agg(
+        F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("v")))).alias("_l"))
+    return g.select(*key, "chunk_no", F.transform("_l", lambda x: x["v"]).alias(out))

@@ -22,6 +22,7 @@ from basketry.session import scratch_path
 from basketry.sources import delimited as D
 from basketry.sources import logs as L
 from basketry.sources import nested as N
+from basketry.streaming import numbered as NS
 from basketry.sources.tables import (clicks, epoch_seconds, money, net_paid, scan_columnar,
                                      table)
 
@@ -60,12 +61,34 @@ def sink_result_text(spark, d):
 
 
 def append_refresh(spark, d):
+    """Orders up to 1998 and a refresh set of the later ones; the refresh fails
+    once before it is published, and is repeated twice."""
     o = table(spark, d, "orders")
     cut = F.to_timestamp_ntz(F.lit("1999-01-01"))
     base = F.coalesce(F.col("o_orderdate") < cut, F.lit(False))  # an order without a date is refresh
-    path = D.append_refresh_table(o.where(base), o.where(~base),
-                                  scratch_path(spark, "orders-refresh"))
-    return spark.read.parquet(path)
+    path = scratch_path(spark, "orders-refresh")
+    D.refresh_table(o.where(base), path, "base")
+    D.stage_refresh(o.where(~base), path)  # left half-done
+    for _ in range(2):
+        D.refresh_table(o.where(~base), path, "refresh-1")
+    return D.read_refreshed(spark, path).drop("refresh")
+
+
+def load_checked(spark, d):
+    """Rejects of a text load: lineitem as text in which some lines have a quantity
+    that is no number, lack their last fields, or have one too many."""
+    li = table(spark, d, "lineitem")
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(D.HIVE_NULL)) for c in li.columns])
+    k = F.col("l_orderkey") % 50
+    bad = F.when(k == 1, F.regexp_replace(line, "^(\\d+\\|\\d+\\|\\d+\\|\\d+\\|)[^|]*", "$1many")).when(
+        k == 2, F.substring_index(line, "|", 9)).when(k == 3, F.concat(line, F.lit("|x|y"))).otherwise(line)
+    path = scratch_path(spark, "lineitem-faults")
+    li.select(bad.alias("value")).write.text(path)
+    loaded = D.ctas_temp(spark, D.load_checked(spark, path, li.schema), "lineitem-checked")
+    faults = D.rejected_fields(loaded).groupBy("column", "reason", "value").agg(F.count(F.lit(1)).alias("lines"))
+    whole = loaded.where("_line IS NULL").agg(F.count(F.lit(1)).alias("lines")).select(
+        F.lit(None).cast("string").alias("column"), F.lit("loaded whole").alias("reason"), F.lit(None).cast("string").alias("value"), "lines")
+    return faults.unionByName(whole)
 
 
 def multi_insert(spark, d):
@@ -512,6 +535,14 @@ def agg_collect_set(spark, d):
                     F.array_join("types", ",").alias("types"))
 
 
+def agg_collect_list(spark, d):
+    """Every user's click path, in order, as lists of at most 50 pages."""
+    c = clicks(spark, d).where(F.col("ts_us").isNotNull())
+    c = c.select("user_id", "ts_us", "event_id", F.coalesce("event_type", F.lit("-")).alias("page"))
+    paths = S.collect_ordered(c, ["user_id"], ["ts_us", "event_id"], "page", chunk=50, out="pages")
+    return paths.select("user_id", "chunk_no", F.array_join("pages", ">").alias("path"))
+
+
 def distinct_rows(spark, d):
     return table(spark, d, "events", "user_id", "event_type").distinct()
 
@@ -578,6 +609,32 @@ def reduce_last_views(spark, d):
         "purchased_item", "lastviewed_item")
 
 
+def stream_sessions(spark, d):
+    """Numbered sessions of the click stream. The clicks arrive in five slices of
+    time; of every slice a tenth of the last half day comes late, with the next.
+    The query is stopped after each slice and goes on from its checkpoint; a
+    closing click far in the future ends the open sessions."""
+    e = table(spark, d, "events").where(F.col("ts").isNotNull() & F.col("user_id").isNotNull())
+    t = epoch_seconds("ts")
+    lo, hi = e.agg(F.min(t), F.max(t)).first()
+    path = scratch_path(spark, "stream")
+    if lo is None:
+        return spark.createDataFrame([], NS.OUT)
+    width = (hi - lo) // 5 + 1
+    at = F.floor((t - F.lit(lo)) / F.lit(width))
+    late = (F.floor((t - F.lit(lo) + 12 * 3600) / F.lit(width)) > at) & (F.pmod("event_id", F.lit(10)) == 0)
+    sliced = D.ctas_temp(spark, e.withColumn("_s", at + F.when(late, 1).otherwise(0)), "slices")
+    for k in range(7):
+        part = sliced.where(F.col("_s") == k).drop("_s")
+        if k == 6:
+            part = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01").cast("timestamp_ntz").alias("ts"),
+                                         F.lit(-1).cast("long").alias("user_id"), F.lit("view").alias("event_type"),
+                                         F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+        part.write.mode("append").parquet(f"{path}/in")
+        NS.run_numbered(spark, f"{path}/in", f"{path}/out", f"{path}/ckpt", s_to_us(3600), "1 day", e.schema)
+    return spark.read.parquet(f"{path}/out").where("user_id <> -1")
+
+
 def recency_flag(spark, d):
     o = table(spark, d, "orders", "o_custkey", "o_orderdate")
     last = o.groupBy("o_custkey").agg(F.max(F.col("o_orderdate").cast("date")).alias("last_day"))
@@ -790,7 +847,8 @@ KEYS = {
     "agg_stddev_cov": agg_stddev_cov, "agg_corr": agg_corr, "agg_linreg": agg_linreg,
     "agg_ratio_of_totals": agg_ratio_of_totals, "agg_two_level": agg_two_level,
     "agg_collect_set": agg_collect_set,
-    "distinct_rows": distinct_rows,
+    "distinct_rows": distinct_rows, "agg_collect_list": agg_collect_list,
+    "load_checked": load_checked, "stream_sessions": stream_sessions,
     "distribute_sort": distribute_sort, "sessionize": sessionize, "last_n_before": last_n_before,
     "purchase_after_page": purchase_after_page, "abandoned_sessions": abandoned_sessions,
     "recency_flag": recency_flag, "reduce_using_script": reduce_using_script,

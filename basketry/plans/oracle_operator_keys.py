@@ -437,3 +437,21 @@ SQL["extract_polarity"] = f"""
            CASE WHEN turned THEN CASE lex.sentiment WHEN 'POS' THEN 'NEG' ELSE 'POS' END ELSE lex.sentiment END AS sentiment,
            count(*) AS hits
     FROM plc JOIN lex ON plc.w = lex.word JOIN sent USING (k) GROUP BY k, doc_id, s, w, 4"""
+
+SQL["agg_collect_list"] = """
+    WITH n AS (SELECT user_id, coalesce(event_type, '-') AS page, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS i
+               FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+    SELECT user_id, CAST(i // 50 AS BIGINT) AS chunk_no, string_agg(page, '>' ORDER BY i) AS path FROM n GROUP BY user_id, i // 50"""
+
+SQL["load_checked"] = """
+    WITH n AS (SELECT l_orderkey % 50 AS k FROM lineitem),
+    r AS (SELECT 'l_quantity' AS "column", 'type' AS reason, 'many' AS value FROM n WHERE k = 1
+          UNION ALL SELECT unnest(['l_linestatus', 'l_shipdate']), 'missing', NULL FROM n WHERE k = 2
+          UNION ALL SELECT NULL, 'surplus', 'x|y' FROM n WHERE k = 3
+          UNION ALL SELECT NULL, 'loaded whole', NULL FROM n WHERE k NOT IN (1, 2, 3))
+    SELECT "column", reason, value, count(*) AS lines FROM r GROUP BY ALL"""
+
+SQL["stream_sessions"] = f"""
+    WITH {_sessions_cte(3600 * 10**6)}
+    SELECT u AS user_id, CAST(sn AS BIGINT) AS session_no, min(t) AS first_us, max(t) AS last_us, count(*) AS clicks
+    FROM s GROUP BY u, sn"""
