@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from basketry.llm.common import saved, slices, utf8
 
 SAMPLE_ROWS = 400      # labelled rows fitted on, per language (expected number)
-SAMPLE_CHARS = 20_000  # of each of them
+LANGUAGES = 256        # labels that are languages, at most (1 MB of table each)
+EQUAL, UNSEEN = 1e5, 0.02  # trigrams that a language counts as, and those of one never seen
+OTHER = 0.05           # prior of no language
 TEMPER = 0.3
 ALPHA = 5.0
 LEAST = 0.5            # posterior below which a row is rejected
@@ -36,6 +38,7 @@ _CODE = np.zeros(256, np.int32)
 for _b in range(26):
     _CODE[97 + _b] = _CODE[65 + _b] = _b + 1
 _CODE[128:] = 27 + np.arange(128) % 37
+_LETTER_TRIGRAMS = 64.0 ** 3
 
 
 def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,28 +55,49 @@ def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return t, np.concatenate([[0], np.cumsum(c > 0)])
 
 
+def _counts(batches):
+    """Sums of the trigrams of whole texts, by label: (l, t, c)."""
+    sums: dict[str, np.ndarray] = {}
+    for part in slices(batches):
+        data, offs = utf8(part.column(0))
+        t, _ = _trigrams(data, offs)
+        for i, label in enumerate(part.column(1).to_pylist()):
+            if label not in sums:
+                sums[label] = np.zeros(1 << 18, np.int64)
+            np.add.at(sums[label], t[offs[i]:offs[i + 1]], 1)
+    for label, c in sums.items():
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["l", "t", "c"])
+
+
 def fit(docs: DataFrame, label: str = "lang", text: str = "text", doc_id: str = "doc_id",
         rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their table of trigram log likelihoods, fitted on about
-    ``rows`` rows of each label, chosen by a hash of the id."""
-    d = docs.select(F.col(f"`{label}`").alias("l"), F.col(f"`{text}`").alias("t"),
+    ``rows`` whole texts of each label, chosen by a hash of the id. The last row
+    of the table is no language: every trigram is equally likely there, so text
+    in a language or script without labels, or noise, finds more of its trigrams
+    there than in any language. Languages count alike however much text each has;
+    at most ``LANGUAGES`` labels, the most frequent, are languages."""
+    d = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").alias("l"),
                     F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(1_000_000)).alias("h"))
     d = d.where("l is not null and t is not null")
-    counts = {r["l"]: r["count"] for r in d.groupBy("l").count().collect()}
+    counts = {r["l"]: r["count"] for r in d.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(LANGUAGES).collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, 1 << 18), np.float32)
     pick = F.lit(False)
     for name in langs:
         pick = pick | ((F.col("l") == name) & (F.col("h") < int(1e6 * min(1.0, rows / counts[name])) + 1))
-    seen = np.full((len(langs), 1 << 18), 0.02)
-    for r in d.where(pick).select("l", F.substring("t", 1, SAMPLE_CHARS).alias("t")).toLocalIterator():
-        data = np.frombuffer(r["t"].encode("utf-8", "replace"), np.uint8)
-        t, _ = _trigrams(data, np.array([0, len(data)], np.int64))
-        seen[langs.index(r["l"])] += np.bincount(t, minlength=1 << 18)
-    seen[:, 0] = 0.02
-    table = np.log(seen / seen.sum(1, keepdims=True))
-    table -= table.mean(0)
+    found = d.where(pick).select("t", "l").mapInArrow(_counts, "l string, t long, c long").groupBy("l", "t").agg(F.sum("c").alias("c"))
+    seen = np.zeros((len(langs), 1 << 18))
+    for r in found.toArrow().to_batches():  # at most languages x trigrams, whatever the rows
+        which = np.array([langs.index(x) for x in r.column(0).to_pylist()], np.int64)
+        seen[which, r.column(1).to_numpy()] = r.column(2).to_numpy()
+    seen[:, 0] = 0
+    size = seen.sum(1, keepdims=True)
+    share = (seen * (EQUAL / np.maximum(size, 1)) + UNSEEN) / (EQUAL * (size > 0) + UNSEEN * seen.shape[1])
+    table = np.log(np.vstack([share, np.full(seen.shape[1], 1 / _LETTER_TRIGRAMS)]))
+    table -= table[:-1].mean(0)
     table[:, 0] = 0
     return langs, table.astype(np.float32)
 
@@ -113,8 +137,12 @@ def _rows(col: pa.Array, n: int) -> np.ndarray:
 
 
 def _text_posterior(letters: np.ndarray, ll: np.ndarray) -> np.ndarray:
-    """Uniform for rows without a letter."""
-    return _softmax(np.where(letters[:, None] > 0, ll * TEMPER, 0.0))
+    """Of the languages, beside that of no language (last in ``ll``); uniform for
+    rows without a letter."""
+    n = ll.shape[1] - 1
+    scores = ll * TEMPER
+    scores[:, -1] += np.log(OTHER * n)
+    return np.where(letters[:, None] > 0, _softmax(scores)[:, :-1], 1.0 / n)
 
 
 def _fuse(langs: list[str], every: np.ndarray, carry: int):
@@ -129,52 +157,62 @@ def _fuse(langs: list[str], every: np.ndarray, carry: int):
                 continue
             col = b.columns[carry:]
             present = {k: c.to_numpy(zero_copy_only=False).astype(bool)[:, None] for k, c in zip("sm", col[:2])}
-            letters, ll = col[2].to_numpy(), _rows(col[3], n)
+            letters, ll = col[2].to_numpy(), _rows(col[3], n + 1)
             own = _text_posterior(letters, ll)
             left = {k: np.maximum(_rows(c, n) - own, 0.0) for k, c in zip("hdsm", col[4:])}
             all_rows = np.maximum(every - own, 0.0)
             prior = (all_rows + 1.0) / (all_rows.sum(1, keepdims=True) + n)
             for k in "dh":
                 prior = (left[k] + ALPHA * prior) / (left[k].sum(1, keepdims=True) + ALPHA)
-            score = np.where(letters[:, None] > 0, ll * TEMPER, 0.0) + np.log(prior)
+            known = letters > 0
+            score = np.where(known[:, None], ll[:, :-1] * TEMPER, 0.0) + np.log(prior)
+            none = np.where(known, ll[:, -1] * TEMPER, -np.inf) + np.log(OTHER)
             for k in "sm":
                 score += np.where(present[k], np.log((left[k] + 0.5) / (all_rows + 5.0)), 0.0)
-            post = _softmax(score)
-            known = letters > 0
-            text_best = pa.array(ll.argmax(1), mask=~known)
+                # without a language a value is as likely as it is over all rows
+                whole = np.log((left[k].sum(1) + 0.5) / (all_rows.sum(1) + 5.0))
+                none += np.where(present[k][:, 0], whole, 0.0)
+            post = _softmax(np.column_stack([score, none]))[:, :-1]
+            text_best = pa.array(ll[:, :-1].argmax(1), mask=~known)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:carry], names.take(pa.array(post.argmax(1))), pa.array(post.max(1)),
                  names.take(text_best), pa.array(known & (post.max(1) >= LEAST))],
-                [*b.schema.names[:carry], "language", "confidence", "text_language", "accepted"])
+                [*b.schema.names[:carry], *ADDED])
     return run
 
 
+ADDED = ("language", "confidence", "text_language", "accepted")
+
+
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool = False) -> DataFrame:
     """``rows``: ``text, host, domain, suffix, declared`` (strings, null: no
     evidence) and any columns to carry. Adds ``language`` (null if none),
-    ``confidence``, ``text_language``, ``accepted``; drops ``text``.
-
-    A row without a letter, or with a posterior below ``LEAST``, is not
-    accepted. Null and empty texts have no letters. Equal posteriors: the
-    language that comes first by name. Repeated rows count each. Without any
-    labelled row there are no languages and nothing is accepted.
+    ``confidence``, ``text_language``, ``accepted``; drops ``text``. A carried
+    column that is named like an added one gives way to it; all other names are
+    free.
+
+    A row without a letter, or with a posterior below ``LEAST`` (no language is a
+    hypothesis, too), is not accepted. Null and empty texts have no letters.
+    Equal posteriors: the language that comes first by name. Repeated rows count
+    each. Texts are read whole. Without any labelled row there are no languages
+    and nothing is accepted.
     """
     langs, table = model
-    carry = [c for c in rows.columns if c != "text"]
-    r = rows.select(F.coalesce("text", F.lit("")).alias("text"), *carry)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema.fields[1:])
+    names = [c for c in rows.columns if c != "text" and c not in ADDED]
     if not langs:
-        return r.drop("text").withColumns({
-            "language": F.lit(None).cast("string"), "confidence": F.lit(0.0),
-            "text_language": F.lit(None).cast("string"), "accepted": F.lit(False)})
+        return rows.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"),
+                           F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"))
+    carry = [f"__c{i}" for i in range(len(names))]  # no name of a row's own can clash
+    r = rows.select(F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(names, carry)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema.fields[1:])
     scored = r.mapInArrow(_likelihoods(table, markup), f"{schema}, letters long, ll array<double>")
-    n = range(len(langs))
     keys = ["host", "domain", "suffix", "declared"]
-    scored = saved(scored.withColumns({f"__{k}": F.coalesce(F.col(k), F.lit("")) for k in keys}), "likelihoods")
+    scored = saved(scored.withColumns({f"__{k}": F.coalesce(F.col(carry[names.index(k)]), F.lit("")) for k in keys}), "likelihoods")
     keys = [f"__{k}" for k in keys]
+    n = range(len(langs))
     # The text posterior of a row, as in _text_posterior.
     top = F.array_max("ll")
-    e = F.transform("ll", lambda v: F.exp((v - top) * TEMPER))
+    e = F.transform("ll", lambda v, i: F.exp((v - top) * TEMPER) * F.when(i == len(langs), OTHER * len(langs)).otherwise(1.0))
     total = F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
     p = F.when(F.col("letters") > 0, F.transform(e, lambda v: v / total)).otherwise(
         F.array_repeat(F.lit(1.0 / len(langs)), len(langs)))
@@ -192,8 +230,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool
         *carry, (F.col("__suffix") != "").alias("has_s"), (F.col("__declared") != "").alias("has_m"), "letters", "ll",
         "__h", "__d", "__s", "__m")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[:len(carry)])
-    return x.mapInArrow(_fuse(langs, every, len(carry)), f"{schema}, language string, confidence double, "
-                        "text_language string, accepted boolean")
+    out = x.mapInArrow(_fuse(langs, every, len(carry)), f"{schema}, language string, confidence double, "
+                       "text_language string, accepted boolean")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(names, carry)], *ADDED)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
