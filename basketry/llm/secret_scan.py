@@ -1,15 +1,18 @@
 """Secret scan: patterns for the base findings, and a character convolutional
 network in numpy over every other candidate with its surrounding context.
 
-A candidate is a whole run of 16 or more of ``A-Za-z0-9+/_.=-`` with a digit
-and a letter that no base finding touches. The network sees 24 characters
-before it, its characters (the first and the last 24 of longer ones, besides
-length, digit share and entropy of the whole run) and 24 after it: fixed
-character features, one convolution of width 5, maximum over positions, a dense
-layer. It is trained on labelled findings generated by rule (``labelled``),
-calibrated on others by a logistic curve, and used with the highest threshold
-that keeps ``RECALL`` of the calibration set's secrets. Training takes seconds
-on the driver; the weights are some kilobytes in the tasks' closure.
+A candidate is what base findings leave of a run of ``A-Za-z0-9+/_.=-``, if that
+is 16 characters or more, or 10 or more and not made of plain words (letters in
+one case, or capitalised, between signs). The network slides over the whole
+candidate in windows of ``INSIDE`` characters; it sees the window, 24
+characters before and after it, and its length, digits, entropy and slashes:
+fixed character features, one convolution of width 5, maximum over positions, a
+dense layer. A span is a candidate of one window, or the windows in a row that
+pass. The network is trained on labelled findings generated by rule
+(``labelled``), calibrated on others by a logistic curve, and used with the
+highest threshold that keeps ``RECALL`` of the calibration set's secrets.
+Training takes seconds on the driver; the weights are some kilobytes in the
+tasks' closure.
 """
 
 from __future__ import annotations
@@ -37,7 +40,9 @@ _ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{10,}")
+_PLAIN = re.compile(r"[+/_.=-]*(?:(?:[A-Z]?[a-z]*|[A-Z]+)(?:[+/_.=-]+|$))*")
+SHORT, ANY = 10, 16  # lengths from which a run that isn't plain words, and any run, is judged
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 
@@ -50,16 +55,32 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs to judge: those with a digit and a letter that no base finding touches."""
-    out = []
+    """Parts of runs to judge: what base findings leave of each."""
+    out, k = [], 0
+    order = sorted((a, z) for a, _, z in taken)
     for m in _RUN.finditer(text):
-        run, s, e = m[0], m.start(), m.end()
-        if any("0" <= c <= "9" for c in run) and any(c.isalpha() for c in run) \
-                and not any(a < e and s < z for a, _, z in taken):
-            out.append((s, e))
+        at, end = m.start(), m.end()
+        while k < len(order) and order[k][1] <= at:
+            k += 1
+        j = k
+        while at < end:
+            while j < len(order) and order[j][1] <= at:
+                j += 1
+            stop = min(end, max(at, order[j][0])) if j < len(order) else end
+            if stop - at >= ANY or stop - at >= SHORT and not _PLAIN.fullmatch(text, at, stop):
+                out.append((at, stop))
+            at = order[j][1] if stop < end else end
     return out
 
 
+def windows(s: int, e: int) -> list[tuple[int, int]]:
+    """Stretches of a candidate that the network judges: all of it, the longer ones
+    half over each other."""
+    if e - s <= INSIDE:
+        return [(s, e)]
+    return [(a, a + INSIDE) for a in [*range(s, e - INSIDE, INSIDE // 2), e - INSIDE]]
+
+
 # -- network ----------------------------------------------------------------
 
 def _features() -> np.ndarray:
@@ -77,18 +98,16 @@ _CHAR = _features()
 
 
 def encode(text: str, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes (129: padding) with a mark for those of the candidate, and
-    features of the whole run."""
-    run = text[s:e]
-    inside = run if len(run) <= INSIDE else run[:INSIDE // 2] + run[-INSIDE // 2:]
-    before, after = text[max(0, s - CONTEXT):s], text[e:e + CONTEXT]
+    """Character codes of a window and its context (129: padding), and features of
+    the window as a whole."""
+    run, before, after = text[s:e], text[max(0, s - CONTEXT):s], text[e:e + CONTEXT]
     codes = np.full(LENGTH, 129, np.int16)
-    for at, part in ((CONTEXT - len(before), before), (CONTEXT, inside), (CONTEXT + INSIDE, after)):
-        codes[at:at + len(part)] = [min(ord(c), 128) for c in part]
+    for at, part in ((CONTEXT - len(before), before), (CONTEXT, run), (CONTEXT + INSIDE, after)):
+        codes[at:at + len(part)] = np.minimum(np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32), 128)
     n = len(run)
     p = np.bincount(np.frombuffer(run.encode(), np.uint8)) / n
     p = p[p > 0]
-    whole = np.array([np.log(n), sum(c.isdigit() for c in run) / n, -(p * np.log2(p)).sum(), run.count("/") / n])
+    whole = np.array([np.log(n), sum(map(run.count, string.digits)) / n, -(p * np.log2(p)).sum(), run.count("/") / n])
     return codes, whole
 
 
@@ -114,7 +133,7 @@ def logits(w: dict, codes: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.concatenate([_forward(w, codes[i:i + 512], whole[i:i + 512])[-1] for i in range(0, len(codes), 512)])
 
 
-def train(seed: int = 11, epochs: int = 5, rows: int = 4000) -> dict:
+def train(seed: int = 11, epochs: int = 6, rows: int = 8000) -> dict:
     """Weights, calibration (``scale``, ``shift``) and ``threshold``."""
     rng = np.random.default_rng(seed)
     codes, whole, y = labelled(rng, rows)
@@ -186,7 +205,9 @@ def labelled(rng: np.random.Generator, rows: int):
         key = pick([lambda: chars(letters, n), lambda: base64.b64encode(rng.bytes(n * 3 // 4)).decode(),
                     lambda: pick(["sk-", "ghp_", "xoxb-", "pk_live_", "glpat-"]) + chars(letters, n),
                     lambda: "eyJ" + chars(letters, 20) + "." + chars(letters, n) + "." + chars(letters, 24),
-                    lambda: chars(string.ascii_uppercase + string.digits, n)])()
+                    lambda: chars(string.ascii_uppercase + string.digits, n), lambda: chars(string.ascii_letters, n),
+                    lambda: chars(letters, int(rng.integers(10, 16)) - 1) + chars(string.digits, 1),
+                    lambda: chars("0123456789abcdef", 10 + n // 4), lambda: chars(string.ascii_lowercase + string.digits, n)])()
         return key, pick([f"{prose(2)} {pick(['key', 'auth', 'credential', 'private_key', 'access'])}{pick([' = ', '=', ': '])}",
                           "Authorization: Bearer ", f"export {word().upper()}_KEY=", f"{prose(3)} ", f'"{word()}": "',
                           f"curl -u {word()}:", f"https://{word()}:"]), pick([" " + prose(3), '"', "\n" + prose(2), "@" + word() + ".com"])
@@ -200,13 +221,38 @@ def labelled(rng: np.random.Generator, rows: int):
                     lambda: "".join(word() for _ in range(4)) + chars("0123456789", 1),
                     lambda: ".".join(chars("0123456789", 3) for _ in range(5)) + "-rc" + chars("0123456789", 1),
                     lambda: chars("0123456789", 18) + "x", lambda: "=" * 14 + word() + chars("0123456789", 2) + "=" * 6])()
-        return run.ljust(16, "0"), pick([prose(4) + " ", "id ", "see ", "file ", "(", "version ", "on "]), pick([" " + prose(3), ")", ".\n" + prose(2)])
+        if rng.random() < 0.3:
+            run = pick([lambda: "-".join(word() for _ in range(n + 4)), lambda: "".join(word() for _ in range(9)), lambda: pick("=-._") * (20 + n),
+                        lambda: "".join(word() for _ in range(9)).upper(), lambda: f"{word()}.{word()}.com/{word()}/{word()}?".rstrip("?"),
+                        lambda: word() + str(int(rng.integers(1000, 9999999))), lambda: word() + "_" + word() + "_" + word(),
+                        lambda: chars("0123456789", 10 + n), lambda: word().title() + word().title() + word().title()])()
+        return run.ljust(SHORT, "0"), pick([prose(4) + " ", "id ", "see ", "file ", "(", "version ", "on "]), pick([" " + prose(3), ")", ".\n" + prose(2)])
+
+    def inner():
+        """A path with or without a secret in it: the window shows a part of both."""
+        path = [pick(["/", ".", "-", "_", "="]).join(word() for _ in range(int(rng.integers(12, 20)))) for _ in range(2)]
+        key = secret()[0] if rng.random() < 0.5 else ""
+        sign = pick("/=.-_")
+        run = path[0] + (sign + key + sign if key else sign) + path[1]
+        at = len(path[0]) + 1
+        if key:  # at least 16 characters of it, or all
+            part = min(16, len(key))
+            s = int(rng.integers(max(0, at + part - INSIDE), at + len(key) - part + 1))
+        else:
+            s = int(rng.integers(0, max(1, len(run) - INSIDE)))
+        return prose(3) + " ", run, s, bool(key)
 
     codes, whole, y = [], [], np.zeros(rows)
     for i in range(rows):
-        y[i] = rng.random() < 0.5
-        run, before, after = (secret if y[i] else harmless)()
-        c, f = encode(before + run + after, len(before), len(before) + len(run))
+        if rng.random() < 0.25:
+            before, run, s, y[i] = inner()
+            c, f = encode(before + run + " " + prose(2), len(before) + s, len(before) + min(len(run), s + INSIDE))
+        else:
+            y[i] = rng.random() < 0.5
+            run, before, after = (secret if y[i] else harmless)()
+            # a longer one is seen through one of its windows
+            s, e = pick(windows(len(before), len(before) + len(run)))
+            c, f = encode(before + run + after, s, e)
         codes.append(c)
         whole.append(f)
     return np.array(codes), np.array(whole), y
@@ -216,23 +262,26 @@ def labelled(rng: np.random.Generator, rows: int):
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in string.ascii_letters + string.digits + "+/_.=-"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
+_UPPER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_UPPER[65:91] = True
+_SIGN[[ord(c) for c in string.digits + "+/_.=-"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def _suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Rows that can hold a finding: a run of 16 with a digit or of 20, or one
-    of the words that an assignment starts with."""
+    """Rows that can hold a finding: a run of ``ANY`` characters, one of ``SHORT``
+    that isn't a word in one case or capitalised, or one of the words that an
+    assignment starts with."""
     mask = np.zeros(len(data) + 2, np.int8)
     mask[1:-1] = _TOKEN[data]
     step = np.diff(mask)
     s, e = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    long = e - s >= 16
+    long = e - s >= SHORT
     s, e = s[long], e[long]
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int32)])
-    s = s[(e - s >= 20) | (digits[e] > digits[s])]
+    signs, uppers = (np.concatenate([[0], np.cumsum(k[data], dtype=np.int64)]) for k in (_SIGN, _UPPER))
+    inner = uppers[e] - uppers[s + 1]
+    s = s[(e - s >= ANY) | (signs[e - 1] > signs[s]) | ((inner > 0) & (inner < e - s - 1))]
     # A run may span rows that touch; the rows from its start to its end count.
     at = [np.searchsorted(offs, s, side="right") - 1]
     inner = offs[1:-1]
@@ -259,22 +308,32 @@ def _scan(w: dict):
             data, offs = utf8(part.column(0))
             n = part.num_rows
             found: dict[int, list] = {}
-            codes, whole, where = [], [], []
+            extra: dict[int, list] = {}
+            held: list[tuple] = []  # (row, candidate, window, codes, features)
+
+            def judge():
+                if not held:
+                    return
+                p = probability(w, logits(w, np.array([h[3] for h in held]), np.array([h[4] for h in held])))
+                for (i, _, (s, e), _, _), v in zip(held, p.tolist()):
+                    if v >= w["threshold"]:
+                        spans = extra.setdefault(i, [])
+                        if spans and spans[-1][2] >= s:  # windows in a row are one span
+                            spans[-1] = (spans[-1][0], 3, e)
+                        else:
+                            spans.append((s, 3, e))
+                held.clear()
+
             raw = data.tobytes()
             for i in _suspects(data, offs).tolist():
                 text = raw[offs[i]:offs[i + 1]].decode("utf-8", "replace")
                 base = found[i] = base_findings(text)
-                for s, e in candidates(text, base):
-                    c, f = encode(text, s, e)
-                    codes.append(c)
-                    whole.append(f)
-                    where.append((i, s, e))
-            extra: dict[int, list] = {}
-            if where:
-                p = probability(w, logits(w, np.array(codes), np.array(whole)))
-                for (i, s, e), v in zip(where, p.tolist()):
-                    if v >= w["threshold"]:
-                        extra.setdefault(i, []).append((s, 3, e))
+                for c in candidates(text, base):
+                    for s, e in windows(*c):
+                        held.append((i, c, (s, e), *encode(text, s, e)))
+                        if len(held) >= 4096:
+                            judge()
+            judge()
             counts = np.zeros((4, n), np.int64)
             digest, spans = [none] * n, [""] * n
             for i in found:

@@ -73,3 +73,63 @@ def test_network_adds_spans(spark, docs_of, model):
 
 def test_gradients_train(model):
     assert 0 < model["threshold"] <= 1 and model["scale"] > 0
+
+
+def spans_of(spark, docs_of, model, texts):
+    got = {r.doc_id: r.spans for r in S.scan(docs_of(list(enumerate(texts))), model).collect()}
+    return [[(k, int(s), int(e)) for k, s, e in (x.split(":") for x in got[i].split(",") if x)] for i in range(len(texts))]
+
+
+def test_secrets_that_no_rule_sets_apart(spark, docs_of, model):
+    """Letters alone, ten characters, what stands after a base finding, and the
+    middle of a long run are all judged."""
+    letters = "qWzXvKpLmRtYbNcGhJdFsQwErTyUiO"
+    short = "x7Kp2Qv9Zr"
+    ghp = "ghp_aB3dE5gH7jK9mN1pQ3sT5vW7xY9zA1bC"
+    second = "AKIA" + "QWERTYUIOPASDFGH" + "/" + "wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLE8kEy"
+    path = "/".join(["kalo", "mitre", "sunver", "entising", "share", "oroude", "lache", "momika"] * 2)
+    texts = [f"Authorization: Bearer {letters} on", f'private_key: "{short}" ka', f"kalo {second} mi", f"see {path}/{ghp}/{path} end",
+             "ka lo mitre " * 40, f"see {path} end"]
+    got = spans_of(spark, docs_of, model, texts)
+    for i, key in ((0, letters), (1, short), (3, ghp)):
+        at = texts[i].index(key)
+        assert any(k == "cnn" and s <= at + len(key) // 2 < e for k, s, e in got[i]), (i, got[i])
+    at = texts[2].index("wJalr")
+    assert any(k == "access" for k, _, _ in got[2]) and any(k == "cnn" and s <= at + 4 and e >= at + 30 for k, s, e in got[2]), got[2]
+    assert got[4] == [] and got[5] == []
+
+
+def test_recall_from_the_text_on(spark, docs_of, model):
+    """Candidates, windows and network together, on findings made by another rule."""
+    rng = np.random.default_rng(3)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    keys = ["".join(rng.choice(alphabet, rng.integers(20, 60))) for _ in range(300)]
+    got = spans_of(spark, docs_of, model, [f"ka lo auth_key = {k} mitre sun" for k in keys])
+    found = sum(any(s < 17 + len(k) and e > 17 for _, s, e in g) for g, k in zip(got, keys))
+    assert found >= 0.96 * len(keys)
+
+
+def test_candidates_are_what_base_findings_leave():
+    text = "AKIA" + "A1" * 8 + "/" + "b" * 20 + " token=abcdef=" + "c" * 16 + " Nevertheless plain-words. x7Kp2Qv9Zr"
+    base = S.base_findings(text)
+    parts = [text[s:e] for s, e in S.candidates(text, base)]
+    assert parts == ["/" + "b" * 20, "x7Kp2Qv9Zr"]
+    covered = {k for s, e in S.windows(5, 5 + 1000) for k in range(s, e)}
+    assert covered == set(range(5, 1005))
+
+
+def test_network_equals_a_plain_convolution(model):
+    codes, whole, _ = S.labelled(np.random.default_rng(8), 12)
+    table = np.vstack([S._CHAR, np.zeros((1, S._CHAR.shape[1]))])
+    for c, f, z in zip(codes, whole, S.logits(model, codes, whole)):
+        x = [[*table[k]] for k in c]
+        for i in range(S.CONTEXT, S.CONTEXT + S.INSIDE):
+            x[i][15] = 1.0
+        top = []
+        for j in range(S.FILTERS):
+            best = max(sum(v * w for v, w in zip(sum(x[i:i + S.WIDTH], []), model["conv"][:, j])) + model["conv_b"][j]
+                       for i in range(S.LENGTH - S.WIDTH + 1))
+            top.append(max(best, 0.0))
+        h = np.array([*top, *((f - model["mean"]) / model["sd"])])
+        hid = np.maximum(h @ model["one"] + model["one_b"], 0)
+        assert abs(hid @ model["two"] + model["two_b"] - z) < 1e-2
