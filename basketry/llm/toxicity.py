@@ -64,44 +64,46 @@ def vocabulary(text: bytes) -> list[bytes]:
     return list(dict.fromkeys(words_of(text)))
 
 
-def _distinct(docs: list[list[bytes]]) -> list[list[bytes]]:
-    """Vocabularies of texts that aren't copies of earlier ones (at most a fifth
-    of their triples seen before)."""
+def _weighted(docs: list[list[bytes]]) -> list[tuple[list[bytes], float]]:
+    """Vocabularies with the share of them that is new: of a text's triples (of
+    shorter ones: the whole), those that no earlier text holds. Copies repeat
+    evidence without adding any; no text is left out."""
     seen: set = set()
     out = []
     for w in docs:
-        g = list(zip(w, w[1:], w[2:]))
-        if not g or sum(x in seen for x in g) > 0.2 * len(g):
-            continue
-        seen.update(g)
-        out.append(w)
+        g = set(zip(w, w[1:], w[2:])) or {tuple(w)}
+        out.append((w, len(g - seen) / len(g)))
+        seen |= g
     return out
 
 
-def _beginnings(docs: list[list[bytes]]) -> Counter:
+def _beginnings(docs: list[tuple[list[bytes], float]]) -> Counter:
+    """Weight of the texts that hold each beginning."""
     f: Counter = Counter()
-    for words in docs:
-        f.update({w[:k] for w in words for k in range(4, len(w) + 1)})
-        f.update(w + b" " for w in words if len(w) < 4)
+    for words, weight in docs:
+        if weight > 0:
+            for p in {w[:k] for w in words for k in range(4, len(w) + 1)} | {w + b" " for w in words if len(w) < 4}:
+                f[p] += weight
     return f
 
 
 def train_dictionaries(toxic: list, ordinary: list) -> tuple[bytes, bytes]:
     """Contents of the toxic and the ordinary dictionary, from texts or their
     vocabularies."""
-    tox, other = (_distinct([vocabulary(t) if isinstance(t, bytes) else t for t in side]) for side in (toxic, ordinary))
+    tox, other = (_weighted([vocabulary(t) if isinstance(t, bytes) else t for t in side]) for side in (toxic, ordinary))
     ft, fo = _beginnings(tox), _beginnings(other)
-    share = len(tox) / max(1, len(tox) + len(other))
+    n_tox, n_other = (max(sum(x for _, x in side), 1e-9) for side in (tox, other))
+    share = n_tox / (n_tox + n_other)
     telling: list[bytes] = []
     for p in sorted((p for p, n in ft.items() if n > 3), key=lambda p: (len(p), p)):
         n, m = ft[p], fo.get(p, 0)
-        lift = (n / len(tox)) / ((m + 0.5) / (len(other) + 1))
+        lift = (n / n_tox) / ((m + 0.5) / (n_other + 1))
         if lift > LIFT and not p.startswith(tuple(telling)):
             if n * np.log(n / (share * (n + m))) + (m and m * np.log(m / ((1 - share) * (n + m)))) > EVIDENCE:
                 telling.append(p)
     starts = tuple(telling)
-    words = Counter(w for d in tox for w in d if starts and (w + b" ").startswith(starts))
-    common = [w for w, _ in Counter(w for d in other for w in d).most_common(1500)] or [b"...."]
+    words = Counter(w for d, _ in tox for w in d if starts and (w + b" ").startswith(starts))
+    common = [w for w, _ in Counter(w for d, _ in other for w in d).most_common(1500)] or [b"...."]
     a, b, k = [], [], 0
     for w in sorted(words, key=lambda w: (words[w], w)):
         n = min(len(w), max(len(p) for p in telling if (w + b" ").startswith(p)))
