@@ -108,25 +108,31 @@ SQL = {
         SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN slot.slot ELSE -1 END AS first_slot
         FROM k LEFT JOIN slot ON slot.source IS NOT DISTINCT FROM k.source AND slot.rank = k.off // 64""",
     "op10_revisit_resolution": r"""
-        WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS d0, length(coalesce(html, '')) AS n FROM pages),
+        WITH p AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'https://portal.example/?ref=' || page_id ELSE url END AS url,
+                     md5(coalesce(html, '')) AS d0, length(coalesce(html, '')) AS n FROM pages),
         v AS (SELECT p.*, k, (k = 0 AND page_id % 13 <> 0) OR (k = 2 AND page_id % 3 = 0) AS is_full,
                 CASE WHEN page_id % 3 = 0 AND k >= 2 THEN reverse(d0) ELSE d0 END AS d,
-                1704067200 + k * 86400 + page_id * 7919 % 86400 AS ts, page_id * 4 + k AS record_id,
+                1704067200 + k * 86400 + page_id * 7919 % 86400 AS ts, page_id * 64 + k AS record_id,
                 regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', 1) AS h,
                 regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', 2) AS pa,
                 regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', 3) AS q
-              FROM p, (SELECT unnest([0, 1, 2, 3]) AS k)),
+              FROM (SELECT *, unnest(range(3 + page_id % 3 + CASE WHEN page_id % 97 = 0 THEN 40 ELSE 0 END)) AS k FROM p) p),
         u AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 11 = 0 AND k = 3 THEN '"stale"'
                   ELSE '"' || substr(d, 1, 16) || '"' END AS etag,
+                CASE WHEN page_id % 14 = 0 THEN CASE WHEN page_id % 5 = 0 AND k = 3 THEN 'stale' ELSE 'm' || substr(d, 1, 8) END END AS lm,
+                CASE WHEN is_full OR page_id % 4 = 1 THEN d WHEN page_id % 4 = 3 AND k = 1 THEN upper(d) END AS dg,
                 regexp_replace(regexp_replace(regexp_replace(lower(h), '^.*@', ''), ':(80|443)?$', ''), '^www\.', '')
                   || regexp_replace(pa, '/+$', '') AS bare,
                 array_to_string(list_sort([x FOR x IN string_split(q, '&') IF x <> ''
                   AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')]), '&') AS qs FROM v),
         c AS (SELECT *, bare || CASE WHEN qs <> '' THEN '?' || qs ELSE '' END AS url_key FROM u),
-        a AS (SELECT *, last_value(CASE WHEN is_full THEN {'id': record_id, 'etag': etag, 'n': n} END IGNORE NULLS) OVER (
+        a AS (SELECT *, last_value(CASE WHEN is_full THEN {'id': record_id, 'etag': etag, 'lm': lm, 'dg': dg, 'n': n, 'ts': ts} END IGNORE NULLS) OVER (
                 PARTITION BY url_key ORDER BY ts, is_full, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c),
-        o AS (SELECT *, CASE WHEN r IS NULL THEN 'no_response' WHEN etag IS NULL OR r.etag IS NULL THEN 'unverified'
-                WHEN etag = r.etag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM a WHERE NOT is_full)
+        m AS (SELECT *, CASE WHEN etag IS NOT NULL AND r.etag IS NOT NULL THEN etag = r.etag
+                  WHEN lm IS NOT NULL AND r.lm IS NOT NULL THEN lm = r.lm
+                  WHEN dg IS NOT NULL AND r.dg IS NOT NULL THEN dg = r.dg END AS same FROM a WHERE NOT is_full),
+        o AS (SELECT *, CASE WHEN r IS NULL THEN 'no_response' WHEN dg <> r.dg OR NOT same THEN 'validator_mismatch'
+                WHEN same IS NULL THEN 'unverified' ELSE 'resolved' END AS outcome FROM m)
         SELECT record_id, url_key, CASE WHEN outcome IN ('resolved', 'unverified') THEN r.id END AS refers_to, outcome,
           CASE WHEN outcome IN ('resolved', 'unverified') THEN 200 END AS status,
           CASE WHEN outcome IN ('resolved', 'unverified') THEN

@@ -112,19 +112,33 @@ def resolve(captures: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    """A capture log derived from ``pages``: four visits a day apart to each
-    page. The first is a full response (a revisit for every 13th page), the
-    third a changed one for every third page, the others revisits; every 11th
-    page's last revisit carries a stale entity tag, and every 7th page has no
-    entity tags. The payloads stay behind."""
-    p = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("d"), F.length(F.coalesce("html", F.lit(""))).alias("n"))
-    v = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    changed = (F.col("page_id") % 3 == 0) & (F.col("k") >= 2)
-    full = ((F.col("k") == 0) & (F.col("page_id") % 13 != 0)) | ((F.col("k") == 2) & (F.col("page_id") % 3 == 0))
+    """A capture log derived from ``pages``: visits a day apart to each page, three
+    to five of them, forty more to every 97th. Every tenth page is reached by an
+    address of one portal, which is one URL but for its tracking parameter.
+
+    The first visit is a full response (a revisit for every 13th page), the third
+    a changed one for every third page, the others revisits. Every 7th page has
+    no entity tags; of those the even ones have modification times, stale at the
+    fourth visit to every fifth page. Every 11th page's fourth visit carries a
+    stale entity tag. Revisits of page 1 of 4 carry the payload's digest, the
+    second visits of page 3 of 4 one that contradicts it. The payloads stay
+    behind."""
+    page, k = F.col("page_id"), F.col("k")
+    url = F.when(page % 10 == 0, F.concat(F.lit("https://portal.example/?ref="), page.cast("string"))).otherwise(F.col("url"))
+    p = pages.select("page_id", url.alias("url"), F.md5(F.coalesce("html", F.lit(""))).alias("d"),
+                     F.length(F.coalesce("html", F.lit(""))).alias("n"))
+    visits = F.lit(2) + F.pmod(page, F.lit(3)) + F.when(page % 97 == 0, 40).otherwise(0)
+    v = p.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), visits.cast("long"))))
+    changed = (page % 3 == 0) & (k >= 2)
+    full = ((k == 0) & (page % 13 != 0)) | ((k == 2) & (page % 3 == 0))
     v = v.withColumn("full", full).withColumn("d", F.when(changed, F.reverse("d")).otherwise(F.col("d")))
-    tag = F.when(F.col("page_id") % 7 == 0, F.lit(None)).when(
-        (F.col("page_id") % 11 == 0) & (F.col("k") == 3), F.lit('"stale"')).otherwise(F.concat(F.lit('"'), F.substring("d", 1, 16), F.lit('"')))
-    v = v.withColumn("etag", tag).withColumn("ts", F.lit(1704067200) + F.col("k") * 86400 + F.col("page_id") * 7919 % 86400)
+    tag = F.when(page % 7 == 0, F.lit(None)).when(
+        (page % 11 == 0) & (k == 3), F.lit('"stale"')).otherwise(F.concat(F.lit('"'), F.substring("d", 1, 16), F.lit('"')))
+    modified = F.when((page % 7 == 0) & (page % 2 == 0), F.when(
+        (page % 5 == 0) & (k == 3), F.lit("stale")).otherwise(F.concat(F.lit("m"), F.substring("d", 1, 8))))
+    seen = F.when(F.col("full") | (page % 4 == 1), F.col("d")).when((page % 4 == 3) & (k == 1), F.upper("d"))
+    v = v.withColumns({"etag": tag, "last_modified": modified, "digest": seen,
+                       "ts": F.lit(1704067200) + k * 86400 + page * 7919 % 86400})
     stamp = F.col("ts").cast("string")
     own = F.when(F.col("full"), F.map_from_arrays(
         F.array(*[F.lit(x) for x in ("Content-Type", "Content-Length", "Server", "Date", "Cache-Control", "ETag")]),
@@ -133,8 +147,8 @@ def captures_of(pages: DataFrame) -> DataFrame:
             F.array(*[F.lit(x) for x in ("Content-Length", "Date", "Cache-Control", "Expires", "X-Cache")]),
             F.array(F.lit("0"), stamp, F.concat(F.lit("max-age="), F.col("k").cast("string")), (F.col("ts") + 60).cast("string"), F.lit("HIT"))))
     return v.select(
-        (F.col("page_id") * 4 + F.col("k")).alias("record_id"), "url", "ts",
+        (F.col("page_id") * 64 + F.col("k")).alias("record_id"), "url", "ts",
         F.when(F.col("full"), "response").otherwise("revisit").alias("kind"),
         F.when(F.col("full"), 200).otherwise(304).alias("status"), "etag",
-        F.lit(None).cast("string").alias("last_modified"), F.when(F.col("full"), F.col("d")).alias("digest"),
+        "last_modified", "digest",
         F.map_filter(own, lambda k, x: x.isNotNull()).alias("headers"))

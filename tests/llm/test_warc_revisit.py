@@ -64,3 +64,22 @@ def test_empty_tables_and_odd_pages(spark):
     assert resolve(spark.createDataFrame([], SCHEMA)).count() == 0
     pages = spark.createDataFrame([(1, None, None), (1, "http://a.b/", ""), (13, "http://a.b/", "x")], "page_id long, url string, html string")
     assert resolve(captures_of(pages)).count() > 0
+
+
+def test_derived_captures_reach_every_validator(spark):
+    """Entity tags, times, digests and their contradictions all decide, and one
+    URL holds far more captures than any other."""
+    c = captures_of(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    revisits = c.where("kind = 'revisit'")
+    assert revisits.where("last_modified is not null and etag is null").count() > 10
+    assert revisits.where("digest is not null").count() > 10 and revisits.where("last_modified = 'stale'").count() > 0
+    outcomes = {r.outcome: r["count"] for r in resolve(c).groupBy("outcome").count().collect()}
+    assert min(outcomes.get(k, 0) for k in ("resolved", "unverified", "validator_mismatch", "no_response")) > 3
+    sizes = sorted(r["count"] for r in c.groupBy(canonical_url(F.col("url"))).count().collect())
+    assert sizes[-1] > 20 * sizes[len(sizes) // 2]
+
+
+def test_carried_names_do_not_clash(spark):
+    rows = [(1, "x://h/p", 1, "response", 200, '"t"', None, "d", {}), (2, "x://h/p", 2, "revisit", 304, '"t"', None, None, {})]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS part", "2 AS resp", "3 AS url_key", "4 AS full", "5 AS r")
+    assert [(r.refers_to, r.outcome) for r in resolve(df).collect()] == [(1, "resolved")]
