@@ -3,8 +3,6 @@ folder, distributed running sums, and views on Arrow text columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import numpy as np
@@ -14,36 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from basketry.session import scratch_path
+
 # Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 # Every white-space run that is not one plain space already.
 SPACES = r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*"
 
-_local_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``, else the
-    checkpoint folder that the application has set. Only a
-    single-process local session (tests) gets a temporary folder instead; on a
-    cluster a missing setting is an error, since a machine-local folder would
-    lose data."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith(("local[", "local")) or \
-            spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="basketry-llm-")
-    return _local_dirs[app]
-
-
 @contextmanager
 def _free_shuffles(spark: SparkSession):
     """Shuffle files of the enclosed writes go as soon as each write ends: the
@@ -59,9 +39,10 @@ def _free_shuffles(spark: SparkSession):
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts
-    the lineage, survives lost executors, and freezes row ids."""
+    the lineage, survives lost executors, and freezes row ids. The caller's
+    ``session.clear_scratch`` deletes what is left once results are written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/basketry-llm/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, f"llm-{name}")
     with _free_shuffles(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

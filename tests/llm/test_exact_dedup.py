@@ -62,3 +62,15 @@ def test_cuts_depend_on_content_only():
     shifted = {b - len(passage) - 777 for b in bounds[first[1]:].tolist()}
     assert len(alone & shifted) > 10
     assert (np.diff(bounds) <= 8192).all()
+
+
+def test_tables_are_cleared_with_the_application(spark, docs_of, tmp_path):
+    import glob
+
+    from basketry.llm.common import saved
+    from basketry.session import clear_scratch, shared_root
+    saved(docs_of([(1, "a")]), "kept-no-longer")
+    found = f"{shared_root(spark).removeprefix('file:')}/basketry-scratch/*/llm-kept-no-longer-*"
+    assert glob.glob(found)
+    clear_scratch(spark)
+    assert not glob.glob(found)
