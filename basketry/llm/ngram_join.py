@@ -21,10 +21,12 @@ built again from the whole texts.
 
 No tile emits all its pairs. Round 1 pairs the three smallest ids of a tile
 with its other members: all pairs of tiles of up to four. Larger tiles come
-again if they hold several components: their bitmaps are compared block by
-block, and a spanning forest of the pairs that pass between components is
-emitted. A tile whose forest the exact test confirms is done; in the others
-every pair between components that the bound lets pass is tested. So any two
+again if they hold several components (of tiles with the same members, one):
+their bitmaps are compared block by block, and a spanning forest of the pairs
+that pass between components is emitted. A tile whose forest the exact test
+confirms is done. The others do the same with bitmaps eight times as wide, which
+let few pairs pass that do not link; where even then a pair is refused, every
+pair between components that the wide bound lets pass is tested. So any two
 documents that link end in one component.
 """
 
@@ -46,6 +48,7 @@ from basketry.llm.shingles import mix64, shingle_sets
 HUBS = 3
 BLOCK = 1024   # rows of one side of a block of a large tile
 PART = 1 << 20  # bytes of text handled at once
+NARROW, WIDE = 2, 16  # bits an element of a signature: of all sets, of those that are left
 SAMPLE = 8192   # distinct documents (about) in which common elements are looked for
 COMMON = 1 << 17  # common elements that come last
 
@@ -90,10 +93,10 @@ def tile_keys(s: np.ndarray, num: int, den: int, common=None) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Signature of at least two bits an element, a power of two wide."""
+def bitmap(s: np.ndarray, room: int = NARROW) -> np.ndarray:
+    """Signature of at least ``room`` bits an element, a power of two wide."""
     bits = 64
-    while bits < 2 * len(s):
+    while bits < room * len(s):
         bits *= 2
     at = np.zeros(bits, np.uint8)
     at[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -129,14 +132,14 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 # -- passes over the texts --------------------------------------------------
 
-def _signatures(k: int):
+def _signatures(k: int, room: int = NARROW):
     def run(batches):
         for part in slices(batches, size=PART):
             sets = shingle_sets(*utf8(part.column(0)), k)
             yield pa.RecordBatch.from_arrays([
                 part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "fp", "bits"])
+                pa.array([bitmap(s, room).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "fp", "bits"])
     return run
 
 
@@ -414,28 +417,39 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     links = found.unionByName(ties.join(low, "doc_id").where("rep <> m").select(F.col("m").alias("a"), F.col("rep").alias("b")))
     comp = saved(components(links), "components")
 
-    for forest in (True, False):
+    signed, widened = reps.select("rep", "n", "bits"), False
+    for last in (False, False, True):
         left = large.join(comp, large["rep"] == comp["id"], "left").select(
             "key", "rep", F.coalesce("component", "rep").alias("comp"))
-        many = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                       F.count(F.lit(1)).alias("c")).where("lo < hi")
+        many = left.groupBy("key").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"),
+            *[F.sum(F.xxhash64(F.lit(i), "rep").cast("decimal(38,0)")).alias(f"m{i}") for i in range(2)]).where("lo < hi")
+        # Tiles of the very same members have the same pairs: one of them will do.
+        many = many.groupBy("c", "m0", "m1").agg(F.min("key").alias("key"))
         left = left.join(many.select("key", F.ceil(F.col("c") / BLOCK).alias("g")), "key").withColumn(
             "block", F.pmod(F.xxhash64("rep"), F.col("g"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        left = left.join(reps.select("rep", "n", "bits"), "rep").select(
+        left = left.join(signed, "rep").select(
             "key", F.least("block", "t").alias("ta"), F.greatest("block", "t").alias("tb"), "block", "rep", "comp", "n", "bits")
         again = left.repartition(parts, "key", "ta", "tb").sortWithinPartitions("key", "ta", "tb", "rep")
-        again = saved(again.mapInArrow(_later_rounds(num, den, forest), "key long, a long, b long"), "passed")
+        again = saved(again.mapInArrow(_later_rounds(num, den, not last), "key long, a long, b long"), "passed")
         if again.isEmpty():
             break
         checked = _verified(texts, again.select("a", "b").distinct(), k, num, den)
         links = links.unionByName(checked.where("ok").select("a", "b"))
         comp = saved(components(links), "components")
-        if not forest:
+        if last:
             break
         refused = saved(again.join(checked.where("not ok"), ["a", "b"], "left_semi").select("key").distinct(), "refused")
         if refused.isEmpty():
             break
         large = saved(large.join(refused, "key", "left_semi"), "tiles")
+        if not widened:
+            widened = True
+            ids = large.select(F.col("rep").alias("doc_id")).distinct()
+            wide = texts.join(ids, "doc_id", "left_semi").select("text", "doc_id").mapInArrow(
+                _signatures(k, WIDE), "doc_id long, n long, fp binary, bits binary")
+            signed = saved(wide.join(reps.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi")
+                           .select(F.col("doc_id").alias("rep"), "n", "bits"), "wide")
     out = members.join(comp, members["rep"] == comp["id"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.coalesce("component", "rep", "doc_id").alias("component_id"))
