@@ -24,7 +24,7 @@ with its other members: all pairs of tiles of up to four. Larger tiles come
 again if they hold several components (of tiles with the same members, one):
 their bitmaps are compared block by block, and a spanning forest of the pairs
 that pass between components is emitted. A tile whose forest the exact test
-confirms is done. The others do the same with bitmaps eight times as wide, which
+confirms is done. The others do the same with bitmaps four times as wide, which
 let few pairs pass that do not link; where even then a pair is refused, every
 pair between components that the wide bound lets pass is tested. So any two
 documents that link end in one component.
@@ -48,7 +48,7 @@ from basketry.llm.shingles import mix64, shingle_sets
 HUBS = 3
 BLOCK = 1024   # rows of one side of a block of a large tile
 PART = 1 << 20  # bytes of text handled at once
-NARROW, WIDE = 2, 16  # bits an element of a signature: of all sets, of those that are left
+NARROW, WIDE = 2, 8  # bits an element of a signature: of all sets, of those that are left
 SAMPLE = 8192   # distinct documents (about) in which common elements are looked for
 COMMON = 1 << 17  # common elements that come last
 
@@ -132,14 +132,15 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 # -- passes over the texts --------------------------------------------------
 
-def _signatures(k: int, room: int = NARROW):
+def _signatures(k: int):
     def run(batches):
         for part in slices(batches, size=PART):
             sets = shingle_sets(*utf8(part.column(0)), k)
             yield pa.RecordBatch.from_arrays([
                 part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([bitmap(s, room).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "fp", "bits"])
+                *[pa.array([bitmap(s, room).tobytes() for s in sets], pa.binary()) for room in (NARROW, WIDE)]],
+                ["doc_id", "n", "fp", "bits", "wide"])
     return run
 
 
@@ -390,13 +391,12 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
-    sets = saved(texts.mapInArrow(_signatures(k), "doc_id long, n long, fp binary, bits binary"), "sets")
+    sets = saved(texts.mapInArrow(_signatures(k), "doc_id long, n long, fp binary, bits binary, wide binary"), "sets")
     nodes = sets.where("n > 0 and doc_id is not null")
     reps = saved(nodes.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                                          F.first("bits").alias("bits")), "reps")
     members = saved(sets.select("doc_id", "n", "fp").join(reps.select("fp", "rep"), "fp", "left")
                     .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "members")
-    dropped(sets)
 
     keys = texts.mapInArrow(_keys(k, num, den, _common(texts, reps, k)), "doc_id long, fp binary, keys array<long>")
     keys = keys.join(reps.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"]).select(
@@ -445,11 +445,9 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         large = saved(large.join(refused, "key", "left_semi"), "tiles")
         if not widened:
             widened = True
-            ids = large.select(F.col("rep").alias("doc_id")).distinct()
-            wide = texts.join(ids, "doc_id", "left_semi").select("text", "doc_id").mapInArrow(
-                _signatures(k, WIDE), "doc_id long, n long, fp binary, bits binary")
-            signed = saved(wide.join(reps.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi")
-                           .select(F.col("doc_id").alias("rep"), "n", "bits"), "wide")
+            left = large.select("rep").distinct().join(reps.select("rep", "fp"), "rep")
+            signed = saved(sets.select(F.col("doc_id").alias("rep"), "fp", "n", F.col("wide").alias("bits"))
+                           .join(left, ["rep", "fp"], "left_semi").drop("fp"), "wide")
     out = members.join(comp, members["rep"] == comp["id"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.coalesce("component", "rep", "doc_id").alias("component_id"))
