@@ -120,3 +120,36 @@ def test_components_of_paths_and_stars(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 160)}, 200: 200, 300: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_common_elements_come_last_and_linked_sets_still_share_a_key():
+    rng = np.random.default_rng(6)
+    passage = np.unique(rng.integers(0, 2 ** 64, 60, dtype=np.uint64))
+    common = (passage, np.full(len(passage), 5, np.int8))
+    for n in (60, 100, 400):
+        own = rng.integers(0, 2 ** 64, n, dtype=np.uint64)
+        x = np.unique(np.concatenate([own, passage]))
+        first = N.prefix(x, 80, 100, common)
+        assert len(first) == len(x) - -(-80 * len(x) // 100) + 1
+        assert not np.intersect1d(first, passage).size  # the passage makes no tile
+        for drop in range(0, n // 8, max(1, n // 40)):
+            y = np.unique(np.concatenate([own[drop:], passage, rng.integers(0, 2 ** 64, drop // 2, dtype=np.uint64)]))
+            if N.linked(x, y, 80, 100):
+                assert np.intersect1d(N.tile_keys(x, 80, 100, common), N.tile_keys(y, 80, 100, common)).size
+
+
+def test_sampled_order_changes_no_result(docs_of, monkeypatch):
+    rows = corpus(11, 40)
+    want = brute(rows, 5, 80, 100)
+    monkeypatch.setattr(N, "COMMON", 3)
+    assert sorted((tuple(r) for r in ngram_components(docs_of(rows), 5, 80, 100).collect()), key=str) == want
+
+
+def test_very_long_texts_and_clashing_columns(docs_of):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long.replace("w500 ", "x ")), (3, " ".join(f"v{i}" for i in range(60_000))), (4, None)]
+    df = docs_of(rows).selectExpr("*", "1 AS rep", "2 AS fp", "3 AS bits", "4 AS key")
+    got = sorted(tuple(r) for r in ngram_components(df, 5, 80, 100).collect())
+    assert [(d, c) for d, _, c in got] == [(1, 1), (2, 1), (3, 3), (4, 4)] and got[0][1] == 59_996
+    kept = one_of_each(df, 5, 80, 100)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
