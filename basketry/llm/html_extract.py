@@ -251,7 +251,8 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
 
     ``text`` holds the blocks of main text in page order, joined by newlines;
     inside a block, references are decoded and white space is one space. Null,
-    empty and text-free pages give an empty text. Repeated rows count each.
+    empty and text-free pages give an empty text. Repeated rows count each. Other
+    columns of ``pages``, whatever their names, play no part.
     """
     rows = pages.select(F.coalesce("html", F.lit("")).alias("html"), "page_id", "url")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])

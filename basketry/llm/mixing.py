@@ -100,7 +100,8 @@ def mix(docs: DataFrame, block_words: int = 64, weights=(5, 2, 1), share: float
     Size counts words, null text 0; a null source is a source of its own. A
     row without words takes part with nothing. Repeated rows count each; equal
     ones may swap places, which no result shows. Every source's taken words
-    are its target, rounded down. No rows: empty results.
+    are its target, rounded down. No rows: empty results. Other columns of ``docs``,
+    whatever their names, play no part.
     """
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
                        word_count(F.col(f"`{text}`")).alias("size"),

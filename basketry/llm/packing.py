@@ -74,7 +74,8 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16384, length: Column
     A batch holds ``budget div bucket_len`` rows; a bucket longer than the
     budget has batches of one row. ``length`` is the tokens of a row (default:
     its words). Null and empty texts have length 0 and still get a place.
-    Repeated rows count each. No rows: empty result.
+    Repeated rows count each. No rows: empty result. Other
+    columns of ``docs``, whatever their names, play no part.
     """
     n = word_count(F.col(f"`{text}`")) if length is None else length
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), n.cast("long").alias("n_tokens"),

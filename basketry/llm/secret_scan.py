@@ -354,7 +354,8 @@ def scan(docs: DataFrame, model: dict | None = None, doc_id: str = "doc_id", tex
     """One row per row of ``docs``: ``doc_id, n_assign, n_access, n_hex, n_cnn,
     base_sha256, spans``. Spans are ``kind:start:end`` in code points, end
     exclusive, by start and then kind; the network's have kind ``cnn``. Null
-    and empty texts have no findings. Repeated rows count each."""
+    and empty texts have no findings. Repeated rows count each. Other columns of
+    ``docs``, whatever their names, play no part."""
     w = model or train()
     rows = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
     return rows.mapInArrow(_scan(w), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, "

@@ -203,7 +203,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     twice counts as toxic if either label is. Null and empty texts have no
     windows and get the score of a text without evidence. Without labels of
     both classes every score is the share of toxic ones (0 without labels). A
-    null id is never held out. Repeated rows get the same score.
+    null id is never held out. Repeated rows get the same score. Other columns of
+    either table, whatever their names, play no part.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id")

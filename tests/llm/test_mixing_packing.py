@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from basketry.llm.mixing import mix, schedule
+from basketry.llm.mixing import mix, mixed_rows, schedule
 from basketry.llm.packing import optimal_bounds, pack
 
 
@@ -102,3 +102,13 @@ def test_first_slots_spread_every_source_over_the_mix(spark, docs_of):
     want = {r.source: r.target for r in rows.select("source", "target").distinct().collect()}
     total = sum(want.values())
     assert all(abs(share[s] - want[s] / total) < 0.05 for s in share), (share, want)
+
+
+def test_columns_with_clashing_names(docs_of):
+    df = docs_of([(1, "a b", "en", "s"), (2, None, "en", None), (1, "a b", "en", "s")]).selectExpr(
+        "*", "1 AS rid", "2 AS bucket", "3 AS cell", "4 AS h", "5 AS size", "6 AS target", "7 AS off", "8 AS slot", "9 AS n_tokens", "10 AS skey")
+    assert sorted((r.doc_id, r.n_tokens) for r in pack(df).collect()) == [(1, 2), (1, 2), (2, 0)]
+    rows, _ = mix(df)
+    assert sorted((r.doc_id, r["size"], r.source_size) for r in rows.collect()) == [(1, 2, 4), (1, 2, 4), (2, 0, 0)]
+    mixed = mixed_rows(df)
+    assert mixed.columns == df.columns and {r.doc_id for r in mixed.collect()} == {1}

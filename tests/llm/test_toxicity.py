@@ -108,3 +108,11 @@ def test_dictionaries_hold_all_telling_words():
     ordinary = [" ".join("".join(rnd.choice(SYL) for _ in range(3)) for _ in range(60)).encode() for _ in range(60)]
     first = train_dictionaries(toxic, ordinary)[0].decode("utf-16-le")
     assert all(f" grumph{e} " in first for e in ends)
+
+
+def test_columns_with_clashing_names(spark, docs_of):
+    docs, labels = corpus(200)
+    plain = spark.createDataFrame(labels, "doc_id long, toxic int")
+    df = docs_of(docs).selectExpr("*", "1 AS toxic", "2 AS tox", "3 AS weight", "4 AS words", "5 AS score", "6 AS top")
+    one = {r.doc_id: r.score for r in toxicity(df, plain.selectExpr("*", "1 AS text", "2 AS quality", "3 AS for_dict")).collect()}
+    assert one == {r.doc_id: r.score for r in toxicity(docs_of(docs), plain).collect()}
