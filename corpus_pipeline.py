@@ -4,7 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one
 before kept; its result is written as Parquet and read again. All stages but
 the last return the columns of ``documents``; extra columns are dropped at the
 start. The last returns a row per document of the mix with its place in a
-batch. A stage's result must be written before the next stage starts.
+batch. Null and empty texts go with the first stage (no language); rows with a
+null id, source or language stay and count as any other; of repeated rows the
+second stage keeps one; texts are handled whole, however long. A stage's result must be written before the next stage starts.
 """
 
 from __future__ import annotations
