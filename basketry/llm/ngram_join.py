@@ -7,12 +7,17 @@ equal collapse to one representative first. A tile holds sets that may link:
   before). With Jaccard >= t the sizes of a pair differ by a factor of at most
   1/t, so a set belongs to its own band and, as the larger partner, to the
   bands below that it can reach.
-* *Tiles.* All elements have one order. Two linked sets of n elements and more
-  share at least t * n, so the first shared element is among the first
-  n - ceil(t * n) + 1 of either: those are a set's keys, by band. A tile is one
-  key. Any order is right; this one puts elements that many documents share
-  (passages, found on ``SAMPLE`` distinct documents) last, where few sets reach
-  them, and orders the others by hash.
+* *Tiles.* A tile is one key. At high thresholds keys are contents of hash ranges:
+  linked sets of a band differ in at most K elements, hash space is cut into
+  K + 1 + T ranges, and of a linked pair at least T + 1 ranges hold the very same
+  elements. (Keys of one element or none are left out if a set has at most T of
+  them; a partner that has more keeps all of its own.) Where ranges would be short
+  (``wide_ranges``), they are single elements instead. All elements have one
+  order; two linked sets of n elements and more share at least t * n, so the
+  first shared element is among the first n - ceil(t * n) + 1 of either: those are
+  a set's keys, by band. Any order is right; this one puts elements that many
+  documents share (passages, found on ``SAMPLE`` distinct documents) last, where
+  few sets reach them, and orders the others by hash.
 
 Pairs of a tile pass the bitmap bound: every bit set in one signature only
 stands for an element of one set only, so bit counts bound the overlap from
@@ -80,11 +85,72 @@ def prefix(s: np.ndarray, num: int, den: int, common: tuple[np.ndarray, np.ndarr
     return s[np.lexsort((s, late))[:p]] if late.any() else s[:p]
 
 
+def _ranged(num: int, den: int) -> list[tuple[int, int, int, int]]:
+    """(lowest size, highest size, ranges, T) of every band, for ``range_keys``."""
+    out, lo = [], 1
+    while lo < 1 << 40:
+        hi = max(lo + 1, lo * 3 // 2) - 1
+        k = (den - num) * (hi + hi * den // num) // (den + num)
+        mean = lo / (k + 1)
+        spare = math.ceil(0.05 * (k + 1)) if math.exp(-mean) * (1 + mean) < 0.03 else 0
+        out.append((lo, hi, k + 1 + spare, spare))
+        lo = hi + 1
+    return out
+
+
+_cache: dict = {}
+
+
+def _edges(parts: int) -> np.ndarray:
+    if parts not in _cache:
+        _cache[parts] = np.array([(j * 2 ** 64) // parts for j in range(1, parts)], np.uint64)
+    return _cache[parts]
+
+
+def range_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys by content of hash ranges: two sets with Jaccard >= num/den that differ
+    share one."""
+    n = len(s)
+    if not n:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix64(s + np.uint64(0x51ED270B)), out=total[1:])
+    keys = []
+    if (num, den) not in _cache:
+        _cache[num, den] = _ranged(num, den)
+    bands = _cache[num, den]
+    own = bisect_right(bands, (n, math.inf)) - 1
+    for j in range(own, -1, -1):
+        lo, hi, parts, spare = bands[j]
+        if hi * den // num < n:
+            break
+        if parts == 1:  # stands for equal sets only, which have collapsed already
+            continue
+        at = np.empty(parts + 1, np.int64)
+        at[0], at[-1] = 0, n
+        at[1:-1] = np.searchsorted(s, _edges(parts))
+        count = np.diff(at)
+        content = total[at[1:]] - total[at[:-1]]
+        tag = np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
+        key = mix64(content + mix64(tag + count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        few = count < 2
+        keys.append(key[~few] if few.sum() <= spare else key)
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+
+
+def wide_ranges(num: int, den: int) -> bool:
+    """Whether ranges hold six elements and more on average (9 at 0.9, 4 at 0.8):
+    hardly any is then as short as one shingle."""
+    return num >= 6 * (den - num)
+
+
 def tile_keys(s: np.ndarray, num: int, den: int, common=None) -> np.ndarray:
     """Keys of one set: two sets with Jaccard >= num/den share one."""
     n = len(s)
     if not n:
         return np.zeros(0, np.uint64)
+    if wide_ranges(num, den):
+        return range_keys(s, num, den)
     first, keys = prefix(s, num, den, common), []
     for j in range(bisect_right(BANDS, (n, math.inf)) - 1, -1, -1):
         if BANDS[j][1] * den // num < n:
@@ -398,7 +464,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     members = saved(sets.select("doc_id", "n", "fp").join(reps.select("fp", "rep"), "fp", "left")
                     .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "members")
 
-    keys = texts.mapInArrow(_keys(k, num, den, _common(texts, reps, k)), "doc_id long, fp binary, keys array<long>")
+    common = None if wide_ranges(num, den) else _common(texts, reps, k)
+    keys = texts.mapInArrow(_keys(k, num, den, common), "doc_id long, fp binary, keys array<long>")
     keys = keys.join(reps.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"]).select(
         F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
     tiles = keys.repartition(parts, "key").sortWithinPartitions("key", "rep")
