@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.dictionary import HashFilter, entries, leftmost_longest, tokens
+from basketry.sources.delimited import ctas_temp
 
 SENTENCE_RE = "[^.!?]+"
 WORD_RE = "\\p{L}+"
@@ -38,6 +39,7 @@ DEFAULT_LEXICON = {
 NEGATORS = ("no", "not", "never", "nicht", "kein", "pas", "jamais", "nunca", "sin")
 SCOPE = 3  # tokens that a negator reaches
 FEW = 16   # beginnings of entries that are looked for one by one
+SMALL = 500_000  # words of a polarity lexicon (some 30 MB) that every executor may hold
 
 
 def lexicon_df(spark: SparkSession, lexicon: dict | None = None) -> DataFrame:
@@ -138,12 +140,14 @@ def learn_lexicon(df: DataFrame, text: str, negative: str, weight: float = 0.01,
     gets ``weight`` of the corpus counts on top of its own), and z is the
     log-odds over its standard deviation. Words of at least ``least_count``
     labelled occurrences and |z| >= ``least_z`` stay: NEG if they speak for the
-    true class, POS else. One pass over the texts, one aggregate by word.
+    true class, POS else. One pass over the texts, one aggregate by word, whose
+    counts are written once.
     """
     words = df.select(F.col(negative).alias("_neg"), F.explode(
         F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_RE), F.lit(0))).alias("word"))
     c = words.groupBy("word").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_neg")).alias("_a"),
                                   F.count_if(~F.col("_neg")).alias("_b"))
+    c = ctas_temp(df.sparkSession, c, "word-counts")
     total = c.agg(F.sum("_all").alias("_n"), F.sum("_a").alias("_na"), F.sum("_b").alias("_nb")).first()
     n, na, nb = (float(v or 0) for v in total)
     prior = F.col("_all") * F.lit(weight)
@@ -164,17 +168,51 @@ def extract_polarity(df: DataFrame, id_cols: list[str], text: str, lexicon: Data
     every sentence occurrence with the negation scope resolved: a word within
     ``scope`` tokens after a negator of its sentence has the other polarity.
     ``hits`` counts the word's occurrences of that polarity. The lexicon holds
-    single words."""
+    single words.
+
+    Words are counted where the sentence is read: its tokens, marked + or - for
+    negated, are sorted, and each distinct one becomes a row with its counts. So a
+    sentence is never shuffled to be grouped, and its rows stay together. Only a
+    lexicon of more than ``SMALL`` words may shuffle them, to be joined."""
     lex = lexicon.select(F.lower("word").alias("_w"), "sentiment").distinct()
+    turned = F.when(F.col("sentiment") == "POS", "NEG").otherwise("POS")
+    # what an occurrence means: entries of a word by polarity, plain and negated
+    means = lex.select("_w", F.explode(F.array(
+        F.struct(F.col("sentiment"), F.lit(1).alias("p"), F.lit(0).alias("n")),
+        F.struct(turned.alias("sentiment"), F.lit(0).alias("p"), F.lit(1).alias("n")))).alias("_x"))
+    means = means.groupBy("_w", "_x.sentiment").agg(F.sum("_x.p").alias("_as_plain"), F.sum("_x.n").alias("_as_neg"))
+    means = ctas_temp(df.sparkSession, means, "polarity")
+    if means.count() <= 2 * SMALL:
+        means = F.broadcast(means)
     keep_h = HashFilter(lex.select(F.xxhash64("_w").alias("_h")), "_h")
-    rows = sentences(df, text, id_cols).select("*", F.monotonically_increasing_id().alias("_row"),
-                                               tokens(F.col("review_sentence")).alias("_t"))
-    at = rows.select("*", _places("_t").alias("_p", "_w")).where(keep_h.may_hold(F.xxhash64("_w")))
-    before = F.slice("_t", F.greatest(F.col("_p") - F.lit(scope), F.lit(0)) + 1, F.least(F.col("_p"), F.lit(scope)))
-    at = at.select(*id_cols, "review_sentence", "_row", "_w",
-                   F.arrays_overlap(before, F.array(*[F.lit(w) for w in negators])).alias("_neg"))
-    polar = at.join(lex, "_w").withColumn("sentiment", F.when(
-        F.col("_neg"), F.when(F.col("sentiment") == "POS", "NEG").otherwise("POS")).otherwise(F.col("sentiment")))
-    g = polar.groupBy(*id_cols, "_row", "_w", "sentiment").agg(
-        F.first("review_sentence").alias("review_sentence"), F.count(F.lit(1)).alias("hits"))
-    return g.select(*id_cols, "review_sentence", F.col("_w").alias("sentiment_word"), "sentiment", "hits")
+    no = F.array(*[F.lit(w) for w in negators])
+    # no token holds a space, so the marked forms of a word are neighbours when sorted
+    plain, neg = F.lit(" +"), F.lit(" -")
+
+    def marked(w, p):
+        before = F.slice("_t", F.greatest(p - F.lit(scope), F.lit(0)) + 1, F.least(p, F.lit(scope)))
+        return F.concat(w, F.when(F.arrays_overlap(before, no), neg).otherwise(plain))
+    rows = sentences(df, text, id_cols).select("*", tokens(F.col("review_sentence")).alias("_t"))
+    rows = rows.select(*id_cols, "review_sentence", F.sort_array(
+        F.when(F.arrays_overlap("_t", no), F.transform("_t", marked)).otherwise(
+            F.transform("_t", lambda w: F.concat(w, plain)))).alias("_s"))
+    rows = rows.select("*", F.filter(F.sequence(F.lit(0), F.greatest(F.size("_s") - 1, F.lit(0))), lambda i: (i == 0) | (
+        F.get("_s", i) != F.get("_s", i - 1))).alias("_starts"))
+    at = rows.select("*", _places("_starts").alias("_k", "_at"))
+
+    def ends(k):  # where the run that begins at place k of the starts ends
+        return F.coalesce(F.get("_starts", k + 1), F.size("_s"))
+    k, key, count = F.col("_k"), F.get("_s", F.col("_at")), ends(F.col("_k")) - F.col("_at")
+    word = F.substring(key, F.lit(1), F.length(key) - 2)
+    at = at.select(*id_cols, "review_sentence", word.alias("_w"), F.endswith(key, neg).alias("_neg"), count.alias("_c"),
+                   F.get("_s", F.col("_at") - 1).alias("_before"), F.get("_s", ends(k)).alias("_after"),
+                   (ends(k + 1) - ends(k)).alias("_c_after"))
+    at = at.where(keep_h.may_hold(F.xxhash64("_w")))
+    # a word of both forms is one row, that of the plain form
+    at = at.where(~F.col("_neg") | F.col("_before").isNull() | (F.col("_before") != F.concat("_w", plain)))
+    both = F.coalesce(F.col("_after") == F.concat("_w", neg), F.lit(False))
+    at = at.select(*id_cols, "review_sentence", "_w", F.when(F.col("_neg"), 0).otherwise(F.col("_c")).alias("_plain"),
+                   F.when(F.col("_neg"), F.col("_c")).when(both, F.col("_c_after")).otherwise(0).alias("_negated"))
+    polar = at.join(means, "_w").withColumn(
+        "hits", F.col("_plain") * F.col("_as_plain") + F.col("_negated") * F.col("_as_neg")).where("hits > 0")
+    return polar.select(*id_cols, "review_sentence", F.col("_w").alias("sentiment_word"), "sentiment", "hits")

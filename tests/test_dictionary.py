@@ -102,3 +102,18 @@ def test_negation_scope(spark):
 def test_sentences_without_text(spark):
     docs = spark.createDataFrame([(1, None), (2, "...")], "id long, t string")
     assert sentences(docs, "t", ["id"]).count() == 0
+
+
+def test_sentences_are_not_shuffled_to_be_counted(spark):
+    lex = spark.createDataFrame([("good", "POS"), ("BAD", "NEG"), ("odd", "POS"), ("odd", "NEG"), ("none", None), ("+", "POS")],
+                                "word string, sentiment string")
+    docs = spark.createDataFrame([(1, "good good not good goodly"), (1, "good good not good goodly"), (2, "odd not odd no no odd"),
+                                  (3, "none not none"), (4, "never bad. \t. + not + goo d"), (None, "bad")], "id long, t string")
+    out = extract_polarity(docs, ["id"], "t", lex, scope=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" not in plan and "review_sentence" not in "".join(
+        x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    got = sorted(map(str, ((r.id, r.sentiment_word, r.sentiment, r.hits) for r in out.collect())))
+    assert got == sorted(map(str, 2 * [(1, "good", "POS", 2), (1, "good", "NEG", 1)] + [
+        (2, "odd", "POS", 3), (2, "odd", "NEG", 3), (3, "none", None, 1), (3, "none", "POS", 1),
+        (4, "bad", "POS", 1), (4, "+", "POS", 1), (4, "+", "NEG", 1), (None, "bad", "NEG", 1)]))
