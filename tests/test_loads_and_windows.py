@@ -142,3 +142,37 @@ def test_numbered_stream_with_late_clicks_and_restarts(spark, tmp_path):
                  for r in spark.read.parquet(f"{path}/out").collect())
     assert got == [(1, 1, 0, 60, 3), (1, 2, 290, 300, 2), (1, 3, 420, 420, 1), (1, 4, 900, 900, 1),
                    (2, 1, 10, 10, 1), (2, 2, 200, 200, 1), (2, 3, 900, 900, 1)]
+
+
+def test_many_users_share_calls(spark, tmp_path):
+    from basketry.streaming import numbered
+    rnd = random.Random(5)
+    schema, path, us = "event_id long, ts timestamp_ntz, user_id long", str(tmp_path), 60 * 10**6
+    clicks = [(rnd.choice([rnd.randrange(-3, 400), 2**60]), rnd.randrange(3000)) for _ in range(4000)]
+    clicks.sort(key=lambda c: c[1] + rnd.randrange(300))  # late by less than the delay
+    for part in (clicks[:1500], clicks[1500:3000], clicks[3000:], [(-9, 10**6)]):
+        rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), u) for i, (u, m) in enumerate(part)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        run_numbered(spark, f"{path}/in", f"{path}/out", f"{path}/ckpt", 60 * us, "10 hours", T.StructType.fromDDL(schema))
+    base = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp()) * 10**6
+    want = []
+    for user in {u for u, _ in clicks}:
+        for i, s in enumerate(merged([], [base + m * us for u, m in clicks if u == user], 60 * us)):
+            want.append((user, i + 1, *s))
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/out").where("user_id <> -9").collect())) == sorted(want)
+    # one call takes in all users of a bucket, its clicks in several Arrow batches
+    import pandas as pd
+
+    class State:
+        exists, kept, timer = False, None, None
+        get = property(lambda self: self.kept)
+        getCurrentWatermarkMs = lambda self: 10
+        setTimeoutTimestamp = lambda self, at: setattr(self, "timer", at)
+
+        def update(self, row):
+            self.exists, self.kept = True, row
+    state, step = State(), numbered._step(2000)
+    batches = [pd.DataFrame({"user_id": [1, 2, 1], "ts_us": [0, 9000, 5000]}), pd.DataFrame({"user_id": [2, 1], "ts_us": [1000, 1500]})]
+    out = pd.concat(step((0,), iter(batches), state))
+    assert out.values.tolist() == [[1, 1, 0, 1500, 2], [1, 2, 5000, 5000, 1], [2, 1, 1000, 1000, 1]]
+    assert state.kept == ([1, 2], [2, 1], [2], [9000], [9000], [1]) and state.timer == 12
