@@ -16,7 +16,8 @@ Scale notes
   Other baskets have one share. So no task pairs a whole hot basket, and only
   hot baskets are replicated.
 * Pairs that can't reach the wanted count are refused by hashed bucket counts
-  (``heavy_pairs``) before they are shuffled for the exact one.
+  (``heavy_pairs``) before they are shuffled for the exact one, as long as the
+  pairs are few enough for the fixed number of buckets to refuse most of them.
 * The pair counts are aggregated with partial aggregation before the final
   shuffle, so the shuffled volume is bounded by distinct pairs per task.
 """
@@ -50,7 +51,10 @@ HOT = 1000  # distinct items of a basket per task, when pairing
 def make_pairs(df: DataFrame, basket: str, item: str, min_support: int | None = None,
                hot: int = HOT) -> DataFrame:
     """(basket, item_1, item_2) for every two distinct items of a basket, item_1 < item_2."""
-    d = basket_items(df, basket, item, min_support)
+    return _paired(basket_items(df, basket, item, min_support), hot)
+
+
+def _paired(d: DataFrame, hot: int) -> DataFrame:
     large = (d.groupBy("basket").agg(F.ceil(F.count(F.lit(1)) / F.lit(hot)).alias("_shares"))
                .where(F.col("_shares") > 1))
     d = d.join(large, "basket", "left").withColumn("_shares", F.coalesce("_shares", F.lit(1)))
@@ -84,9 +88,23 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_count: int | None = N
                 names: tuple[str, str] = ("item_1", "item_2")) -> DataFrame:
     """Number of baskets per item pair; ``min_count`` keeps pairs with cnt > min_count."""
     support = (min_count + 1) if min_count is not None else None
-    pairs = make_pairs(df, basket, item, min_support=support)
+    d = basket_items(df, basket, item, support)
     if min_count is not None and min_count > 0:
-        pairs = heavy_pairs(pairs, min_count)
+        # read several times: the sizes, and the pairs once or twice
+        d = ctas_temp(df.sparkSession, d, "basket-items")
+        n = F.col("n")
+        largest, total = d.groupBy("basket").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.max(n), F.sum(n.cast("double") * (n - 1) / 2)).first()
+        if (largest or 0) <= HOT:
+            pairs = d.select("basket", F.col("item").alias("item_1")).join(
+                d.select("basket", F.col("item").alias("item_2")), "basket").where("item_1 < item_2")
+        else:
+            pairs = _paired(d, HOT)
+        # beyond that most buckets are heavy, and counting them would only cost
+        if (total or 0) <= MOST * min_count:
+            pairs = heavy_pairs(pairs, min_count)
+    else:
+        pairs = _paired(d, HOT)
     out = pairs.groupBy("item_1", "item_2").agg(F.count(F.lit(1)).alias("cnt"))
     if min_count is not None:
         out = out.where(F.col("cnt") > F.lit(min_count))

@@ -176,3 +176,29 @@ def test_many_users_share_calls(spark, tmp_path):
     out = pd.concat(step((0,), iter(batches), state))
     assert out.values.tolist() == [[1, 1, 0, 1500, 2], [1, 2, 5000, 5000, 1], [2, 1, 1000, 1000, 1]]
     assert state.kept == ([1, 2], [2, 1], [2], [9000], [9000], [1]) and state.timer == 12
+
+
+def test_many_pairs_are_counted_without_buckets(spark, monkeypatch):
+    from basketry.operators import basket
+    rnd = random.Random(8)
+    rows = [(rnd.choice([1, 2, 3, 4, None]), rnd.choice([*range(12), None])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "b int, i int")
+    sets = {b: {i for c, i in rows if c == b and i is not None} for b in (1, 2, 3, 4)}
+    count = {}
+    for s in sets.values():
+        for x in s:
+            for y in s:
+                if x < y:
+                    count[x, y] = count.get((x, y), 0) + 1
+    want = {k: n for k, n in count.items() if n > 1}
+    called, buckets = [], basket.heavy_pairs
+    monkeypatch.setattr(basket, "heavy_pairs", lambda *a: called.append(1) or buckets(*a))
+
+    def got():
+        return {(r.item_1, r.item_2): r.cnt for r in pair_counts(df, "b", "i", min_count=1).collect()}
+    assert got() == want and len(called) == 1
+    monkeypatch.setattr(basket, "MOST", 64)  # bitmaps keep their size; fewer than the pairs
+    assert sum(count.values()) > 64 and got() == want and len(called) == 1
+    monkeypatch.setattr(basket, "HOT", 3)
+    assert got() == want and len(called) == 1
+    assert pair_counts(df.where("b IS NULL"), "b", "i", min_count=1).count() == 0
