@@ -202,3 +202,28 @@ def test_many_pairs_are_counted_without_buckets(spark, monkeypatch):
     monkeypatch.setattr(basket, "HOT", 3)
     assert got() == want and len(called) == 1
     assert pair_counts(df.where("b IS NULL"), "b", "i", min_count=1).count() == 0
+
+
+def test_rows_are_narrowed_when_all_ranges_differ(spark, monkeypatch):
+    from basketry.operators import runs
+    x = spark.range(60_000).selectExpr("id", "IF(id % 5 = 0, NULL, id) AS v", "CAST(id % 7 AS DOUBLE) AS w")
+    y = x.where("id % 50 <> 0").unionByName(x.where("id % 75 = 1")).unionByName(x.where("id = 11"))
+    want = sorted([("missing", i, None if i % 5 == 0 else i) for i in range(0, 60_000, 50)] + [
+        ("extra", i, None if i % 5 == 0 else i) for i in [*range(1, 60_000, 75), 11]], key=str)
+    monkeypatch.setattr(runs, "RANGES", 4)  # so that rows differ in every range
+    kept, narrow = [], runs._may_differ
+
+    def counting(differing):
+        f = narrow(differing)
+
+        def g(t):
+            out = f(t)
+            kept.append(out.count())
+            return out
+        return g
+    monkeypatch.setattr(runs, "_may_differ", counting)
+    for most in (runs.MOST_BITS, 1 << 16):
+        monkeypatch.setattr(runs, "MOST_BITS", most)
+        assert sorted(((r.side, r.id, r.v) for r in result_diff(y, x).collect()), key=str) == want
+    # 2001 rows differ of 60,000 a side
+    assert len(kept) == 4 and max(kept) < 12_000, kept
